@@ -121,10 +121,14 @@ def raw_articles(spark, folder):
 )
 def page_parts(spark, folder):
     """EXT-8: headings and article text."""
-    return tb.table(spark, folder, "pages").select(
-        "page_id",
-        page.heading(F.col("html")).alias("heading"),
-        page.main_text(F.col("html")).alias("body"),
+    return (
+        tb.table(spark, folder, "pages")
+        .withColumn("clean", page.without_furniture(F.col("html")))
+        .select(
+            "page_id",
+            page.heading(F.col("html")).alias("heading"),
+            page.region_text(page.article_region(F.col("clean"))).alias("body"),
+        )
     )
 
 

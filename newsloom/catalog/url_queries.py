@@ -112,7 +112,7 @@ def route_labels(spark, folder):
 @query(
     with_tables(
         ["seed", "suffixes", "hosts", "split", "policy", "work", "templates"],
-        "SELECT w.doc_id, replace(t.template, '{url}', w.url) AS location "
+        "SELECT w.doc_id, replace(t.template, '{url}', ltrim(w.url, '/')) AS location "
         "FROM work w JOIN templates t USING (method)",
     )
 )

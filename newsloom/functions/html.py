@@ -76,22 +76,15 @@ def heading(html: Column) -> Column:
     return visible_text(F.regexp_extract(html, HEADING, 1))
 
 
-def _named_tag(tags: Column, name: str) -> Column:
-    pattern = r"(?i)\s(?:name|property|itemprop)\s*=\s*[\"']?" + name + r"[\"']?[\s/>]"
-    return F.try_element_at(F.filter(tags, lambda tag: tag.rlike(pattern)), F.lit(1))
-
-
 def meta_tags(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(META), F.lit(0))
 
 
 def meta_content(tags: Column, *names: str) -> Column:
     """Content of the first meta tag that has one of the names; NULL if none has."""
-    found = [
-        F.nullif(F.regexp_extract(_named_tag(tags, name), CONTENT, 1), F.lit(""))
-        for name in names
-    ]
-    return F.coalesce(*found)
+    wanted = r"(?i)\s(?:name|property|itemprop)\s*=\s*[\"']?(?:" + "|".join(names) + r")[\"']?[\s/>]"
+    tag = F.try_element_at(F.filter(tags, lambda tag: tag.rlike(wanted)), F.lit(1))
+    return F.nullif(F.regexp_extract(tag, CONTENT, 1), F.lit(""))
 
 
 def attribute_values(html: Column, element: str, attribute: str) -> Column:
@@ -113,16 +106,19 @@ def media(html: Column) -> Column:
     return F.array_distinct(F.filter(sources, lambda source: source.rlike(VIDEO_HOSTS)))
 
 
-def main_text(html: Column) -> Column:
-    """Text of the article part of a page.
+def without_furniture(html: Column) -> Column:
+    """Page source without code, comments, navigation and the like."""
+    return F.regexp_replace(F.regexp_replace(html, CODE, ""), FURNITURE, "")
+
 
-    The region is the ``<article>`` element if there is one, else the first body, else
-    the whole source; page furniture is dropped, and reading starts at the first
-    paragraph of the region (at its beginning if it has none).
-    """
-    clean = F.regexp_replace(F.regexp_replace(html, CODE, ""), FURNITURE, "")
+def article_region(clean: Column) -> Column:
+    """The ``<article>`` element if there is one, else the first body, else everything."""
     article = F.nullif(F.regexp_extract(clean, ARTICLE, 1), F.lit(""))
     body = F.nullif(F.regexp_extract(clean, BODIES, 1), F.lit(""))
-    region = F.coalesce(article, body, clean)
+    return F.coalesce(article, body, clean)
+
+
+def region_text(region: Column) -> Column:
+    """Text of a region from its first paragraph on (from its beginning if it has none)."""
     from_paragraph = F.regexp_replace(region, BEFORE_FIRST_PARAGRAPH, "")
     return decode_entities(F.regexp_replace(from_paragraph, TAG, " "))

@@ -138,6 +138,10 @@ def read_page(html: str | None) -> dict | None:
     }
 
 
-@F.arrow_udf(FIELDS)
-def html_fields(pages: pa.Array) -> pa.Array:
+def _read_pages(pages: pa.Array) -> pa.Array:
     return pa.array([read_page(page.as_py()) for page in pages], type=_ARROW_TYPE)
+
+
+# The function is deterministic.  Saying otherwise keeps filters on its results above it;
+# pushed below, they would read every page a second time.
+html_fields = F.arrow_udf(_read_pages, FIELDS).asNondeterministic()

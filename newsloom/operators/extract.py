@@ -53,6 +53,17 @@ def raw_image(html: Column, tags: Column) -> Column:
     return F.coalesce(page.meta_content(tags, "og:image"), first_item(page.images(html)))
 
 
+def unreadable_date(text: Column, parsed: Column) -> Column:
+    """What is wrong with a date that was given but not understood; else NULL."""
+    return F.when(date_error(text, parsed), F.concat(F.lit("unreadable date: "), text))
+
+
+def language_or_none(
+    body: Column, stop_words: dict[str, str] | None, wanted: bool
+) -> Column:
+    return guess_language(body, stop_words) if wanted else F.lit(None).cast("string")
+
+
 def with_raw_article(
     table: DataFrame,
     html: str = "raw",
@@ -60,28 +71,40 @@ def with_raw_article(
     name: str = "raw_article",
     as_of: Column | None = None,
     stop_words: dict[str, str] | None = None,
+    with_language: bool = True,
 ) -> DataFrame:
-    """Add the article struct of a raw page (NULL fields where the page has none).
+    """Add the article struct of a raw page (NULL fields where the page has none), and
+    ``<name>_problem`` with the reason if it could not be read properly.
 
     Row by row inside the JVM.  Steps are separate projections so that nothing costly is
-    computed twice.
+    computed twice; the problem stands by itself so that a filter on it needs no article.
     """
     source = null_if_blank(F.col(html))
     return (
         table.withColumn("_html", source)
-        .withColumn("_tags", page.meta_tags(F.col("_html")))
         .withColumns(
             {
+                "_tags": page.meta_tags(F.col("_html")),
+                "_clean": page.without_furniture(F.col("_html")),
+            }
+        )
+        .withColumns(
+            {
+                "_region": page.article_region(F.col("_clean")),
                 "_title": tx.tidy_title(raw_title(F.col("_html"), F.col("_tags"))),
-                "_body": tx.tidy_body(page.main_text(F.col("_html"))),
                 "_date_text": raw_date(F.col("_html"), F.col("_tags"), F.col(url)),
                 "_byline": page.meta_content(F.col("_tags"), *AUTHOR_NAMES),
                 "_image": raw_image(F.col("_html"), F.col("_tags")),
                 "_media": page.media(F.col("_html")),
             }
         )
+        .withColumns(
+            {
+                "_body": tx.tidy_body(page.region_text(F.col("_region"))),
+                "_date": parse_date(F.col("_date_text"), as_of),
+            }
+        )
         .withColumn("_body", tx.valid_or_null(F.col("_body")))
-        .withColumn("_date", parse_date(F.col("_date_text"), as_of))
         .withColumn(
             name,
             F.when(
@@ -91,18 +114,17 @@ def with_raw_article(
                     F.col("_body").alias("body"),
                     F.col("_date").alias("publish_date"),
                     detect_authors(F.col("_byline")).alias("authors"),
-                    guess_language(F.col("_body"), stop_words).alias("language"),
+                    language_or_none(F.col("_body"), stop_words, with_language).alias("language"),
                     null_if_blank(F.col("_image")).alias("top_image_url"),
                     null_if_no_items(F.col("_media")).alias("media_urls"),
-                    F.when(
-                        date_error(F.col("_date_text"), F.col("_date")),
-                        F.concat(F.lit("unreadable date: "), F.col("_date_text")),
-                    ).alias("problem"),
                 ),
             ),
         )
-        .drop("_html", "_tags", "_title", "_body", "_date_text", "_byline", "_image", "_media",
-              "_date")
+        .withColumn(f"{name}_problem", unreadable_date(F.col("_date_text"), F.col("_date")))
+        .drop(
+            "_html", "_tags", "_clean", "_region", "_title", "_body", "_date_text", "_byline",
+            "_image", "_media", "_date",
+        )
     )
 
 
@@ -112,8 +134,10 @@ def with_reader_article(
     name: str = "reader_article",
     as_of: Column | None = None,
     stop_words: dict[str, str] | None = None,
+    with_language: bool = True,
 ) -> DataFrame:
-    """Add the article struct of a simplified page, from one pass over its source.
+    """Add the article struct of a simplified page, from one pass over its source, and
+    ``<name>_problem``.
 
     Absent title, credits or body make NULL fields and never fail the document.
     """
@@ -127,8 +151,12 @@ def with_reader_article(
                 "_date_text": null_if_blank(fields["reader_time"]),
             }
         )
-        .withColumn("_body", tx.valid_or_null(F.col("_body")))
-        .withColumn("_date", parse_date(F.col("_date_text"), as_of))
+        .withColumns(
+            {
+                "_body": tx.valid_or_null(F.col("_body")),
+                "_date": parse_date(F.col("_date_text"), as_of),
+            }
+        )
         .withColumn(
             name,
             F.when(
@@ -138,18 +166,15 @@ def with_reader_article(
                     F.col("_body").alias("body"),
                     F.col("_date").alias("publish_date"),
                     detect_authors(fields["reader_credits"]).alias("authors"),
-                    guess_language(F.col("_body"), stop_words).alias("language"),
+                    language_or_none(F.col("_body"), stop_words, with_language).alias("language"),
                     null_if_blank(fields["reader_image"]).alias("top_image_url"),
                     F.lit(None).cast("array<string>").alias("media_urls"),
-                    F.coalesce(
-                        fields["error"],
-                        F.when(
-                            date_error(F.col("_date_text"), F.col("_date")),
-                            F.concat(F.lit("unreadable date: "), F.col("_date_text")),
-                        ),
-                    ).alias("problem"),
                 ),
             ),
         )
+        .withColumn(
+            f"{name}_problem",
+            F.coalesce(fields["error"], unreadable_date(F.col("_date_text"), F.col("_date"))),
+        )
         .drop("_fields", "_title", "_body", "_date_text", "_date")
     )

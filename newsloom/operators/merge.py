@@ -46,7 +46,9 @@ def merge_views(table: DataFrame, raw: str = "raw_article", reader: str = "reade
     fields = merged_fields(F.col(raw), F.col(reader))
     merged = table.withColumns(fields)
     flag = is_empty_article({name: F.col(name) for name in fields})
-    return merged.withColumn("is_empty", flag).drop(raw, reader)
+    return merged.withColumn("is_empty", flag).drop(
+        raw, reader, f"{raw}_problem", f"{reader}_problem"
+    )
 
 
 def join_views(raw: DataFrame, reader: DataFrame, key: list[str] = ("dataset", "doc_id")) -> DataFrame:

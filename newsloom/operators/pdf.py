@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as tx
 from newsloom.functions.dates import pdf_creation_date
-from newsloom.functions.language import guess_language
+from newsloom.operators.extract import language_or_none, unreadable_date
 
 KEY = ["dataset", "doc_id"]
 
@@ -23,7 +23,10 @@ def joined_pages(pages: DataFrame) -> DataFrame:
 
 
 def pdf_articles(
-    meta: DataFrame, pages: DataFrame, stop_words: dict[str, str] | None = None
+    meta: DataFrame,
+    pages: DataFrame,
+    stop_words: dict[str, str] | None = None,
+    with_language: bool = True,
 ) -> DataFrame:
     """Title, body, date and language of each document file, as struct ``pdf_article``."""
     return (
@@ -43,13 +46,10 @@ def pdf_articles(
                 F.col("_body").alias("body"),
                 F.col("_date").alias("publish_date"),
                 F.lit(None).cast("array<string>").alias("authors"),
-                guess_language(F.col("_body"), stop_words).alias("language"),
+                language_or_none(F.col("_body"), stop_words, with_language).alias("language"),
                 F.lit(None).cast("string").alias("top_image_url"),
                 F.lit(None).cast("array<string>").alias("media_urls"),
-                F.when(
-                    (F.coalesce("creation_date", F.lit("")) != "") & F.col("_date").isNull(),
-                    F.concat(F.lit("unreadable date: "), F.col("creation_date")),
-                ).alias("problem"),
             ).alias("pdf_article"),
+            unreadable_date(F.col("creation_date"), F.col("_date")).alias("pdf_article_problem"),
         )
     )

@@ -9,6 +9,7 @@ from newsloom import fixed_values as fv
 from newsloom import schemas
 from newsloom.functions import text as tx
 from newsloom.functions import urls
+from newsloom.functions.language import guess_language
 from newsloom.operators.extract import with_raw_article, with_reader_article
 from newsloom.operators.merge import is_empty_article, merged_fields
 from newsloom.operators.pdf import pdf_articles
@@ -68,11 +69,14 @@ def parse_payload(
     Pages are parsed where they lie, without a shuffle; only files are joined with their
     extracted page texts.  A document without content still gives an (empty) row.  A row
     with ``error`` belongs to the dead letters.
+
+    The language of an article is that of the view its body comes from, so it is guessed
+    once, from the final body.
     """
     pages = with_reader_article(
-        with_raw_article(prepared_pages(payload), as_of=as_of, stop_words=stop_words),
+        with_raw_article(prepared_pages(payload), as_of=as_of, with_language=False),
         as_of=as_of,
-        stop_words=stop_words,
+        with_language=False,
     )
     raw, reader = F.col("raw_article"), F.col("reader_article")
     merged = merged_fields(raw, reader)
@@ -85,15 +89,15 @@ def parse_payload(
     }
     problem = F.coalesce(
         F.when(F.col("decode_error"), F.lit("payload is not valid UTF-8")),
-        raw["problem"],
-        reader["problem"],
+        F.col("raw_article_problem"),
+        F.col("reader_article_problem"),
     )
     articles = pages.select(
         *KEY, "content_kind", *[c.alias(n) for n, c in chosen.items()], problem.alias("error")
     )
     if pdf_meta is not None and pdf_pages is not None:
         read = file_documents(payload).join(
-            pdf_articles(pdf_meta, pdf_pages, stop_words), KEY, "left"
+            pdf_articles(pdf_meta, pdf_pages, with_language=False), KEY, "left"
         )
         is_file = F.col("content_kind") == fv.PDF
         missing = F.when(
@@ -104,13 +108,14 @@ def parse_payload(
                 *KEY,
                 "content_kind",
                 *[F.when(is_file, F.col("pdf_article")[n]).alias(n) for n in ARTICLE_FIELDS],
-                F.coalesce(F.when(is_file, F.col("pdf_article")["problem"]), missing).alias(
+                F.coalesce(F.when(is_file, F.col("pdf_article_problem")), missing).alias(
                     "error"
                 ),
             )
         )
     empty = is_empty_article({name: F.col(name) for name in ARTICLE_FIELDS})
-    return articles.withColumn("is_empty", empty)
+    language = F.when(F.col("content_kind") != fv.NONE, guess_language(F.col("body"), stop_words))
+    return articles.withColumns({"is_empty": empty, "language": language})
 
 
 def article_rows(parsed: DataFrame) -> DataFrame:

@@ -42,36 +42,69 @@ def index_plan(work: DataFrame, captures: DataFrame) -> DataFrame:
     )
 
 
-def _planned(rows: DataFrame, stage: int, view: str, location: Column) -> DataFrame:
-    return rows.select(
-        *KEY,
+def _location(stage: int, variant_no: Column, view: str, location: Column) -> Column:
+    return F.struct(
         F.lit(stage).alias("stage_rank"),
-        F.lit("").alias("statuscode"),
-        F.lit("").alias("timestamp"),
-        F.col("variant_no"),
+        variant_no.alias("variant_no"),
         F.lit(view).alias("view"),
         location.alias("location"),
-        F.lit(False).alias("is_redirect"),
     )
 
 
-def gated_plan(variants: DataFrame, templates: DataFrame) -> DataFrame:
-    """Policy locations of gated documents: raw view only, from the caller's templates."""
-    gated = variants.where(~is_free(F.col("method")))
-    routed = join_lookup(gated, templates, ["method"], "inner", KEY)
-    location = urls.render_route(F.col("template"), F.col("variant"))
-    return _planned(routed, GATED_STAGE, fv.RAW, location)
+def direct_plan(work: DataFrame, templates: DataFrame) -> DataFrame:
+    """All locations but archived copies, in one pass over the work table.
+
+    Files: their first address.  Gated pages: the policy locations, raw view only, from the
+    caller's templates (one per method).  Pages whose index query did not fail: the live
+    addresses.
+    """
+    routed = join_lookup(work, templates, ["method"], "left", KEY).withColumn(
+        "_variants", urls.url_variants(F.col("url"))
+    )
+    variants, template = F.col("_variants"), F.col("template")
+    is_file = urls.is_pdf(F.col("url"))
+    none = F.filter(
+        F.transform(variants, lambda v: _location(LIVE_STAGE, F.lit(0), fv.BOTH, v)),
+        lambda item: F.lit(False),
+    )
+    first = F.slice(variants, 1, 1)
+    files = F.transform(first, lambda v: _location(ARCHIVE_STAGE, F.lit(1), fv.PDF, v))
+    gated = F.transform(
+        variants,
+        lambda v, i: _location(GATED_STAGE, i + 1, fv.RAW, urls.render_route(template, v)),
+    )
+    live = F.transform(variants, lambda v, i: _location(LIVE_STAGE, i + 1, fv.BOTH, v))
+    is_gated = ~is_free(F.col("method")) & template.isNotNull()
+    pages = F.concat(
+        F.when(is_gated, gated).otherwise(none),
+        F.when(F.col("_index_failed"), none).otherwise(live),
+    )
+    locations = F.explode(F.when(is_file, files).otherwise(pages)).alias("_planned")
+    return routed.select(*KEY, locations).select(
+        *KEY,
+        "_planned.stage_rank",
+        F.lit("").alias("statuscode"),
+        F.lit("").alias("timestamp"),
+        "_planned.variant_no",
+        "_planned.view",
+        "_planned.location",
+        F.lit(False).alias("is_redirect"),
+    )
 
 
 def archive_plan(
     work: DataFrame, captures: DataFrame, allowed: list[str] | None = None
 ) -> DataFrame:
-    """Locations of usable archived copies, equal copies once."""
-    wanted = captures.join(work.select(*KEY), KEY, "left_semi")
+    """Locations of usable archived copies of the pages whose index query did not fail.
+
+    Equal copies are reduced to one before they meet the work table.
+    """
+    pages = work.where(~urls.is_pdf(F.col("url")) & ~F.col("_index_failed")).select(*KEY)
     return (
-        usable_captures(wanted, allowed)
+        usable_captures(captures, allowed)
         .select(*KEY, "statuscode", "timestamp", "original")
         .distinct()
+        .join(pages, KEY, "left_semi")
         .select(
             *KEY,
             F.lit(ARCHIVE_STAGE).alias("stage_rank"),
@@ -85,6 +118,15 @@ def archive_plan(
     )
 
 
+def mark_index_failures(work: DataFrame, index_errors: DataFrame | None) -> DataFrame:
+    """Add ``_index_failed``: the archive could not be asked about this document."""
+    if index_errors is None:
+        return work.withColumn("_index_failed", F.lit(False))
+    failed = index_errors.select(*KEY).distinct().withColumn("_index_failed", F.lit(True))
+    marked = work.join(failed, KEY, "left")
+    return marked.withColumn("_index_failed", F.coalesce("_index_failed", F.lit(False)))
+
+
 def fetch_plan(
     work: DataFrame,
     captures: DataFrame,
@@ -99,20 +141,8 @@ def fetch_plan(
     Pages then go through archived copies to the live page; a document whose index query
     failed (``index_errors``) gets neither.
     """
-    is_file = urls.is_pdf(F.col("url"))
-    files = variant_rows(work.where(is_file)).where(F.col("variant_no") == 1)
-    pages = work.where(~is_file)
-    searchable = pages if index_errors is None else pages.join(
-        index_errors.select(*KEY), KEY, "left_anti"
-    )
-    return (
-        _planned(files, ARCHIVE_STAGE, fv.PDF, F.col("variant"))
-        .unionByName(gated_plan(variant_rows(pages), templates))
-        .unionByName(archive_plan(searchable, captures, allowed))
-        .unionByName(
-            _planned(variant_rows(searchable), LIVE_STAGE, fv.BOTH, F.col("variant"))
-        )
-    )
+    marked = mark_index_failures(work, index_errors)
+    return direct_plan(marked, templates).unionByName(archive_plan(marked, captures, allowed))
 
 
 def decode_views(results: DataFrame, is_file: Column) -> DataFrame:
@@ -203,15 +233,11 @@ def outcomes(
     again, where the index query had failed.
     """
     joined = work.select(*KEY, "url").join(chosen, KEY, "left")
-    if index_errors is None:
-        failed = joined.withColumn("_index_failed", F.lit(False))
-    else:
-        marked = index_errors.select(*KEY).distinct().withColumn("_index_failed", F.lit(True))
-        failed = joined.join(marked, KEY, "left")
+    failed = mark_index_failures(joined, index_errors)
     kept = F.col("location").isNotNull()
     state = (
         F.when(kept, fv.RETRIEVED)
-        .when(F.coalesce("_index_failed", F.lit(False)), fv.INDEX_ERROR)
+        .when(F.col("_index_failed"), fv.INDEX_ERROR)
         .otherwise(fv.FAILED)
     )
     nothing = F.lit(b"").cast("binary")

@@ -9,25 +9,29 @@ from newsloom import schemas
 from newsloom.operators.ledger import new_documents
 
 
-def import_seeds(seed: DataFrame, work_path: str, checkpoint: str) -> StreamingQuery:
-    """Append the new documents of a seed stream to the work table.
-
-    The file source's checkpoint remembers which files were imported; documents that are in
-    the work table already are left out, so files may overlap.  The batch number is part of
-    the path: a repeated batch replaces its own rows and is not compared with them.
+def import_seeds(
+    seed: DataFrame, work_path: str, checkpoint: str, known: DataFrame | None = None
+) -> StreamingQuery:
+    """Append the new documents of a seed stream to the work table, and stop at the end.
+
+    The file source's checkpoint remembers which files were imported.  Documents that are in
+    the work table already (or in ``known``) are left out, so files may overlap; only the
+    datasets a batch touches are looked up.  The batch number is part of the path: a
+    repeated batch replaces its own rows and is not compared with them.
     """
+    schema = f"{schemas.WORK_ITEM}, batch BIGINT"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        once = batch.dropDuplicates(["dataset", "doc_id"])
-        earlier = spark.read.schema(f"{schemas.WORK_ITEM}, batch BIGINT").option(
-            "basePath", work_path
-        )
-        done = spark.createDataFrame([], schemas.WORK_ITEM)
+        fresh = batch.dropDuplicates(["dataset", "doc_id"])
+        touched = batch.select("dataset").distinct()
+        if known is not None:
+            fresh = new_documents(fresh, known)
         if batch_id > 0:
-            done = earlier.parquet(work_path).where(f"batch < {batch_id}")
-        fresh = new_documents(once, done)
-        fresh.write.mode("overwrite").parquet(f"{work_path}/batch={batch_id}")
+            reader = batch.sparkSession.read.schema(schema).option("basePath", work_path)
+            earlier = reader.parquet(work_path).where(f"batch < {batch_id}")
+            # Folders of other datasets are pruned at run time.
+            fresh = new_documents(fresh, earlier.join(touched, "dataset", "left_semi"))
+        fresh.write.mode("overwrite").partitionBy("dataset").parquet(f"{work_path}/batch={batch_id}")
 
     return (
         seed.writeStream.foreachBatch(write_batch)

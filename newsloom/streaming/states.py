@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsloom import schemas
@@ -39,5 +40,7 @@ def read_flags(spark: SparkSession, out: str) -> DataFrame:
     """The flags written last for each document."""
     flags = ["is_empty", "is_retrieved", "parsed", "should_rescrape"]
     written = spark.read.option("basePath", out).parquet(out)
-    newest = written.groupBy(*KEY).agg({"batch": "max"}).withColumnRenamed("max(batch)", "batch")
-    return written.join(newest, [*KEY, "batch"]).select(*KEY, *flags)
+    newest = F.max(F.struct("batch", *flags)).alias("_newest")
+    return written.groupBy(*KEY).agg(newest).select(
+        *KEY, *[F.col("_newest")[flag].alias(flag) for flag in flags]
+    )
