@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import urls
-from newsloom.operators.lookup import fits_broadcast, join_lookup
+from newsloom.operators.lookup import is_small, join_lookup, measure
 
 # ---- fixed values: suffixes used where the caller brings no list ----------------------
 COMMON_SUFFIXES = (
@@ -43,8 +43,10 @@ def split_domains(
     a known suffix are their own domain.
     """
     rules = suffix_rules(suffixes)
-    fits = fits_broadcast(rules)
-    max_labels = rules.agg(F.max(F.size(F.split("base", r"\.")))).first()[0] or 1
+    # One measurement of the list gives an upper bound of the rules and of their length.
+    size = measure(suffixes, F.max(F.size(F.split("suffix", r"\."))).alias("labels"))
+    fits = is_small(size)
+    max_labels = size["labels"] or 1
     result = table.withColumn("host", urls.host(F.col(url_column)))
     result = result.withColumn("_labels", F.split("host", r"\."))
     labels = F.col("_labels")

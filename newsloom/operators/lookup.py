@@ -7,20 +7,30 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
+# A key with more facts than this is split; NULL keys are spread over so many salts.
+HOT_ROWS = 2_000_000
+FREE_SALTS = 4_096
+MAX_HOT_KEYS = 100_000
 
 
-def fits_broadcast(
-    table: DataFrame,
-    max_rows: int = MAX_BROADCAST_ROWS,
-    max_bytes: int = MAX_BROADCAST_BYTES,
-) -> bool:
-    """Measure a lookup table: one aggregate, one row back to the driver."""
+def measure(table: DataFrame, *more: Column):
+    """Rows and bytes of a table (``n``, ``bytes``), and further aggregates: one row."""
     row_bytes = F.octet_length(F.to_json(F.struct(*table.columns)))
-    size = table.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")
+    return table.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes"),
+        *more,
     ).first()
-    return size["n"] <= max_rows and size["bytes"] <= max_bytes
+
+
+def is_small(size) -> bool:
+    """Whether a measurement is within the bounds of a broadcast."""
+    return size["n"] <= MAX_BROADCAST_ROWS and size["bytes"] <= MAX_BROADCAST_BYTES
+
+
+def fits_broadcast(table: DataFrame) -> bool:
+    """Whether a lookup table, or one it is reduced from, was measured to be small."""
+    return is_small(measure(table))
 
 
 def join_lookup(
@@ -29,21 +39,57 @@ def join_lookup(
     on: list[str],
     how: str = "left",
     spread_by: list[str | Column] = ("dataset", "doc_id"),
-    max_rows: int = MAX_BROADCAST_ROWS,
-    max_bytes: int = MAX_BROADCAST_BYTES,
-    salts: int = SALTS,
     fits: bool | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``facts`` joined with ``lookup`` on equal columns: inner, left, semi or anti.
 
-    A lookup table that was measured to be small is broadcast, so the facts do not move.
-    A larger one is repeated once per salt, and the facts of a key are spread over the
-    salts by ``spread_by`` (columns that tell rows apart), so that a key held by a third
-    of all facts is still the work of many tasks.
+    A lookup table that was measured to be small is broadcast, so the facts do not move
+    (``fits`` passes on an earlier measurement).  Otherwise both sides are shuffled by key,
+    and keys with more than ``hot_rows`` facts are split, see ``join_split``.
     """
-    if fits_broadcast(lookup, max_rows, max_bytes):
+    if fits is None:
+        fits = fits_broadcast(lookup)
+    if fits:
         return facts.join(F.broadcast(lookup), on, how)
-    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    every_salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    salted_lookup = lookup.withColumn("_salt", every_salt)
-    return salted_facts.join(salted_lookup, [*on, "_salt"], how).drop("_salt")
+    return join_split(facts, lookup, on, how, spread_by, hot_rows)
+
+
+def join_split(
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: list[str],
+    how: str,
+    spread_by: list[str | Column],
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Shuffle join in which frequent keys are spread over many tasks.
+
+    Facts are counted per key first (reduced on the map side).  A hot key gets one salt per
+    ``hot_rows`` facts; its facts are spread over the salts by ``spread_by`` (columns that
+    tell rows apart) and only its lookup rows are repeated.  At most ``MAX_HOT_KEYS`` keys
+    can be hot, which bounds what is broadcast.  Facts without a key match nothing and are
+    spread freely.
+    """
+    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    least = max(hot_rows, total // MAX_HOT_KEYS)
+    salts = F.ceil(F.col("_n") / F.lit(least)).alias("_salts")
+    hot = F.broadcast(counts.where(F.col("_n") > least).select(*on, salts))
+
+    keyless = F.lit(False)
+    for name in on:
+        keyless = keyless | F.col(name).isNull()
+    ways = F.when(keyless, F.lit(FREE_SALTS)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = facts.join(hot, on, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*spread_by), ways)
+    )
+    last = F.coalesce("_salts", F.lit(1)).cast("bigint") - 1
+    repeated = lookup.join(hot, on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last))
+    )
+    return (
+        salted.drop("_salts")
+        .join(repeated.drop("_salts"), [*on, "_salt"], how)
+        .drop("_salt")
+    )

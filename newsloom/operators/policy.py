@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
-from newsloom.operators.lookup import join_lookup
+from newsloom.operators.lookup import fits_broadcast, join_lookup
 
 
 def is_free(method: Column) -> Column:
@@ -42,6 +42,7 @@ def with_method(
     methods = policy.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(
         F.min_by("method", "id").alias("method")
     )
+    fits = fits_broadcast(policy.select("id", "domain", "suffix", "method"))
     return join_lookup(
-        documents.withColumns(keys), methods, list(keys), "left", spread_by
+        documents.withColumns(keys), methods, list(keys), "left", spread_by, fits=fits
     ).drop(*keys)
