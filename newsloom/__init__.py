@@ -9,3 +9,11 @@ sources     readers and writers for the engine's tables
 streaming   incremental versions of the jobs on Structured Streaming
 catalog     named queries over the shared test tables with their SQL twins
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers carry their code along, so the package need not be
+# installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from newsloom import schemas
 
@@ -29,7 +30,11 @@ def load_table(
         reader = reader.schema(schema)
     if source_format == "jdbc":
         return reader.option("dbtable", path).load()
-    return reader.load(path)
+    loaded = reader.load(path)
+    if schema is None:
+        return loaded
+    # Partition columns come last from files; keep the order of the schema.
+    return loaded.select(*StructType.fromDDL(schema).fieldNames())
 
 
 def save_table(
