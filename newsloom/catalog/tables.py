@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.sources.tables import spread
+
 SUFFIXES = ["com", "net", "org", "example.com", "example.net", "example.org"]
 TEMPLATES = [
     ("12ft_ladder", "https://first.route.test/{url}"),
@@ -24,8 +26,12 @@ def with_tables(names: list[str], body: str) -> str:
     return "WITH " + ",\n".join(f"{name} AS ({CTES[name]})" for name in names) + "\n" + body
 
 
+TEXT_TABLES = {"pages": "page_id", "documents": "doc_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows, TEXT_TABLES[name]) if name in TEXT_TABLES else rows
 
 
 def dataset_of(number: Column) -> Column:

@@ -15,6 +15,14 @@ def words(text: Column) -> Column:
 
 def best_language(found: Column, stop_words: dict[str, str]) -> Column:
     """Language with the most known words; of equally good ones the alphabetically first."""
+    known_to_any = sorted(set(" ".join(stop_words.values()).split()))
+    return let(
+        F.filter(found, lambda word: word.isin(known_to_any)),
+        lambda kept: most_hits(kept, stop_words),
+    )
+
+
+def most_hits(found: Column, stop_words: dict[str, str]) -> Column:
     ranked = []
     for place, language in enumerate(sorted(stop_words)):
         known = sorted(set(stop_words[language].split()))

@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from newsloom import fixed_values as fv
 
 
-def collapse_spaces(text: Column) -> Column:
-    """Runs of spaces become one space (other blanks stay)."""
-    return F.regexp_replace(text, " {2,}", " ")
+# Patterns replace runs, and single characters only where they change: most of a text is
+# left alone.
+LINE_BREAKS = "[\n\t ]{2,}|[\n\t]"
+UNDERSCORES = "[_ ]{2,}|_"
+PUNCTUATION = "[.,:|\n ]{2,}|[.,:|\n]"
+
+
+def one_line(text: Column) -> Column:
+    """Line breaks and tabs read as spaces; runs of spaces become one (other blanks stay)."""
+    return F.regexp_replace(text, LINE_BREAKS, " ")
 
 
 def strip_blanks(text: Column) -> Column:
@@ -22,17 +29,17 @@ def plain_apostrophes(text: Column) -> Column:
     """Every quote or apostrophe form, double quotes included, becomes ``'``."""
     for escaped in fv.ESCAPED_APOSTROPHES:
         text = F.replace(text, F.lit(escaped), F.lit("'"))
-    return F.translate(text, fv.APOSTROPHES, "'" * len(fv.APOSTROPHES))
+    return F.regexp_replace(text, f"[{fv.APOSTROPHES}]", "'")
 
 
 def tidy_text(text: Column) -> Column:
     """One line, single spaces, no outer blanks, plain apostrophes."""
-    return plain_apostrophes(strip_blanks(collapse_spaces(F.translate(text, "\n\t", "  "))))
+    return plain_apostrophes(strip_blanks(one_line(text)))
 
 
 def tidy_title(title: Column) -> Column:
     """``tidy_text`` with underscores read as spaces."""
-    return strip_blanks(collapse_spaces(F.translate(tidy_text(title), "_", " ")))
+    return strip_blanks(F.regexp_replace(tidy_text(title), UNDERSCORES, " "))
 
 
 def tidy_body(body: Column) -> Column:
@@ -71,14 +78,13 @@ def preprocess_html(html: Column) -> Column:
 
 def quality_title(title: Column) -> Column:
     """Form of a title the error phrases are matched against (ends are not trimmed)."""
-    spaced = F.translate(title, ",:|\n’", "    '")
-    spaced = F.translate(F.replace(spaced, F.lit(".0"), F.lit(" ")), ".", " ")
-    return collapse_spaces(spaced)
+    plain = F.replace(F.replace(title, F.lit("’"), F.lit("'")), F.lit(".0"), F.lit(" "))
+    return F.regexp_replace(plain, PUNCTUATION, " ")
 
 
 def quality_body(text: Column) -> Column:
     """Form of a body the error phrases are matched against (ends are not trimmed)."""
-    return collapse_spaces(F.translate(text, ".,:|\n’", "     '"))
+    return F.regexp_replace(F.replace(text, F.lit("’"), F.lit("'")), PUNCTUATION, " ")
 
 
 def decode_utf8(data: Column) -> Column:

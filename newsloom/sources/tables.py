@@ -37,6 +37,18 @@ def load_table(
     return loaded.select(*StructType.fromDDL(schema).fieldNames())
 
 
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """Give a table that comes in fewer splits than there are cores to all of them.
+
+    Meant for small inputs of costly rows (one file with texts, say).  A table large enough
+    to have a split per core is passed on as it is, without a shuffle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, *keys)
+
+
 def save_table(
     table: DataFrame,
     path: str,
