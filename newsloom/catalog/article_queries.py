@@ -418,3 +418,55 @@ def parse_log(spark, folder):
             F.sum("p").alias("n_parsed"),
         )
     )
+
+
+_HAS_RAW = "(has_raw OR broken)"
+
+
+@query(
+    with_tables(
+        [*_RAW, "reader_text", "reader_clean", "reader_parsed", "kinds"],
+        f"""
+SELECT CASE WHEN is_file AND {_HAS_RAW} THEN 'PDF' WHEN is_file THEN 'NONE'
+            WHEN {_HAS_RAW} AND has_reader THEN 'BOTH' WHEN {_HAS_RAW} THEN 'RAW'
+            WHEN has_reader THEN 'READER' ELSE 'NONE' END AS content_kind,
+       NOT {_HAS_RAW} AS raw_empty, NOT has_reader AS reader_empty,
+       NOT {_HAS_RAW} AND NOT has_reader AS both_empty, count(*) AS n_docs
+FROM kinds GROUP BY ALL""",
+    )
+)
+def content_kinds(spark, folder):
+    """FLT-8, FLT-9, FLT-11: documents by what is stored of them."""
+    raw, reader = F.col("raw"), F.col("reader")
+    return (
+        payload(spark, folder)
+        .groupBy(
+            "content_kind",
+            tx.is_empty_payload(raw).alias("raw_empty"),
+            tx.is_empty_payload(reader).alias("reader_empty"),
+            tx.both_empty(raw, reader).alias("both_empty"),
+        )
+        .agg(F.count(F.lit(1)).alias("n_docs"))
+    )
+
+
+@query(
+    with_tables(
+        _PARSE,
+        f"SELECT dataset, count(*) AS n_rows, count(title) AS n_titles, count(body) AS n_bodies, "
+        "count(publish_date) AS n_dates, count(authors) AS n_authors, count(language) AS n_languages, "
+        "count(top_image_url) AS n_images, count(media_urls) AS n_media, "
+        f"count(*) FILTER (WHERE is_empty) AS n_empty FROM (SELECT *, {_EMPTY} FROM parsed) "
+        "GROUP BY dataset",
+    )
+)
+def article_coverage(spark, folder):
+    """PRJ-2, AGG-1: how complete the articles of each dataset are."""
+    names = {
+        "title": "n_titles", "body": "n_bodies", "publish_date": "n_dates", "authors": "n_authors",
+        "language": "n_languages", "top_image_url": "n_images", "media_urls": "n_media",
+    }
+    counts = [F.count(column).alias(name) for column, name in names.items()]
+    return article_rows(parsed(spark, folder)).groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("n_rows"), *counts, F.count_if("is_empty").alias("n_empty")
+    )

@@ -9,6 +9,7 @@ from newsloom.catalog.registry import query
 from newsloom.catalog.tables import CTES, with_tables
 from newsloom.catalog.url_queries import policed_seed
 from newsloom.plans import retrieval
+from newsloom.session import cut_lineage
 
 _WORK = ["seed", "suffixes", "hosts", "split", "policy", "work"]
 _UNUSABLE = "('401','508','403','502','402','405','429','520','500','409','404','-')"
@@ -67,11 +68,13 @@ def _index_errors(work):
 
 
 def _plan(spark, folder):
-    work = policed_seed(spark, folder)
+    """Work table and plan.  Both feed several steps, so they are stored in between, as a
+    fetcher would need them anyway."""
+    work = cut_lineage(policed_seed(spark, folder))
     plan = retrieval.fetch_plan(
         work, tb.captures(spark, folder), tb.templates(spark), _index_errors(work)
     )
-    return work, plan
+    return work, cut_lineage(plan)
 
 
 def _results(plan):

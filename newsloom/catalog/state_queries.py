@@ -275,3 +275,4 @@ def import_new_documents(spark, folder):
     """SET-1: seed rows whose document is not known yet."""
     known = tb.status_log(spark, folder).where(F.col("state") == "PARSED")
     return ledger.new_documents(tb.seed(spark, folder), known).select("dataset", "doc_id", "url")
+

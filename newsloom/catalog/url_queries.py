@@ -10,7 +10,7 @@ from newsloom.catalog.tables import with_tables
 from newsloom.functions import urls
 from newsloom.operators.domains import split_domains
 from newsloom.operators.policy import is_free, route_label, with_method
-from newsloom.operators.redirects import resolve_redirects
+from newsloom.operators.redirects import redirect_edges, resolve_redirects
 from newsloom.sources.seeds import parse_seed_lines
 from newsloom.sources.tables import parse_policy_dump
 
@@ -175,3 +175,24 @@ def redirect_resolve(spark, folder):
     starts = tb.table(spark, folder, "pages").select(name.alias("url"))
     edges = tb.redirect_edges(spark, folder)
     return resolve_redirects(starts, edges, spread_by=["url"])
+
+
+@query(
+    "SELECT url AS from_url, CASE WHEN page_id % 3 = 0 THEN '/to/' || page_id ELSE '' END AS to_url "
+    "FROM pages WHERE page_id % 3 < 2"
+)
+def redirect_targets(spark, folder):
+    """URL-7, URL-8: targets named by simplified pages that redirect; others are no edges."""
+    number = F.col("page_id")
+    notice = F.lit("<html><body><p>Redirecting to...</p>")
+    link = F.concat(
+        F.lit('<div class="content"><p><a href="/to/'), number.cast("string"),
+        F.lit('">here</a> or <a href="/elsewhere">there</a></p></div>'),
+    )
+    html = (
+        F.when(number % 3 == 0, F.concat(notice, link))
+        .when(number % 3 == 1, F.concat(notice, F.lit('<div class="content">nowhere</div>')))
+        .otherwise(F.col("html"))
+    )
+    pages = tb.table(spark, folder, "pages").select("url", html.alias("reader"))
+    return redirect_edges(pages)

@@ -60,16 +60,16 @@ def chain_ends(edges: DataFrame) -> DataFrame:
             F.col("hops").alias("_hops"),
             F.col("done").alias("_done"),
         )
-        unfinished = jumps.where(~F.col("done"))
-        longer = join_lookup(
-            unfinished, onward, ["to_url"], "inner", ["from_url"], fits=fits
-        ).select(
-            "from_url",
-            F.col("_to").alias("to_url"),
-            (F.col("hops") + F.col("_hops")).alias("hops"),
-            F.col("_done").alias("done"),
+        # Finished jumps meet nothing here and stay as they are.
+        further = join_lookup(jumps, onward, ["to_url"], "left", ["from_url"], fits=fits)
+        jumps = cut_lineage(
+            further.select(
+                "from_url",
+                F.coalesce("_to", "to_url").alias("to_url"),
+                (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
+                F.coalesce("_done", "done").alias("done"),
+            )
         )
-        jumps = cut_lineage(jumps.where("done").unionByName(longer))
         open_before, open_now = open_now, jumps.where(~F.col("done")).count()
     return jumps.select(
         "from_url",
