@@ -10,6 +10,10 @@ from newsloom import schemas
 from newsloom.operators.state import KEY, current_flags
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_status(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """New files of a status log, as a stream."""
     reader = spark.readStream.schema(schemas.STATUS_LOG)
@@ -19,21 +23,30 @@ def stream_status(spark: SparkSession, path: str, files_per_batch: int = 100) ->
 def follow_flags(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Keep the flags of every document up to date.
 
-    The aggregation state of the stream holds one small row per document; each batch writes
-    the documents it changed to ``out/batch=<n>``, and ``read_flags`` takes the newest.
+    The aggregation state of the stream holds one small row per document, on disk rather
+    than in memory because documents are many; its number of partitions is fixed by
+    ``spark.sql.shuffle.partitions`` at the first start.  Each batch writes the documents it
+    changed to ``out/batch=<n>``, and ``read_flags`` takes the newest.
     """
+    conf = log.sparkSession.conf
+    before = conf.get(PROVIDER)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return (
-        current_flags(log)
-        .writeStream.outputMode("update")
-        .foreachBatch(write_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    conf.set(PROVIDER, ON_DISK)
+    try:
+        # A stream keeps the settings it was started with.
+        return (
+            current_flags(log)
+            .writeStream.outputMode("update")
+            .foreachBatch(write_batch)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        conf.set(PROVIDER, before)
 
 
 def read_flags(spark: SparkSession, out: str) -> DataFrame:
