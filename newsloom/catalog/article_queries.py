@@ -43,7 +43,10 @@ def _language(text: str) -> str:
     scores = sp.language(text)
     top = "greatest(" + ", ".join(expression for _, expression in scores) + ")"
     cases = " ".join(f"WHEN {expression} = {top} THEN '{code}'" for code, expression in scores)
-    return f"CASE WHEN coalesce({text}, '') = '' OR {top} = 0 THEN 'unknown' {cases} END"
+    return (
+        f"CASE WHEN coalesce({text}, '') = '' THEN 'unknown' WHEN {top} > 0 THEN CASE {cases} END "
+        f"{sp.script_cases(text)} ELSE 'unknown' END"
+    )
 
 
 # -- raw views ------------------------------------------------------------------------------

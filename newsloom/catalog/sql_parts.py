@@ -119,3 +119,11 @@ def main_text(x: str) -> str:
     region = f"coalesce({article}, {body}, {clean})"
     start = f"regexp_replace({region}, '^.*?<p(?:\\s[^>]*)?>', '', 'is')"
     return decode_entities(f"regexp_replace({start}, '</?[A-Za-z!?][^>]*>', ' ', 'g')")
+
+
+def script_cases(x: str) -> str:
+    """WHEN branches for texts without any known word."""
+    return " ".join(
+        f"WHEN regexp_matches({x}, '\\p{{{script}}}{{2}}') THEN '{code}'"
+        for script, code in fv.SCRIPT_LANGUAGES
+    )

@@ -223,8 +223,9 @@ def _language_sql() -> str:
     top = "greatest(" + ", ".join(f"s_{code}" for code, _ in scores) + ")"
     cases = " ".join(f"WHEN s_{code} = {top} THEN '{code}'" for code, _ in scores)
     return (
-        f"SELECT doc_id, lang, CASE WHEN {top} = 0 THEN 'unknown' {cases} END AS guessed "
-        f"FROM (SELECT doc_id, lang, {columns} FROM documents)"
+        f"SELECT doc_id, lang, CASE WHEN {top} > 0 THEN CASE {cases} END "
+        f"{sp.script_cases('text')} ELSE 'unknown' END AS guessed "
+        f"FROM (SELECT doc_id, lang, text, {columns} FROM documents)"
     )
 
 

@@ -184,7 +184,23 @@ BODY_PARKED = "is parked free courtesy of godaddy com"
 # Frequent short words per language (two-letter codes).
 STOP_WORDS = {
     "de": "der die das und ist in zu den von mit nicht ein eine für auf sich auch im dem des",
-    "en": "the of and to in is that it was for on with as are this be at by from or",
+    "en": "the a of and to in is that it was for on with as are this be at by from or",
     "es": "el la los las de que y en un una es por con para no se del al lo su",
     "fr": "le la les des et de du un une que qui dans pour est en au par sur pas avec",
+    "it": "il lo la gli di che e in un una per non con del della dei sono alla anche più",
+    "nl": "de het een en van in is dat op te zijn voor met niet aan er om ook als door",
+    "pt": "o a os as de que e do da em um uma para com não por dos das no na",
 }
+# Scripts that give a language away where no frequent word does, in the order of asking.
+SCRIPT_LANGUAGES = [
+    ("Hangul", "ko"),
+    ("Hiragana", "ja"),
+    ("Katakana", "ja"),
+    ("Han", "zh"),
+    ("Cyrillic", "ru"),
+    ("Greek", "el"),
+    ("Arabic", "ar"),
+    ("Hebrew", "he"),
+    ("Thai", "th"),
+    ("Devanagari", "hi"),
+]

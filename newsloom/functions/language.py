@@ -34,8 +34,16 @@ def most_hits(found: Column, stop_words: dict[str, str]) -> Column:
     return F.when(best["hits"] > 0, best["language"])
 
 
+def script_language(text: Column) -> Column:
+    """Language of a text in a script of its own; NULL for the Latin script."""
+    result = F.lit(None).cast("string")
+    for script, language in reversed(fv.SCRIPT_LANGUAGES):
+        result = F.when(text.rlike(rf"\p{{Is{script}}}{{2}}"), language).otherwise(result)
+    return result
+
+
 def guess_language(text: Column, stop_words: dict[str, str] | None = None) -> Column:
-    """Two-letter code of the best language; ``unknown`` for no text or no known word."""
+    """Two-letter code of the best language; ``unknown`` for no text and no clue."""
     stop_words = fv.STOP_WORDS if stop_words is None else stop_words
     best = let(words(text), lambda found: best_language(found, stop_words))
-    return F.coalesce(best, F.lit(fv.UNKNOWN_LANGUAGE))
+    return F.coalesce(best, script_language(text), F.lit(fv.UNKNOWN_LANGUAGE))

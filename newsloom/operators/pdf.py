@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as tx
 from newsloom.functions.dates import pdf_creation_date
 from newsloom.operators.extract import language_or_none, unreadable_date
+from newsloom.operators.ranking import integer_block
 
 KEY = ["dataset", "doc_id"]
+BLOCK_BITS = 10
 
 
-def joined_pages(pages: DataFrame) -> DataFrame:
+def _join(pages: DataFrame, key: list[str], order: str) -> DataFrame:
+    text = F.expr(f"listagg(text, '') WITHIN GROUP (ORDER BY {order}, text)")
+    return pages.groupBy(*key).agg(text.alias("text"))
+
+
+def joined_pages(pages: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Texts of all pages of a document in page order, as one text.
 
-    The result of a document is a single string, so the engine's limit on one value also
-    bounds what a task has to hold for it.
+    If some document has more pages than a block holds, pages are joined per block first,
+    so that sorting and joining the pages of one document is the work of many tasks.  What is
+    left for one task is to put the block texts into the one string that is the result.
     """
-    text = F.expr("listagg(text, '') WITHIN GROUP (ORDER BY page_no)")
-    return pages.groupBy(*KEY).agg(text.alias("text"))
+    most = pages.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (most or 0) <= 1 << block_bits:
+        return _join(pages, KEY, "page_no")
+    blocked = pages.withColumn("_block", integer_block(F.col("page_no"), block_bits))
+    return _join(_join(blocked, [*KEY, "_block"], "page_no"), KEY, "_block")
 
 
 def pdf_articles(

@@ -108,7 +108,7 @@ def is_bad_reader_body(fields: Column, compatible: bool = False) -> Column:
     return (
         ~F.coalesce(fields["has_content"], F.lit(False))
         | is_bad_body_text(text, compatible)
-        | text.contains(fv.LOREM_MARK)
+        | tx.quality_body(text).contains(fv.LOREM_MARK)
     )
 
 

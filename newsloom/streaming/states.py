@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,8 +12,29 @@ from newsloom import schemas
 from newsloom.operators.state import KEY, current_flags
 
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    # Commit what changed instead of the whole store.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the time of a block; a stream keeps those it was started with."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def stream_status(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -20,23 +43,25 @@ def stream_status(spark: SparkSession, path: str, files_per_batch: int = 100) ->
     return reader.option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def follow_flags(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def follow_flags(
+    log: DataFrame, out: str, checkpoint: str, partitions: int | None = None
+) -> StreamingQuery:
     """Keep the flags of every document up to date.
 
     The aggregation state of the stream holds one small row per document, on disk rather
-    than in memory because documents are many; its number of partitions is fixed by
-    ``spark.sql.shuffle.partitions`` at the first start.  Each batch writes the documents it
-    changed to ``out/batch=<n>``, and ``read_flags`` takes the newest.
+    than in memory because documents are many.  ``partitions`` is the number of state
+    partitions (default: ``spark.sql.shuffle.partitions``); the first start fixes it.  Each
+    batch writes the documents it changed to ``out/batch=<n>``, and ``read_flags`` takes the
+    newest.
     """
-    conf = log.sparkSession.conf
-    before = conf.get(PROVIDER)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    conf.set(PROVIDER, ON_DISK)
-    try:
-        # A stream keeps the settings it was started with.
+    wanted = dict(ON_DISK)
+    if partitions is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    with settings(log.sparkSession, wanted):
         return (
             current_flags(log)
             .writeStream.outputMode("update")
@@ -45,8 +70,6 @@ def follow_flags(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
             .trigger(availableNow=True)
             .start()
         )
-    finally:
-        conf.set(PROVIDER, before)
 
 
 def read_flags(spark: SparkSession, out: str) -> DataFrame:

@@ -186,12 +186,16 @@ def test_language(values):
             "Le chat et les chiens dans une maison",
             "Der Hund und die Katze sind nicht im Haus",
             "El perro y los gatos de una casa",
+            "Il cane e la gatta sono in una casa",
+            "新闻报道", "ニュース", "뉴스", "новости",
             "xyzzy",
             "",
             None,
         ],
     )
-    assert got == ["en", "fr", "de", "es", "unknown", "unknown", "unknown"]
+    assert got == [
+        "en", "fr", "de", "es", "it", "zh", "ja", "ko", "ru", "unknown", "unknown", "unknown",
+    ]
 
 
 def test_visible_text(values):

@@ -362,6 +362,16 @@ def test_pdf_pages_in_order(spark):
     assert got[2]["pdf_article_problem"] == "unreadable date: junk"
 
 
+def test_pdf_with_many_pages(spark):
+    pages = spark.createDataFrame(
+        [("d", doc, n, f"<{n}>") for doc, size in ((1, 50), (2, 3)) for n in range(size)],
+        "dataset STRING, doc_id INT, page_no INT, text STRING",
+    ).repartition(4)
+    blocked = rows(pdf.joined_pages(pages, block_bits=2))
+    assert blocked == rows(pdf.joined_pages(pages))
+    assert blocked[0] == ("d", 1, "".join(f"<{n}>" for n in range(50)))
+
+
 # -- redirects ---------------------------------------------------------------------------------
 
 
