@@ -12,7 +12,7 @@ from newsloom.functions import html as page
 from newsloom.functions import text as tx
 from newsloom.functions.html_fields import html_fields
 from newsloom.operators.extract import with_raw_article, with_reader_article
-from newsloom.operators.merge import join_views, merge_views
+from newsloom.operators.merge import is_empty_article, join_views, merge_views
 from newsloom.operators.pdf import pdf_articles
 from newsloom.plans.parsing import (
     ARTICLE_FIELDS,
@@ -239,8 +239,6 @@ def merge_fields(spark, folder):
 )
 def empty_article(spark, folder):
     """FLT-12: articles without any field (the language does not count)."""
-    from newsloom.operators.merge import is_empty_article
-
     merged = merge_views(_views(spark, folder)).drop("is_empty")
     keep = F.col("doc_id") % 2 == 0
     blanked = merged.withColumns(

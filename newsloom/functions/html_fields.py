@@ -7,6 +7,7 @@ Spark partitions the pages and bounds the batches by bytes.
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -59,6 +60,7 @@ class _ReaderPage(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack = []
+        self.open_tags = Counter()
         self.title, self.body, self.credits = _Region(), _Region(), _Region()
         self.content, self.link_box = _Region(), _Region()
         self.regions = [self.title, self.body, self.credits, self.content, self.link_box]
@@ -88,6 +90,7 @@ class _ReaderPage(HTMLParser):
                 region.done = tag in _NO_END_TAG
         if tag not in _NO_END_TAG:
             self.stack.append(tag)
+            self.open_tags[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -95,16 +98,18 @@ class _ReaderPage(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag not in self.stack:
+        if not self.open_tags[tag]:
             return
-        while self.stack.pop() != tag:
-            pass
+        closed = None
+        while closed != tag:
+            closed = self.stack.pop()
+            self.open_tags[closed] -= 1
         for region in self.regions:
             if region.is_open and len(self.stack) <= region.depth:
                 region.done = True
 
     def handle_data(self, data):
-        if not _NOT_TEXT.isdisjoint(self.stack):
+        if any(self.open_tags[tag] for tag in _NOT_TEXT):
             return
         for region in self.regions:
             if region.is_open:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
+from newsloom.operators.lookup import fits_broadcast
 from newsloom.operators.ranking import integer_block, row_numbers
 
 
@@ -42,9 +43,15 @@ def newest_parse_ready(work: DataFrame, dataset: str, limit: int = fv.PARSE_BATC
 
 
 def with_payload(worklist: DataFrame, payload: DataFrame) -> DataFrame:
-    """Fetch the payloads of a worklist with one join instead of one lookup per row."""
+    """Fetch the payloads of a worklist with one join instead of one lookup per row.
+
+    A worklist that was measured to be small is sent to the payloads, which then stay where
+    they are; only a large one makes both sides move.
+    """
     blobs = payload.select("dataset", "doc_id", "raw", "reader")
-    return worklist.join(blobs, ["dataset", "doc_id"])
+    if fits_broadcast(worklist):
+        worklist = F.broadcast(worklist)
+    return blobs.join(worklist, ["dataset", "doc_id"])
 
 
 def shuffle_key(seed: int) -> Column:

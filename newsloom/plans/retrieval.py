@@ -32,12 +32,14 @@ def variant_rows(work: DataFrame, strict_scheme: bool = False) -> DataFrame:
     return exploded.withColumn("variant_no", F.col("_position") + 1).drop("_position")
 
 
-def index_plan(work: DataFrame, captures: DataFrame) -> DataFrame:
+def index_plan(
+    work: DataFrame, captures: DataFrame, strict_scheme: bool = False
+) -> DataFrame:
     """Index queries still to be made: one per variant of each HTML document that has no
     captures on file."""
     pages = work.where(~urls.is_pdf(F.col("url")))
     missing = pages.join(captures_per_document(captures).select(*KEY), KEY, "left_anti")
-    return variant_rows(missing).select(
+    return variant_rows(missing, strict_scheme).select(
         *KEY, "variant_no", urls.index_url(F.col("variant")).alias("location")
     )
 
@@ -51,7 +53,9 @@ def _location(stage: int, variant_no: Column, view: str, location: Column) -> Co
     )
 
 
-def direct_plan(work: DataFrame, templates: DataFrame) -> DataFrame:
+def direct_plan(
+    work: DataFrame, templates: DataFrame, strict_scheme: bool = False
+) -> DataFrame:
     """All locations but archived copies, in one pass over the work table.
 
     Files: their first address.  Gated pages: the policy locations, raw view only, from the
@@ -59,7 +63,7 @@ def direct_plan(work: DataFrame, templates: DataFrame) -> DataFrame:
     addresses.
     """
     routed = join_lookup(work, templates, ["method"], "left", KEY).withColumn(
-        "_variants", urls.url_variants(F.col("url"))
+        "_variants", urls.url_variants(F.col("url"), strict_scheme)
     )
     variants, template = F.col("_variants"), F.col("template")
     is_file = urls.is_pdf(F.col("url"))
@@ -133,6 +137,7 @@ def fetch_plan(
     templates: DataFrame,
     index_errors: DataFrame | None = None,
     allowed: list[str] | None = None,
+    strict_scheme: bool = False,
 ) -> DataFrame:
     """All locations to try, by ``(stage_rank, statuscode, timestamp, variant_no)``.
 
@@ -142,7 +147,8 @@ def fetch_plan(
     failed (``index_errors``) gets neither.
     """
     marked = mark_index_failures(work, index_errors)
-    return direct_plan(marked, templates).unionByName(archive_plan(marked, captures, allowed))
+    direct = direct_plan(marked, templates, strict_scheme)
+    return direct.unionByName(archive_plan(marked, captures, allowed))
 
 
 def decode_views(results: DataFrame, is_file: Column) -> DataFrame:
