@@ -67,9 +67,8 @@ def direct_plan(
     )
     variants, template = F.col("_variants"), F.col("template")
     is_file = urls.is_pdf(F.col("url"))
-    none = F.filter(
-        F.transform(variants, lambda v: _location(LIVE_STAGE, F.lit(0), fv.BOTH, v)),
-        lambda item: F.lit(False),
+    none = F.array().cast(
+        "array<struct<stage_rank: int, variant_no: int, view: string, location: string>>"
     )
     first = F.slice(variants, 1, 1)
     files = F.transform(first, lambda v: _location(ARCHIVE_STAGE, F.lit(1), fv.PDF, v))

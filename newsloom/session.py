@@ -23,14 +23,19 @@ def local_session(cores: int | str = 8, app: str = "newsloom") -> SparkSession:
     )
 
 
+_own_folder: str | None = None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in
     ``spark.checkpoint.dir``; a temporary one only where none is set (local runs)."""
+    global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="newsloom-")
+    return _own_folder
 
 
 def cut_lineage(table: DataFrame) -> DataFrame:
