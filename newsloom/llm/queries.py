@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import quality_rules
+from newsloom.llm import ngram_join, quality_rules
 from newsloom.llm.tables import read
 
 TWINS: dict[str, str] = {}
 
 
+def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.linked_components(read(spark, folder, "documents"), size=4, percent=85)
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents")
     forest = quality_rules.fit_rules(documents, read(spark, folder, "labels"))
@@ -17,5 +21,6 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
 }
