@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import ngram_join, quality_rules
+from newsloom.llm import ngram_join, quality_rules, suffix_index
 from newsloom.llm.tables import read
 
 TWINS: dict[str, str] = {}
@@ -14,6 +14,10 @@ def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.linked_components(read(spark, folder, "documents"), size=4, percent=85)
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_index.digest(suffix_index.remove_repeats(read(spark, folder, "documents")))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents")
     forest = quality_rules.fit_rules(documents, read(spark, folder, "labels"))
@@ -22,5 +26,6 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
