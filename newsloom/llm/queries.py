@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import ngram_join, quality_rules, suffix_index
+from newsloom.llm import ngram_join, packing, quality_rules, suffix_index, tokens
 from newsloom.llm.tables import read
 
 TWINS: dict[str, str] = {}
 
 
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents"), tokens.default_path())
+
+
 def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.linked_components(read(spark, folder, "documents"), size=4, percent=85)
 
@@ -25,6 +29,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
