@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import ngram_join, packing, quality_rules, suffix_index, tokens
+from newsloom.llm import (
+    line_dedup, ngram_join, packing, quality_rules, suffix_index, tokens,
+)
 from newsloom.llm.tables import read
 
 TWINS: dict[str, str] = {}
@@ -28,9 +30,14 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(documents, forest)
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.remove_lines(read(spark, folder, "documents")))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
 }
