@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm import (
-    line_dedup, ngram_join, packing, quality_rules, suffix_index, tokens,
+    line_dedup, ngram_join, packing, quality_rules, suffix_index, tokens, toxicity,
 )
 from newsloom.llm.tables import read
 
@@ -24,6 +24,11 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_index.digest(suffix_index.remove_repeats(read(spark, folder, "documents")))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents")
+    return toxicity.score(documents, toxicity.train(documents, read(spark, folder, "labels")))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents")
     forest = quality_rules.fit_rules(documents, read(spark, folder, "labels"))
@@ -38,6 +43,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
