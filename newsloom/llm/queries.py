@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsloom.llm import (
-    line_dedup, ngram_join, packing, quality_rules, suffix_index, tokens, toxicity,
+    line_dedup, ngram_join, packing, quality_rules, suffix_index, tokens, top_k,
+    toxicity,
 )
 from newsloom.llm.tables import read
 
 TWINS: dict[str, str] = {}
 
 
+def op1_top_k_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = top_k.scaled(read(spark, folder, "embeddings"))
+    return top_k.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), tokens.default_path())
 
@@ -40,6 +47,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_top_k_search": op1_top_k_search,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_suffix_dedup": op6_suffix_dedup,
