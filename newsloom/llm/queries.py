@@ -6,12 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import (
-    line_dedup, ngram_join, packing, quality_rules, suffix_index, tokens, top_k,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    quality_rules,
+    site_quality,
+    suffix_index,
+    token_counts,
+    tokens,
+    top_k,
     toxicity,
-)
-from newsloom.llm.tables import read
+)
+from newsloom.llm.tables import new_folder, read
 
-TWINS: dict[str, str] = {}
+TWINS: dict[str, str] = {"op7_mixing": mixing.twin_sql()}
 
 
 def op1_top_k_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,6 +32,30 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), tokens.default_path())
 
 
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Load with estimates, revise to exact counts (twice: the second does nothing), take out
+    later exact copies; the totals."""
+    documents = read(spark, folder, "documents")
+    version = "word_bpe_49k"
+    rollup = token_counts.Rollup(spark, new_folder(spark, "rollup"))
+    estimate = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).cast("bigint")
+    estimated = documents.select("doc_id", "source", "lang", estimate.alias("tokens"))
+    rollup.apply("load", token_counts.changes(estimated, "insert", version))
+    exact = token_counts.counted(documents, tokens.default_path())
+    for _ in range(2):
+        rollup.apply("count", token_counts.changes(exact, "revise", version))
+    copies = token_counts.later_copies(documents)
+    rollup.apply("copies", token_counts.changes(copies, "delete", version))
+    return rollup.totals()
+
+
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Hosts are the sources; the sections of a host are its languages."""
+    path = F.concat_ws("/", "source", "lang")
+    documents = read(spark, folder, "documents")
+    return site_quality.classify(documents, read(spark, folder, "labels"), F.col("source"), path)
+
+
 def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.linked_components(read(spark, folder, "documents"), size=4, percent=85)
 
@@ -31,6 +64,12 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_index.digest(suffix_index.remove_repeats(read(spark, folder, "documents")))
 
 
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    topics = mixing.embedding_topics(read(spark, folder, "embeddings"))
+    mixed = mixing.mix(read(spark, folder, "documents"), topics)
+    return mixed.withColumn("probability", F.round("probability", 6))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents")
     return toxicity.score(documents, toxicity.train(documents, read(spark, folder, "labels")))
@@ -49,8 +88,11 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_top_k_search": op1_top_k_search,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_token_counts": op3_token_counts,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
