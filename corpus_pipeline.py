@@ -1,15 +1,17 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate documents, mixing, packing.
 
 ``STAGES`` lists the stages; each takes (spark, docs, sf_dir) and works on all that its
-predecessor kept. ``run`` applies them in order, each result stored before the next reads it.
+predecessor kept. All but the last return the columns of documents. ``run`` applies them in
+order, each result stored before the next reads it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import quality_rules
-from newsloom.llm.tables import read, stored
+from newsloom.llm import line_dedup, mixing, ngram_join, packing, quality_rules, tokens
+from newsloom.llm.tables import read, stored, without
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +20,45 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality_rules.keep_good(docs, forest)
 
 
-STAGES = [("quality_rules", good_documents)]
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that earlier lines repeat; a document that loses all its words
+    goes. ``n_chars`` follows the text where lines went."""
+    lines = line_dedup.remove_lines(docs)
+    changed = F.size("removed_lines") > 0
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        length = F.char_length("kept_text").cast(kind)
+        new["n_chars"] = F.when(changed, length).otherwise(F.col("n_chars"))
+    empty = changed & ~F.col("kept_text").rlike("[^\\x20\\x09-\\x0D]")
+    return lines.where(~empty).withColumns(new).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near duplicates."""
+    groups = ngram_join.linked_components(docs, size=5, percent=80)
+    return without(docs, "doc_id", groups.where("component_id <> doc_id").select("doc_id"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources, languages and topics meet their target shares."""
+    topics = mixing.embedding_topics(read(spark, sf_dir, "embeddings"))
+    drawn = stored(mixing.mix(docs, topics).where("NOT kept").select("doc_id").distinct(), "left-out")
+    return without(docs, "doc_id", drawn)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their token ids and their place in the training sequences."""
+    return packing.pack(docs, tokens.default_path(), with_ids=True)
+
+
+STAGES = [
+    ("quality_rules", good_documents),
+    ("line_dedup", fresh_lines),
+    ("ngram_jaccard", one_of_each),
+    ("mixing", mixed),
+    ("packing", packed),
+]
 
 #: Trees fitted to labels and byte-pair encoding are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None

@@ -53,3 +53,19 @@ def prune(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
         .join(F.broadcast(buckets), "_bucket", "left_semi")
         .drop("_bucket")
     )
+
+
+def without(table: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows of ``table`` whose key is not in ``gone``; rows without a key stay.
+
+    Rows whose bucket holds no such key are passed on as they are; only the others are joined."""
+    buckets = gone.select(bucket_of(F.col(key)).alias("_bucket")).distinct()
+    # A row travels as one value, so that no name of its columns can clash.
+    rows = table.select(
+        F.struct("*").alias("row"), F.col(key).alias("_key"), bucket_of(F.col(key)).alias("_bucket")
+    )
+    clean = rows.join(F.broadcast(buckets), "_bucket", "left_anti")
+    met = rows.join(F.broadcast(buckets), "_bucket", "left_semi").join(
+        gone.select(F.col(key).alias("_key")), "_key", "left_anti"
+    )
+    return met.select("row.*").union(clean.select("row.*"))
