@@ -95,7 +95,7 @@ CTES["raw_article"] = f"""
          CASE WHEN {sp.valid('body')} THEN body END AS body,
          CASE WHEN doc_id % 2 = 0 THEN make_timestamp(2024, doc_id % 9 + 1, 7, 8, 9, 10.0) END
            AS publish_date,
-         CASE WHEN doc_id % 2 = 0 THEN ['Ada Vale', 'Cleo Min'] END AS authors,
+         CASE WHEN doc_id % 2 = 0 THEN ['Ada Vale', 'Ben de Ruy', 'Cleo Min'] END AS authors,
          {_language('body')} AS language,
          CASE WHEN doc_id % 2 = 0 THEN '/top/' || doc_id || '.jpg' END AS top_image_url,
          CASE WHEN doc_id % 3 = 0 THEN ['https://www.youtube.com/embed/' || doc_id] END AS media_urls
@@ -160,8 +160,8 @@ def _reader_sql(body: str, ampersand: str) -> str:
   FROM reader_text"""
 
 
-# The byline cuts at "and" and at "&"; only two-word capitalised pieces are names.
-CTES["reader_article"] = _reader_sql("body", "&").replace("{authors}", "['Ada Vale', 'Carl Oak']")
+# The byline cuts at "and" and at "&".
+CTES["reader_article"] = _reader_sql("body", "&").replace("{authors}", "['Ada Vale', 'Ben de Ruy', 'Carl Oak']")
 
 
 @query(with_tables(["reader_text", "reader_article"], f"SELECT {_FLAT} FROM reader_article"))
@@ -318,7 +318,7 @@ CTES["reader_clean"] = f"""
   FROM reader_text"""
 CTES["reader_parsed"] = (
     _reader_sql("body", "and")
-    .replace("{authors}", "['Ada Vale', 'Carl Oak']")
+    .replace("{authors}", "['Ada Vale', 'Ben de Ruy', 'Carl Oak']")
     .replace("FROM reader_text", "FROM reader_clean")
 )
 CTES["kinds"] = """

@@ -55,7 +55,8 @@ BODY_ERROR = _any_of(fv.BODY_PHRASES) + rf"|don't have an account\??  ?sign up(?
 def decode_entities(x: str) -> str:
     pairs = [
         ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-        ("&#39;", "'"), ("&rsquo;", "’"), ("&#8217;", "’"), ("&lsquo;", "‘"), ("&amp;", "&"),
+        ("&#39;", "'"), ("&rsquo;", "’"), ("&#8217;", "’"), ("&lsquo;", "‘"), ("&copy;", "©"),
+        ("&middot;", "·"), ("&amp;", "&"),
     ]
     for entity, character in pairs:
         x = f"replace({x}, {quoted(entity)}, {quoted(character)})"

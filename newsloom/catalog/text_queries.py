@@ -195,10 +195,19 @@ def pdf_date(spark, folder):
     )
 
 
+_PARTICLES = (
+    "van von der den de del della dei di da das do dos du des la le las los el al bin bint ibn ben "
+    "ter ten zu zum zur af av och st"
+).split()
 _PIECES = (
     "list_filter(regexp_split_to_array(text, "
     "'\\s*[,;|&\\n]\\s*|\\s+(?:and|und|et|y)\\s+'), lambda p: regexp_matches(p, "
-    "'^\\p{Lu}[\\p{L}.''’\\-]*(?: \\p{Lu}[\\p{L}.''’\\-]*){1,3}$'))"
+    + sp.quoted(
+        r"^(?:\p{Lu}[\p{L}\p{M}.'’\-]*|" + "|".join(_PARTICLES) + r")(?: (?:\p{Lu}[\p{L}\p{M}.'’\-]*|"
+        + "|".join(_PARTICLES) + r"))* \p{Lu}[\p{L}\p{M}.'’\-]*$"
+        r"|^[\p{Lo}\p{M}]+(?:[ ·・][\p{Lo}\p{M}]+)*$"
+    )
+    + "))"
 )
 
 

@@ -1,7 +1,8 @@
 """Author names from a byline.
 
 A rule, all in expressions: drop a leading "by", cut at separators, keep the pieces
-that look like a person's name (two to four capitalised words).  Order and repeats are
+that look like a person's name: two or more words, capitalised or particles, the last one
+capitalised; or words of a script without case.  Order and repeats are
 kept.  ``model_authors`` plugs in a named-entity model of the user's choice instead.
 """
 
@@ -18,7 +19,16 @@ from newsloom.functions.arrays import null_if_no_items
 # ---- fixed values: patterns ----------------------------------------------------------
 LEAD_IN = r"^\s*(?:[Bb]y|BY|[Vv]on|VON|[Pp]ar|PAR|[Pp]or|POR)\s+"
 SEPARATOR = r"\s*[,;|&\n]\s*|\s+(?:and|und|et|y)\s+"
-NAME = r"^\p{Lu}[\p{L}.'’\-]*(?: \p{Lu}[\p{L}.'’\-]*){1,3}$"
+PARTICLE = (
+    "(?:van|von|der|den|de|del|della|dei|di|da|das|do|dos|du|des|la|le|las|los|el|al|bin|bint|ibn"
+    "|ben|ter|ten|zu|zum|zur|af|av|och|st)"
+)
+CAPITALISED = r"\p{Lu}[\p{L}\p{M}.'’\-]*"
+NAME = (
+    rf"^(?:{CAPITALISED}|{PARTICLE})(?: (?:{CAPITALISED}|{PARTICLE}))* {CAPITALISED}$"
+    r"|^[\p{Lo}\p{M}]+(?:[ ·・][\p{Lo}\p{M}]+)*$"
+)
+# --------------------------------------------------------------------------------------
 
 
 def byline_names(byline: Column) -> Column:

@@ -1,8 +1,9 @@
 """Reading of publish dates.
 
-A date is read by its shape: the first pattern that fits picks the one format that is
-tried, so no row runs through a chain of failing parsers.  Written UTC offsets are
-dropped without converting, and results carry no zone.
+The time of day is taken out first, wherever it stands.  What is left is read by its shape: the
+first pattern that fits picks the one format that is tried, so no row runs through a chain of
+failing parsers.  Written UTC offsets are dropped without converting, and results carry no zone.
+In numeric dates the month comes first, unless the first number can only be a day.
 """
 
 from __future__ import annotations
@@ -12,28 +13,37 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.arrays import let
 
-# ---- fixed values: accepted spellings (pattern, format) ------------------------------
+# ---- fixed values: accepted spellings of a day (pattern, format) -----------------------
+MONTH = "(?:0?[1-9]|1[0-2])"
 DATE_SHAPES = [
-    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "yyyy-M-d H:mm:ss"),
-    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2}$", "yyyy-M-d H:mm"),
     (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "yyyy-M-d"),
-    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "yyyy/M/d H:mm:ss"),
     (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d"),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/yyyy"),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$", "M/d/yyyy H:mm"),
-    (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$", "d MMM yyyy"),
-    (r"^[0-9]{1,2} [A-Za-z]{4,} [0-9]{4}$", "d MMMM yyyy"),
-    (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "d MMM yyyy H:mm:ss"),
+    (r"^[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}$", "yyyy.M.d"),
+    (rf"^{MONTH}/[0-9]{{1,2}}/[0-9]{{4}}$", "M/d/yyyy"),
+    (rf"^{MONTH}-[0-9]{{1,2}}-[0-9]{{4}}$", "M-d-yyyy"),
+    (rf"^{MONTH}\.[0-9]{{1,2}}\.[0-9]{{4}}$", "M.d.yyyy"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "d/M/yyyy"),
+    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "d-M-yyyy"),
+    (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", "d.M.yyyy"),
+    (r"^[0-9]{1,2}[ -][A-Za-z]{3}[ -][0-9]{4}$", "d MMM yyyy"),
+    (r"^[0-9]{1,2}[ -][A-Za-z]{4,}[ -][0-9]{4}$", "d MMMM yyyy"),
     (r"^[A-Za-z]{3} [0-9]{1,2} [0-9]{4}$", "MMM d yyyy"),
     (r"^[A-Za-z]{4,} [0-9]{1,2} [0-9]{4}$", "MMMM d yyyy"),
-    (r"^[A-Za-z]{3} [0-9]{1,2} [0-9]{4} [0-9]{1,2}:[0-9]{2}$", "MMM d yyyy H:mm"),
-    (r"^[A-Za-z]{4,} [0-9]{1,2} [0-9]{4} [0-9]{1,2}:[0-9]{2}$", "MMMM d yyyy H:mm"),
+    (r"^[0-9]{4} [A-Za-z]{3} [0-9]{1,2}$", "yyyy MMM d"),
+    (r"^[0-9]{4} [A-Za-z]{4,} [0-9]{1,2}$", "yyyy MMMM d"),
     (r"^[0-9]{8}$", "yyyyMMdd"),
-    (r"^[0-9]{14}$", "yyyyMMddHHmmss"),
 ]
-WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,? +"
-FRACTION = r"([0-9]:[0-9]{2})\.[0-9]+"
-ZONE = r"(?i) *(z|utc|gmt|[+-][0-9]{2}:?[0-9]{2})$"
+SECONDS_SHAPE = "^(?:19|20)[0-9]{12}$"
+WEEKDAY = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,? +"
+FRACTION = r"([0-9]:[0-9]{2})[.,][0-9]+"
+ZONE = (
+    r"(?i)([0-9ap]m?\.?) *\(?(?:z|utc|gmt|[ecmp][sd]t|cet|cest|bst|ist|jst|msk|eet|eest|wet|west"
+    r"|(?:utc|gmt)? ?[+-][0-9]{1,2}:?(?:[0-9]{2})?)\)?$"
+)
+TIME = r"(?i)(?:\bat )?\b([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?: ?([ap])\.?m\b\.?)?"
+# Years 1 to 9999, the only ones a timestamp can hold.
+MOST_SECONDS = 253402300799
+# --------------------------------------------------------------------------------------
 
 
 def is_epoch(date: Column) -> Column:
@@ -48,35 +58,72 @@ def is_in_millis(epoch: Column, as_of: Column) -> Column:
 
 
 def normal_spelling(date: Column) -> Column:
-    """One spelling for what means the same: no weekday, fraction, comma, zone or ``T``."""
+    """One spelling for what means the same: no weekday, fraction, comma, zone, ordinal, dot
+    after a month or ``T``."""
     text = F.regexp_replace(F.btrim(date), WEEKDAY, "")
     text = F.regexp_replace(text, FRACTION, "$1")
     text = F.regexp_replace(text, r"([0-9])[Tt]([0-9])", "$1 $2")
-    text = F.regexp_replace(text, ZONE, "")
-    return F.regexp_replace(text, "[, ]+", " ")
+    text = F.when(text.rlike("[0-9]:[0-9]{2}"), F.regexp_replace(text, ZONE, "$1")).otherwise(text)
+    text = F.regexp_replace(text, r"(?i)\b([0-9]{1,2})(?:st|nd|rd|th)\b", "$1")
+    text = F.regexp_replace(text, r"(?i)\bsept\b", "Sep")
+    text = F.regexp_replace(text, r"([A-Za-z]{3,})\.", "$1")
+    return F.btrim(F.regexp_replace(text, "[, ]+", " "))
+
+
+def _moment(epoch: Column, as_of: Column) -> Column:
+    """An epoch as TIMESTAMP; NULL outside the years 1 to 9999 (nothing overflows)."""
+    millis = F.when(F.abs(epoch) <= MOST_SECONDS * 1000, epoch)
+    seconds = F.when(F.abs(epoch) <= 62135596800, epoch).when(
+        (epoch > 0) & (epoch <= MOST_SECONDS), epoch
+    )
+    return F.when(is_in_millis(epoch, as_of), F.timestamp_millis(millis)).otherwise(
+        F.timestamp_seconds(seconds)
+    )
+
+
+def _day(text: Column) -> Column:
+    day = F.initcap(text)
+    result = F.lit(None).cast("timestamp_ntz")
+    for pattern, date_format in reversed(DATE_SHAPES):
+        spaced = F.translate(day, "-", " ") if "MMM" in date_format else day
+        parsed = F.try_to_timestamp(spaced, F.lit(date_format)).cast("timestamp_ntz")
+        result = F.when(text.rlike(pattern), parsed).otherwise(result)
+    return result
+
+
+def _time(text: Column) -> Column:
+    """Seconds of the day as written, 0 without a time; NULL if there is no such time."""
+    hour, minute, second = (
+        F.coalesce(F.regexp_extract(text, TIME, k).try_cast("int"), F.lit(0)) for k in (1, 2, 3)
+    )
+    half = F.lower(F.regexp_extract(text, TIME, 4))
+    hour = F.when(half == "", hour).when(
+        hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0)
+    )
+    return F.when(
+        (hour <= 23) & (minute <= 59) & (second <= 59), hour * 3600 + minute * 60 + second
+    )
+
+
+def _written(text: Column) -> Column:
+    day = _day(F.btrim(F.regexp_replace(F.regexp_replace(text, TIME, " "), " +", " ")))
+    return day + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), _time(text).cast("decimal(18,6)"))
 
 
 def parse_date(date: Column, as_of: Column | None = None) -> Column:
     """Publish date as TIMESTAMP_NTZ; NULL where it cannot be read.
 
     Integers are epochs in seconds, or in milliseconds if they lie after ``as_of``
-    (default: now), shown in the session time zone.
+    (default: now), shown in the session time zone; but eight digits are a day, and fourteen
+    that begin with 19 or 20 a day and time.
     """
     as_of = F.current_timestamp() if as_of is None else as_of
-    epoch = date.try_cast("bigint")
-    moment = F.when(is_in_millis(epoch, as_of), F.timestamp_millis(epoch)).otherwise(
-        F.timestamp_seconds(epoch)
-    )
-
-    def by_shape(text: Column) -> Column:
-        result = F.lit(None).cast("timestamp_ntz")
-        for pattern, date_format in reversed(DATE_SHAPES):
-            parsed = F.try_to_timestamp(text, F.lit(date_format)).cast("timestamp_ntz")
-            result = F.when(text.rlike(pattern), parsed).otherwise(result)
-        return result
-
-    return F.when(is_epoch(date), moment.cast("timestamp_ntz")).otherwise(
-        let(normal_spelling(date), by_shape)
+    seconds = F.try_to_timestamp(F.btrim(date), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
+    moment = _moment(date.try_cast("bigint"), as_of).cast("timestamp_ntz")
+    return (
+        F.when(F.btrim(date).rlike(SECONDS_SHAPE), seconds)
+        .when(is_epoch(date), moment)
+        .otherwise(let(normal_spelling(date), _written))
     )
 
 
@@ -86,8 +133,10 @@ def date_error(date: Column, parsed: Column) -> Column:
 
 
 def pdf_creation_date(value: Column) -> Column:
-    """``D:YYYYMMDDHHmmSS...`` as TIMESTAMP_NTZ; NULL where absent or unreadable."""
-    digits = F.regexp_extract(value, r"^D:([0-9]{14})", 1)
-    return F.try_to_timestamp(F.nullif(digits, F.lit("")), F.lit("yyyyMMddHHmmss")).cast(
-        "timestamp_ntz"
+    """``D:YYYYMMDDHHmmSS...`` as TIMESTAMP_NTZ; NULL where absent or unreadable.  All parts
+    after the year may be left out, from the end."""
+    digits = F.regexp_extract(value, r"^(?:D:)?([0-9]{4}(?:[0-9]{2}){0,5})", 1)
+    full = F.concat(digits, F.substring(F.lit("00000101000000"), F.length(digits) + 1, F.lit(14)))
+    return F.when(
+        digits != "", F.try_to_timestamp(full, F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
     )

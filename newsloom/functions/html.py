@@ -7,9 +7,14 @@ and spell out the blank class, so they mean the same in other engines.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.arrays import let
+
 # ---- fixed values: patterns ----------------------------------------------------------
 TITLES = r"(?is)<title[^>]*>(.*?)</title>"
 BODIES = r"(?is)<body[^>]*>(.*?)</body>"
@@ -19,9 +24,11 @@ IMAGE = r"(?is)<img\s[^>]*>"
 MEDIA = r"(?is)<(?:iframe|embed|video|source)\s[^>]*>"
 TIME = r"(?is)<time\s[^>]*>"
 ARTICLE = r"(?is)<article[^>]*>(.*)</article>"
-CONTENT = r"(?is)content\s*=\s*[\"']([^\"']*)[\"']"
-SOURCE = r"(?is)\ssrc\s*=\s*[\"']([^\"']*)[\"']"
-DATETIME = r"(?is)\sdatetime\s*=\s*[\"']([^\"']*)[\"']"
+# An attribute's value ends at the quote sign that opened it; without one, at a blank.
+VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+CONTENT = r"(?is)\scontent" + VALUE
+SOURCE = r"(?is)\ssrc" + VALUE
+DATETIME = r"(?is)\sdatetime" + VALUE
 CODE = (
     r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
     r"|<template\b.*?(?:</template\s*>|\z)|<!--.*?(?:-->|\z)"
@@ -32,20 +39,12 @@ FURNITURE = (
     r"|<aside\b.*?</aside\s*>|<figure\b.*?</figure\s*>|<form\b.*?</form\s*>"
 )
 BEFORE_FIRST_PARAGRAPH = r"(?is)^.*?<p(?:\s[^>]*)?>"
-# Order matters: the ampersand comes last so that nothing is decoded twice.
-ENTITIES = [
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&rsquo;", "’"),
-    ("&#8217;", "’"),
-    ("&lsquo;", "‘"),
-    ("&amp;", "&"),
-]
-VIDEO_HOSTS = r"(?i)youtube|youtu\.be|vimeo|dailymotion|kewego"
+ELSEWHERE = r"(?i)^(?:[a-z][a-z0-9+.\-]*:)?//"
+ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# --------------------------------------------------------------------------------------
+
+# Named entities as the standard library has them; a blank that must not break is a blank.
+NAMED = {name[:-1]: value for name, value in html5.items() if name.endswith(";")} | {"nbsp": " "}
 
 
 def titles(html: Column) -> Column:
@@ -58,11 +57,40 @@ def bodies(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(BODIES), F.lit(1))
 
 
+def _character(name: Column) -> Column:
+    """What an entity stands for (name without ``&`` and ``;``); NULL if there is no such."""
+    digits = F.substring(name, 2, 8)
+    number = F.when(
+        F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substring(name, 3, 8), 16, 10)
+    ).otherwise(digits)
+    code = number.try_cast("int")
+    known = (code.between(1, 0xD7FF)) | code.between(0xE000, 0x10FFFF)
+    bytes_of = F.unhex(F.lpad(F.hex(F.when(known, code)), 8, "0"))
+    named = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+    return F.when(F.substring(name, 1, 1) == "#", F.decode(bytes_of, "UTF-32")).otherwise(
+        F.try_element_at(named, name)
+    )
+
+
+def _decoded(piece: Column) -> Column:
+    """A piece of text that followed an ampersand."""
+    name = F.regexp_extract(piece, ENTITY, 1)
+    character = F.when(name != "", let(name, _character))
+    rest = F.substring(piece, F.length(name) + 2, F.length(piece))
+    return F.coalesce(F.concat(character, rest), F.concat(F.lit("&"), piece))
+
+
 def decode_entities(text: Column) -> Column:
-    """Decode the entities that matter for matching and reading."""
-    for entity, character in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return text
+    """Decode named and numeric entities, each once; what is none stays as it is."""
+
+    def decode(whole: Column) -> Column:
+        pieces = F.split(whole, "&", -1)
+        tail = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda piece: let(piece, _decoded))
+        return F.when(
+            whole.contains("&"), F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
+        ).otherwise(whole)
+
+    return let(text, decode)
 
 
 def visible_text(html: Column, between_tags: str = "") -> Column:
@@ -80,18 +108,29 @@ def meta_tags(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(META), F.lit(0))
 
 
+def attribute(tag: Column, pattern: str) -> Column:
+    """Decoded value of an attribute; empty if the tag has none."""
+    value = F.concat(*(F.regexp_extract(tag, pattern, group) for group in (1, 2, 3)))
+    return decode_entities(value)
+
+
+def meta_contents(tags: Column, *names: str) -> Column:
+    """Contents of all meta tags that have one of the names, in page order, empty ones not."""
+    wanted = r"(?i)\s(?:name|property|itemprop)\s*=\s*[\"']?(?:" + "|".join(names) + r")[\"']?[\s/>]"
+    named = F.filter(tags, lambda tag: tag.rlike(wanted))
+    contents = F.transform(named, lambda tag: attribute(tag, CONTENT))
+    return F.filter(contents, lambda content: content != "")
+
+
 def meta_content(tags: Column, *names: str) -> Column:
     """Content of the first meta tag that has one of the names; NULL if none has."""
-    wanted = r"(?i)\s(?:name|property|itemprop)\s*=\s*[\"']?(?:" + "|".join(names) + r")[\"']?[\s/>]"
-    tag = F.try_element_at(F.filter(tags, lambda tag: tag.rlike(wanted)), F.lit(1))
-    return F.nullif(F.regexp_extract(tag, CONTENT, 1), F.lit(""))
+    return F.try_element_at(meta_contents(tags, *names), F.lit(1))
 
 
-def attribute_values(html: Column, element: str, attribute: str) -> Column:
+def attribute_values(html: Column, element: str, pattern: str) -> Column:
     """Non-empty values of an attribute over all matching elements, in page order."""
     values = F.transform(
-        F.regexp_extract_all(html, F.lit(element), F.lit(0)),
-        lambda tag: F.regexp_extract(tag, attribute, 1),
+        F.regexp_extract_all(html, F.lit(element), F.lit(0)), lambda tag: attribute(tag, pattern)
     )
     return F.filter(values, lambda value: value != "")
 
@@ -101,9 +140,9 @@ def images(html: Column) -> Column:
 
 
 def media(html: Column) -> Column:
-    """Sources of embedded players and videos of the known video hosts."""
+    """Sources of embedded players and videos that lead to another address."""
     sources = attribute_values(html, MEDIA, SOURCE)
-    return F.array_distinct(F.filter(sources, lambda source: source.rlike(VIDEO_HOSTS)))
+    return F.array_distinct(F.filter(sources, lambda source: source.rlike(ELSEWHERE)))
 
 
 def without_furniture(html: Column) -> Column:

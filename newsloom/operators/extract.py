@@ -42,10 +42,22 @@ def url_date(url: Column) -> Column:
     return F.when(url.rlike(URL_DATE), F.concat_ws("-", *parts))
 
 
-def raw_date(html: Column, tags: Column, url: Column) -> Column:
-    """Text of the publish date: meta tags, then ``<time datetime>``, then the URL."""
+def raw_dates(html: Column, tags: Column, url: Column) -> Column:
+    """Texts of the publish date: meta tags, then ``<time datetime>``, then the URL."""
     times = page.attribute_values(html, page.TIME, page.DATETIME)
-    return F.coalesce(page.meta_content(tags, *DATE_NAMES), first_item(times), url_date(url))
+    found = F.concat(page.meta_contents(tags, *DATE_NAMES), times, F.array(url_date(url)))
+    return F.filter(found, lambda text: text.isNotNull())
+
+
+def first_date(texts: Column, as_of: Column | None) -> Column:
+    """The first of the texts that can be read as a date."""
+    read = F.transform(texts, lambda text: parse_date(text, as_of))
+    return F.try_element_at(F.filter(read, lambda moment: moment.isNotNull()), F.lit(1))
+
+
+def raw_byline(tags: Column) -> Column:
+    """All author tags of a page as one byline."""
+    return F.nullif(F.array_join(page.meta_contents(tags, *AUTHOR_NAMES), "; "), F.lit(""))
 
 
 def raw_image(html: Column, tags: Column) -> Column:
@@ -74,7 +86,7 @@ def with_raw_article(
     with_language: bool = True,
 ) -> DataFrame:
     """Add the article struct of a raw page (NULL fields where the page has none), and
-    ``<name>_problem`` with the reason if it could not be read properly.
+    ``<name>_date_problem`` if it has dates but none that can be read.
 
     Row by row inside the JVM.  Steps are separate projections so that nothing costly is
     computed twice; the problem stands by itself so that a filter on it needs no article.
@@ -92,8 +104,8 @@ def with_raw_article(
             {
                 "_region": page.article_region(F.col("_clean")),
                 "_title": tx.tidy_title(raw_title(F.col("_html"), F.col("_tags"))),
-                "_date_text": raw_date(F.col("_html"), F.col("_tags"), F.col(url)),
-                "_byline": page.meta_content(F.col("_tags"), *AUTHOR_NAMES),
+                "_dates": raw_dates(F.col("_html"), F.col("_tags"), F.col(url)),
+                "_byline": raw_byline(F.col("_tags")),
                 "_image": raw_image(F.col("_html"), F.col("_tags")),
                 "_media": page.media(F.col("_html")),
             }
@@ -101,7 +113,7 @@ def with_raw_article(
         .withColumns(
             {
                 "_body": tx.tidy_body(page.region_text(F.col("_region"))),
-                "_date": parse_date(F.col("_date_text"), as_of),
+                "_date": first_date(F.col("_dates"), as_of),
             }
         )
         .withColumn("_body", tx.valid_or_null(F.col("_body")))
@@ -120,9 +132,12 @@ def with_raw_article(
                 ),
             ),
         )
-        .withColumn(f"{name}_problem", unreadable_date(F.col("_date_text"), F.col("_date")))
+        .withColumn(
+            f"{name}_date_problem",
+            unreadable_date(F.try_element_at("_dates", F.lit(1)), F.col("_date")),
+        )
         .drop(
-            "_html", "_tags", "_clean", "_region", "_title", "_body", "_date_text", "_byline",
+            "_html", "_tags", "_clean", "_region", "_title", "_body", "_dates", "_byline",
             "_image", "_media", "_date",
         )
     )
@@ -136,8 +151,8 @@ def with_reader_article(
     stop_words: dict[str, str] | None = None,
     with_language: bool = True,
 ) -> DataFrame:
-    """Add the article struct of a simplified page, from one pass over its source, and
-    ``<name>_problem``.
+    """Add the article struct of a simplified page, from one pass over its source,
+    ``<name>_problem`` if it could not be read, and ``<name>_date_problem``.
 
     Absent title, credits or body make NULL fields and never fail the document.
     """
@@ -172,9 +187,11 @@ def with_reader_article(
                 ),
             ),
         )
-        .withColumn(
-            f"{name}_problem",
-            F.coalesce(fields["error"], unreadable_date(F.col("_date_text"), F.col("_date"))),
+        .withColumns(
+            {
+                f"{name}_problem": fields["error"],
+                f"{name}_date_problem": unreadable_date(F.col("_date_text"), F.col("_date")),
+            }
         )
         .drop("_fields", "_title", "_body", "_date_text", "_date")
     )

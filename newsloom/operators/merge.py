@@ -47,7 +47,9 @@ def merge_views(table: DataFrame, raw: str = "raw_article", reader: str = "reade
     merged = table.withColumns(fields)
     flag = is_empty_article({name: F.col(name) for name in fields})
     return merged.withColumn("is_empty", flag).drop(
-        raw, reader, f"{raw}_problem", f"{reader}_problem"
+        raw,
+        reader,
+        *[f"{name}{what}" for name in (raw, reader) for what in ("_problem", "_date_problem")],
     )
 
 

@@ -22,13 +22,10 @@ def _join(pages: DataFrame, key: list[str], order: str) -> DataFrame:
 def joined_pages(pages: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Texts of all pages of a document in page order, as one text.
 
-    If some document has more pages than a block holds, pages are joined per block first,
-    so that sorting and joining the pages of one document is the work of many tasks.  What is
-    left for one task is to put the block texts into the one string that is the result.
+    Pages are joined per block of page numbers first, so that sorting and joining the pages of
+    one document is the work of many tasks.  What is left for one task is to put the block texts
+    into the one string that is the result.
     """
-    most = pages.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if (most or 0) <= 1 << block_bits:
-        return _join(pages, KEY, "page_no")
     blocked = pages.withColumn("_block", integer_block(F.col("page_no"), block_bits))
     return _join(_join(blocked, [*KEY, "_block"], "page_no"), KEY, "_block")
 
@@ -61,6 +58,6 @@ def pdf_articles(
                 F.lit(None).cast("string").alias("top_image_url"),
                 F.lit(None).cast("array<string>").alias("media_urls"),
             ).alias("pdf_article"),
-            unreadable_date(F.col("creation_date"), F.col("_date")).alias("pdf_article_problem"),
+            unreadable_date(F.col("creation_date"), F.col("_date")).alias("pdf_article_date_problem"),
         )
     )

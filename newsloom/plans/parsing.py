@@ -64,11 +64,12 @@ def parse_payload(
     as_of: Column | None = None,
     stop_words: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Articles of all documents, plus ``content_kind`` and ``error``.
+    """Articles of all documents, plus ``content_kind``, ``error`` and ``date_error``.
 
     Pages are parsed where they lie, without a shuffle; only files are joined with their
     extracted page texts.  A document without content still gives an (empty) row.  A row
-    with ``error`` belongs to the dead letters.
+    with ``error`` belongs to the dead letters.  A date that cannot be read costs the date only:
+    ``date_error`` names it where no other source gave one.
 
     The language of an article is that of the view its body comes from, so it is guessed
     once, from the final body.
@@ -89,11 +90,15 @@ def parse_payload(
     }
     problem = F.coalesce(
         F.when(F.col("decode_error"), F.lit("payload is not valid UTF-8")),
-        F.col("raw_article_problem"),
         F.col("reader_article_problem"),
     )
+    undated = F.coalesce("raw_article_date_problem", "reader_article_date_problem")
     articles = pages.select(
-        *KEY, "content_kind", *[c.alias(n) for n, c in chosen.items()], problem.alias("error")
+        *KEY,
+        "content_kind",
+        *[c.alias(n) for n, c in chosen.items()],
+        problem.alias("error"),
+        F.when(chosen["publish_date"].isNull(), undated).alias("date_error"),
     )
     if pdf_meta is not None and pdf_pages is not None:
         read = file_documents(payload).join(
@@ -108,9 +113,8 @@ def parse_payload(
                 *KEY,
                 "content_kind",
                 *[F.when(is_file, F.col("pdf_article")[n]).alias(n) for n in ARTICLE_FIELDS],
-                F.coalesce(F.when(is_file, F.col("pdf_article_problem")), missing).alias(
-                    "error"
-                ),
+                missing.alias("error"),
+                F.when(is_file, F.col("pdf_article_date_problem")).alias("date_error"),
             )
         )
     empty = is_empty_article({name: F.col(name) for name in ARTICLE_FIELDS})
@@ -130,6 +134,12 @@ def dead_letters(parsed: DataFrame, step: str = "parse") -> DataFrame:
     )
 
 
+def date_errors(parsed: DataFrame) -> DataFrame:
+    """Written articles that have no date because theirs could not be read, with its text."""
+    named = parsed.where(F.col("error").isNull() & F.col("date_error").isNotNull())
+    return named.select(*KEY, "date_error")
+
+
 def parse_transitions(parsed: DataFrame) -> DataFrame:
     """States to log: RESCRAPE for documents without content, and PARSED for all written."""
     written = parsed.where(F.col("error").isNull())

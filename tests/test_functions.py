@@ -130,6 +130,22 @@ def test_parse_date(values):
         "May 5, 2023 10:11": dt.datetime(2023, 5, 5, 10, 11),
         "5 March 2023": dt.datetime(2023, 3, 5),
         "1/2/2023": dt.datetime(2023, 1, 2),
+        "Jan 4, 2024 10:20 PM": dt.datetime(2024, 1, 4, 22, 20),
+        "12:05 a.m. Jan. 4th, 2024": dt.datetime(2024, 1, 4, 0, 5),
+        "2024-01-05 10:20 EST": dt.datetime(2024, 1, 5, 10, 20),
+        "2024-01-05T10:20+0100": dt.datetime(2024, 1, 5, 10, 20),
+        "04.01.2024": dt.datetime(2024, 4, 1),
+        "24.01.2024 7:08": dt.datetime(2024, 1, 24, 7, 8),
+        "31/12/2023": dt.datetime(2023, 12, 31),
+        "Sept. 3, 2023": dt.datetime(2023, 9, 3),
+        "03-MAR-2023": dt.datetime(2023, 3, 3),
+        "Wednesday, 1 February 2023 at 3:04pm": dt.datetime(2023, 2, 1, 15, 4),
+        "20240101123045": dt.datetime(2024, 1, 1, 12, 30, 45),
+        "1700000000000000000": None,
+        "20240101123045123": None,
+        "-99999999999999": None,
+        "2024-01-05 25:20": None,
+        "2024-13-05": None,
         "2023/02/03 04:05:06": dt.datetime(2023, 2, 3, 4, 5, 6),
         "": None,
         "soon": None,
@@ -147,9 +163,12 @@ def test_is_epoch(values):
 
 def test_pdf_date(values):
     got = values(
-        dates.pdf_creation_date, "STRING", ["D:20230101124530Z", "", None, "D:2023", "x"]
+        dates.pdf_creation_date, "STRING", ["D:20230101124530Z", "", None, "D:2023", "x", "D:20240105", "D:202401051245+01'00'"]
     )
-    assert got == [dt.datetime(2023, 1, 1, 12, 45, 30), None, None, None, None]
+    assert got == [
+        dt.datetime(2023, 1, 1, 12, 45, 30), None, None, dt.datetime(2023, 1, 1), None,
+        dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 5, 12, 45),
+    ]
 
 
 def test_array_helpers(values):

@@ -199,7 +199,8 @@ def test_parse(parsed):
     assert got["d", 4]["publish_date"] == dt.datetime(2023, 1, 1, 12, 45, 30)
     assert got["d", 5]["is_empty"] and got["d", 5]["language"] is None
     assert got["d", 6]["error"] == "payload is not valid UTF-8"
-    assert got["d", 7]["error"] == "unreadable date: soon"
+    assert (got["d", 7]["error"], got["d", 7]["date_error"]) == (None, "unreadable date: soon")
+    assert got["d", 7]["publish_date"] is None and not got["d", 7]["is_empty"]
     assert got["d", 8]["error"] == "no extracted page texts"
     assert (got["d", 9]["content_kind"], got["d", 9]["is_empty"]) == ("NONE", True)
     assert got["e", 1]["title"] is None and got["e", 1]["body"] == "Text of the story"
@@ -208,15 +209,16 @@ def test_parse(parsed):
 def test_parse_outputs(parsed):
     articles = parsing.article_rows(parsed)
     assert articles.columns == schemas.ARTICLE_COLUMNS
-    assert sorted(r["doc_id"] for r in articles.collect()) == [1, 1, 2, 3, 4, 5, 9]
-    assert [r[1] for r in rows(parsing.dead_letters(parsed))] == [6, 7, 8]
+    assert sorted(r["doc_id"] for r in articles.collect()) == [1, 1, 2, 3, 4, 5, 7, 9]
+    assert [r[1] for r in rows(parsing.dead_letters(parsed))] == [6, 8]
+    assert rows(parsing.date_errors(parsed)) == [("d", 7, "unreadable date: soon")]
     states = parsing.parse_transitions(parsed)
     assert [r[1] for r in rows(states.where("state = 'RESCRAPE'"))] == [5, 9]
-    assert states.where("state = 'PARSED'").count() == 7
+    assert states.where("state = 'PARSED'").count() == 8
     total = reports.parsed_progress(
         parsed.where("error IS NULL").select("dataset", "content_kind", F.lit(0).alias("batch_no"))
     )
-    assert rows(total.select("dataset", "n_parsed_so_far")) == [("d", 4), ("e", 1)]
+    assert rows(total.select("dataset", "n_parsed_so_far")) == [("d", 5), ("e", 1)]
 
 
 def test_pages_are_parsed_without_shuffle_and_once(spark):
@@ -333,7 +335,7 @@ def test_drain_and_resume(spark, tmp_path):
     key = ["dataset", "doc_id"]
     assert rows(got.select(*key, "title", "body"), *key) == rows(batch.select(*key, "title", "body"), *key)
     dead = spark.read.parquet(f"{out}/dead_letters")
-    assert sorted(r["doc_id"] for r in dead.collect()) == [6, 7]
+    assert sorted(r["doc_id"] for r in dead.collect()) == [6]
     log = spark.read.parquet(f"{out}/status_log")
     assert log.where("state = 'PARSED'").count() == batch.count()
 

@@ -359,7 +359,7 @@ def test_pdf_pages_in_order(spark):
         "My title", "a b c", "2023-01-01 12:45:30",
     )
     assert got[1]["pdf_article"]["body"] is None and got[1]["pdf_article"]["language"] == "unknown"
-    assert got[2]["pdf_article_problem"] == "unreadable date: junk"
+    assert got[2]["pdf_article_date_problem"] == "unreadable date: junk"
 
 
 def test_pdf_with_many_pages(spark):
