@@ -11,8 +11,10 @@ still stands out, and those must stay out of the prefixes.
 
 Groups. Equal sets form one class and go on as one. A large group of near copies shares its
 prefix n-grams, so all pairs of a list are never written: first each member of a list is verified
-with the list's smallest set only, links are joined to components, and then only members of
-*different* components of a list are paired. Pairs within a component can't change the result.
+with one hub of the list only (the set with most copies, then one chosen by hash), links are
+joined to components, and then only members of *different* components of a list are paired: pairs
+within a component can't change the result. Lists longer than SMALL_LIST are paired in blocks of
+about BLOCK members, and only pairs that pass the suffix filter leave the task.
 
 Defined cases: only A-Z are lower-cased; fewer words than n: the whole sequence is the one n-gram;
 no words or a null text: no n-gram, linked with nothing; a null id: returned, in no component, and
@@ -35,8 +37,10 @@ from newsloom.llm.tables import prune, stored
 
 # Buckets of the counter table: 4 MB of counters a task while counting, 1 MB of ranks in the end.
 COUNTERS = 1 << 20
-# Cells of a set's histogram, for the suffix filter.
-CELLS = 32
+# Cells of a set's histogram, for the suffix filter; a full cell (255) counts as without bound.
+CELLS = 128
+SMALL_LIST = 16
+BLOCK = 512
 # A list that may be longer than this is read in parts of about this size.
 LIST_PART = 100_000
 # Pairs verified at a time in a task.
@@ -81,19 +85,20 @@ def _surveyed(documents: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, np.uint32)
         names = ["doc_id", "n", "sig", "cells", "counters"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
             for piece in pieces(batch.column("text")):
                 texts = len(piece)
                 grams, owner = shingles(piece, size)
                 np.add.at(counters, (grams & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
                 n, sig = signatures(grams, owner, texts)
-                cell = owner * CELLS + (grams >> np.uint64(59)).astype(np.int64)
-                cells = np.bincount(cell, minlength=texts * CELLS).astype(np.int32)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(cells), CELLS)
+                cell = owner * CELLS + (grams >> np.uint64(57)).astype(np.int64)
+                cells = np.minimum(np.bincount(cell, minlength=texts * CELLS), 255)
+                cells = cells.astype(np.uint8).tobytes()
                 columns = [
                     batch.column("doc_id").slice(piece.first, texts).cast(pa.int64()),
-                    pa.array(n.astype(np.int64)), pa.array(sig), lists.cast(kinds[3]),
+                    pa.array(n.astype(np.int64)), pa.array(sig),
+                    pa.array([cells[k : k + CELLS] for k in range(0, len(cells), CELLS)], kinds[3]),
                     pa.nulls(texts, pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -101,7 +106,7 @@ def _surveyed(documents: DataFrame, size: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays(last, names)
 
     return documents.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n bigint, sig bigint, cells array<int>, counters binary"
+        run, "doc_id bigint, n bigint, sig bigint, cells binary, counters binary"
     )
 
 
@@ -197,6 +202,63 @@ def _batch_shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(grams), np.concatenate(owners)
 
 
+def _cells(column: pa.Array) -> np.ndarray:
+    return np.array([np.frombuffer(v.as_buffer(), np.uint8) for v in column]).reshape(-1, CELLS)
+
+
+def shared_at_most(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Suffix filter: a bound of the common n-grams, as a common one lies in the same cell of
+    both histograms; arrays of cells, whose leading dimensions broadcast."""
+    least = np.minimum(x, y)
+    bound = least.sum(-1, dtype=np.int64)
+    return np.where((least == 255).any(-1), np.iinfo(np.int64).max >> 8, bound)
+
+
+def _far_members(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in long lists: every two blocks of a list meet in one
+    group, which has two blocks' rows at most."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, n, place, component, block = (
+            table.column(c).to_numpy() for c in ("rep", "n", "place", "component", "block")
+        )
+        cells = _cells(table.column("cells").combine_chunks())
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        same = bool(block.min() == block.max())
+        if same and table.column("i")[0] != table.column("j")[0]:
+            right = right[:0]  # the other block is empty
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first in range(0, len(left), 32):
+            some = left[first : first + 32]
+            n_a, n_b = n[some][:, None], n[right][None]
+            ok = component[some][:, None] != component[right][None]
+            ok &= percent * np.maximum(n_a, n_b) <= 100 * np.minimum(n_a, n_b)
+            rest = np.minimum(n_a - place[some][:, None], n_b - place[right][None])
+            ok &= (100 + percent) * rest >= percent * (n_a + n_b)
+            if same:
+                ok &= rep[some][:, None] < rep[right][None]
+            x, y = np.nonzero(ok)
+            for at in range(0, len(x), 8192):
+                p, q = some[x[at : at + 8192]], right[y[at : at + 8192]]
+                most = shared_at_most(cells[p], cells[q])
+                close = (100 + percent) * most >= percent * (n[p] + n[q])
+                out_a.append(np.minimum(rep[p], rep[q])[close])
+                out_b.append(np.maximum(rep[p], rep[q])[close])
+        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    member = lists.withColumn("blocks", blocks).withColumn(
+        "block", F.pmod(F.hash("rep"), F.col("blocks"))
+    )
+    met = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return (
+        met.withColumn("i", F.least("block", "other"))
+        .withColumn("j", F.greatest("block", "other"))
+        .groupBy("token", "i", "j")
+        .applyInArrow(run, "a bigint, b bigint")
+    )
+
+
 def verified(
     pairs: DataFrame, documents: DataFrame, classes: DataFrame, size: int, percent: int
 ) -> DataFrame:
@@ -204,19 +266,27 @@ def verified(
 
     First the suffix filter on histograms (a common n-gram lies in the same cell of both), then
     the sets themselves, from the texts of the two representatives."""
-    cells = classes.select("rep", "n", "sig", "cells")
-    a = cells.select(F.col("rep").alias("a"), F.struct("n", "sig", "cells").alias("x"))
-    b = cells.select(F.col("rep").alias("b"), F.struct("n", "sig", "cells").alias("y"))
-    common = F.aggregate(
-        F.zip_with("x.cells", "y.cells", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v
-    )
-    close = pairs.join(a, "a").join(b, "b").where(
-        (100 + percent) * common >= percent * (F.col("x.n") + F.col("y.n"))
-    )
-    close = stored(
-        close.select("a", "b", F.col("x.sig").alias("sig_a"), F.col("y.sig").alias("sig_b")),
-        "close",
-    )
+    a = classes.select(F.col("rep").alias("a"), F.struct("n", "sig", "cells").alias("x"))
+    b = classes.select(F.col("rep").alias("b"), F.struct("n", "sig", "cells").alias("y"))
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            most = shared_at_most(_cells(batch.column("x")), _cells(batch.column("y")))
+            yield batch.filter(pa.array((100 + percent) * most >= percent * n)).select(
+                ["a", "b", "sig_a", "sig_b"]
+            )
+
+    close = (
+        pairs.join(a, "a")
+        .join(b, "b")
+        .selectExpr(
+            "a", "b", "x.sig AS sig_a", "y.sig AS sig_b", "x.n AS n_a", "y.n AS n_b",
+            "x.cells AS x", "y.cells AS y",
+        )
+        .mapInArrow(filtered, "a bigint, b bigint, sig_a bigint, sig_b bigint")
+    )
+    close = stored(close, "close")
     wanted = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
 
     def with_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +328,20 @@ def verified(
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint")
 
 
+def _open_lists(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the lists that span several components, with component and list size."""
+    labels = components(links).select(F.col("id").alias("rep"), "component")
+    members = shared.join(labels, "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")
+    )
+    spans = members.groupBy("token").agg(
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.count("*").alias("size"),
+    )
+    return members.join(spans.where("low <> high").select("token", "size"), "token")
+
+
 def linked_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document."""
     surveyed = stored(_surveyed(documents, size), "survey")
@@ -266,7 +350,11 @@ def linked_components(documents: DataFrame, size: int = 5, percent: int = 80) ->
     classes = (
         per_document.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("n", "sig")
-        .agg(F.min("doc_id").alias("rep"), F.first("cells").alias("cells"))
+        .agg(
+            F.min("doc_id").alias("rep"),
+            F.first("cells").alias("cells"),
+            F.count("*").alias("copies"),
+        )
     )
     classes = stored(classes, "classes")
 
@@ -281,51 +369,49 @@ def linked_components(documents: DataFrame, size: int = 5, percent: int = 80) ->
         .distinct()
     )
     shared = stored(
-        shared.join(classes.select("n", "sig", "rep"), ["n", "sig"]).select(
-            "token", "n", "place", "rep"
+        shared.join(classes.select("n", "sig", "rep", "copies"), ["n", "sig"]).select(
+            "token", "n", "place", "rep", "copies"
         ),
         "shared",
     )
 
-    # Each member of a list with the list's smallest set.
-    hubs = shared.groupBy("token").agg(F.min(F.struct("n", "rep", "place")).alias("hub"))
-    stars = (
-        shared.select("token", F.struct("n", "rep", "place").alias("member"))
-        .join(hubs, "token")
-        .where(F.col("member.rep") != F.col("hub.rep"))
-        .where(_in_reach(percent, "hub", "member"))
-    )
-    ends = F.col("hub.rep"), F.col("member.rep")
-    stars = stored(
-        stars.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct(), "stars"
-    )
-    links = stored(verified(stars, documents, classes, size, percent), "links")
+    # Each member of a list with a hub of the list, as long as the list is not one component.
+    links = documents.sparkSession.createDataFrame([], "a bigint, b bigint")
+    met = links
+    for hub in (F.struct(-F.col("copies"), "rep"), F.struct(F.hash("rep"), "rep")):
+        members = stored(_open_lists(shared, links), "open")
+        hubs = members.groupBy("token").agg(
+            F.min(F.struct(hub.alias("by"), "rep", "n", "place", "component")).alias("hub")
+        )
+        ends = F.col("hub.rep"), F.col("member.rep")
+        stars = (
+            members.select("token", F.struct("n", "rep", "place", "component").alias("member"))
+            .join(hubs, "token")
+            .where(F.col("member.component") != F.col("hub.component"))
+            .where(_in_reach(percent, "hub", "member"))
+            .select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+            .distinct()
+            .join(met, ["a", "b"], "left_anti")
+        )
+        stars = stored(stars, "stars")
+        links = links.union(stored(verified(stars, documents, classes, size, percent), "links"))
+        met = met.union(stars)
 
     # Members of different components, all of them.
-    labels = components(links).select(F.col("id").alias("rep"), "component")
-    labelled = shared.join(labels, "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep")
-    )
-    spans = labelled.groupBy("token").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
+    members = stored(_open_lists(shared, links), "open")
+    small = members.where(F.col("size") <= SMALL_LIST).select(
+        "token", F.struct("n", "rep", "place", "component").alias("x")
     )
-    labelled = stored(
-        labelled.join(spans.where("low <> high"), "token", "left_semi").select(
-            "token", F.struct("n", "rep", "place", "component").alias("x")
-        ),
-        "open",
-    )
-    pairs = (
-        labelled.alias("l")
-        .join(labelled.withColumnRenamed("x", "y").alias("r"), "token")
+    near = (
+        small.join(small.withColumnRenamed("x", "y"), "token")
         .where("x.rep < y.rep AND x.component <> y.component")
         .where(_in_reach(percent, "x", "y"))
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
     )
-    more = verified(pairs, documents, classes, size, percent)
-    labels = components(links.union(more)).select(F.col("id").alias("rep"), "component")
+    long = members.where(F.col("size") > SMALL_LIST).join(classes.select("rep", "cells"), "rep")
+    pairs = near.union(_far_members(long, percent)).distinct().join(met, ["a", "b"], "left_anti")
+    links = links.union(verified(stored(pairs, "pairs"), documents, classes, size, percent))
+    labels = components(links).select(F.col("id").alias("rep"), "component")
     grouped = classes.join(labels, "rep", "left").select(
         "n", "sig", F.coalesce("component", "rep").alias("component_id")
     )

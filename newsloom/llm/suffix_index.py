@@ -41,6 +41,8 @@ BATCHES = 4
 # Window starts that are searched at a time; with a window they stay under 2^PLACE_BITS.
 STRETCH = 1 << 19
 PLACE_BITS = 20
+# Bodies of one seed that are compared in one task.
+CROWD = 2048
 
 
 def _least_place(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -102,6 +104,49 @@ def anchors(piece: Piece, length: int = LENGTH, seed: int = SEED) -> dict[str, n
     }
 
 
+def windows_of(data: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every window of every body: which body, at which byte of it, and its hash."""
+    flat = np.frombuffer(b"".join(v.as_py() for v in data), np.uint8)
+    sizes = np.array([len(v.as_buffer()) for v in data], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    counts = sizes - length + 1
+    which = np.repeat(np.arange(len(sizes)), counts)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = begins[which] + step
+    return which, step, Rolling(flat).hashes(start, start + length)
+
+
+def repeated_windows(bodies: pa.Table, length: int) -> pa.RecordBatch:
+    """Spans of repeated windows in bodies that are not known to be repeated as a whole; all
+    bodies of a seed are in the table."""
+    which, step, body = windows_of(bodies.column("data").combine_chunks(), length)
+    seeds = bodies.column("seed").to_numpy()
+    body = mix(body + mix(seeds.view(np.uint64))[which])
+    order = np.argsort(body)
+    same = body[order][1:] == body[order][:-1]
+    twice = np.zeros(len(body), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    known = bodies.column("known").to_numpy()
+    at = np.flatnonzero(twice & ~known[which])
+    # Neighbouring windows of a body make one span.
+    first = np.ones(len(at), bool)
+    first[1:] = (np.diff(at) != 1) | (np.diff(which[at]) != 0)
+    begin = np.flatnonzero(first)
+    end = np.append(begin[1:], len(at)) - 1
+    body_of = which[at[begin]]
+    lo = bodies.column("lo").to_numpy()[body_of] + step[at[begin]]
+    size = step[at[end]] - step[at[begin]] + length
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(bodies.column("key").to_numpy()[body_of]),
+            pa.array(lo.astype(np.int32)),
+            pa.array(size.astype(np.int32)),
+        ],
+        ["key", "lo", "size"],
+    )
+
+
 def with_key(documents: DataFrame) -> DataFrame:
     """Rows with the key that stands for them in the index."""
     return documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
@@ -207,18 +252,18 @@ class SuffixIndex:
         self._spans.append(stored(found.select("f.key", "f.lo", "f.size"), "spans"))
 
     def _ends(self) -> DataFrame:
-        """One text of each body whose seed has several bodies."""
+        """One text of each body whose seed has several bodies, with their number."""
         arrays = [self._array(kept) for kept in self.levels.values()]
         table = arrays[0]
         for more in arrays[1:]:
             table = table.union(more)
-        split = table.groupBy("seed").agg(F.min("body").alias("a"), F.max("body").alias("b"))
-        return table.join(split.where("a <> b"), "seed", "left_semi")
+        split = table.groupBy("seed").agg(
+            F.min("body").alias("a"), F.max("body").alias("b"), F.count("*").alias("bodies")
+        )
+        return table.join(split.where("a <> b").select("seed", "bodies"), "seed")
 
-    def _window_spans(self, documents: DataFrame) -> DataFrame:
-        """Windows at the ends of matches, one by one."""
-        length = self.length
-        ends = stored(self._ends().select("key", "seed", "lo", "size", "n"), "ends")
+    def _bodies(self, documents: DataFrame, ends: DataFrame) -> DataFrame:
+        """The bytes of each wanted body: seed, key, lo, known, data."""
         asked = ends.groupBy("key").agg(
             F.collect_list("seed").alias("seeds"), F.collect_list("lo").alias("los"),
             F.collect_list("size").alias("sizes"), F.collect_list("n").alias("ns"),
@@ -227,39 +272,76 @@ class SuffixIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in batches:
-                keys = rows.column("key").to_numpy()
-                lists = {
-                    c: rows.column(c).flatten().to_numpy() for c in ("seeds", "los", "sizes", "ns")
-                }
+                seeds, los, sizes, ns = (
+                    rows.column(c).flatten().to_numpy() for c in ("seeds", "los", "sizes", "ns")
+                )
                 counts = rows.column("los").value_lengths().to_numpy()
-                bounds = np.append(0, np.cumsum(counts))
-                for piece in pieces(rows.column("text")):
-                    at = slice(bounds[piece.first], bounds[piece.first + len(piece)])
-                    owner = np.repeat(
-                        np.arange(len(piece)), counts[piece.first : piece.first + len(piece)]
-                    )
-                    windows = lists["sizes"][at] - length + 1
-                    which = np.repeat(np.arange(len(windows)), windows)
-                    step = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-                    start = lists["los"][at][which] + step
-                    place = piece.offsets[owner[which]] + start
-                    body = Rolling(piece.data).hashes(place, place + length)
+                keys = np.repeat(rows.column("key").to_numpy(), counts)
+                at, cut = 0, []
+                for text, count in zip(rows.column("text"), counts, strict=True):
+                    data = memoryview(text.as_buffer())
+                    for k in range(at, at + count):
+                        cut.append(bytes(data[los[k] : los[k] + sizes[k]]))
+                    at += count
+                columns = [seeds, keys, los, ns > 1]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, columns), pa.array(cut, pa.binary())],
+                    ["seed", "key", "lo", "known", "data"],
+                )
+
+        return texts.select("key", "text", "seeds", "los", "sizes", "ns").mapInArrow(
+            run, "seed bigint, key bigint, lo int, known boolean, data binary"
+        )
+
+    def _window_spans(self, documents: DataFrame) -> DataFrame:
+        """Windows at the ends of matches, one by one.
+
+        The bodies of one seed meet in one task, sorted by seed; where there are over CROWD of
+        them, the windows themselves are dealt out instead."""
+        length = self.length
+        ends = stored(self._ends().select("key", "seed", "lo", "size", "n", "bodies"), "ends")
+        spans = "key bigint, lo int, size int"
+
+        def within_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rest = None
+            for rows in batches:
+                table = pa.Table.from_batches([rows])
+                table = table if rest is None else pa.concat_tables([rest, table])
+                seeds = table.column("seed").to_numpy()
+                last = int(np.searchsorted(seeds, seeds[-1]))
+                yield repeated_windows(table.slice(0, last), length)
+                rest = table.slice(last)
+            if rest is not None:
+                yield repeated_windows(rest, length)
+
+        few = self._bodies(documents, ends.where(F.col("bodies") <= CROWD))
+        out = few.repartition("seed").sortWithinPartitions("seed").mapInArrow(within_task, spans)
+        many = ends.where(F.col("bodies") > CROWD)
+        if many.isEmpty():
+            return out
+
+        def dealt_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                for first in range(0, len(rows), CROWD):
+                    part = rows.slice(first, CROWD)
+                    which, step, body = windows_of(part.column("data"), length)
                     columns = [
-                        lists["seeds"][at][which], body.view(np.int64),
-                        keys[piece.first + owner[which]], start.astype(np.int32),
-                        lists["ns"][at][which] > 1,
+                        part.column("seed").to_numpy()[which], body.view(np.int64),
+                        part.column("key").to_numpy()[which],
+                        (part.column("lo").to_numpy()[which] + step).astype(np.int32),
+                        part.column("known").to_numpy(zero_copy_only=False)[which],
                     ]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c) for c in columns], ["seed", "body", "key", "lo", "known"]
                     )
 
-        windows = texts.select("key", "text", "seeds", "los", "sizes", "ns").mapInArrow(
-            run, "seed bigint, body bigint, key bigint, lo int, known boolean"
+        windows = self._bodies(documents, many).mapInArrow(
+            dealt_out, "seed bigint, body bigint, key bigint, lo int, known boolean"
         )
         same = Window.partitionBy("seed", "body")
         repeated = windows.withColumn("times", F.count("*").over(same))
-        return repeated.where("times > 1 AND NOT known").select(
-            "key", "lo", F.lit(length).alias("size")
+        return out.union(
+            repeated.where("times > 1 AND NOT known").select("key", "lo", F.lit(length).alias("size"))
         )
 
     def spans(self, documents: DataFrame) -> DataFrame:
@@ -279,6 +361,8 @@ def _prune(documents: DataFrame, wanted: DataFrame, how: str = "left_semi") -> D
 
 def covered(lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of spans: starts and ends of the maximal runs."""
+    if not len(lo):
+        return lo, lo
     order = np.argsort(lo, kind="stable")
     lo, end = lo[order], (lo + size)[order]
     reach = np.maximum.accumulate(end)
