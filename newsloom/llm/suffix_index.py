@@ -133,7 +133,7 @@ def repeated_windows(bodies: pa.Table, length: int) -> pa.RecordBatch:
     first = np.ones(len(at), bool)
     first[1:] = (np.diff(at) != 1) | (np.diff(which[at]) != 0)
     begin = np.flatnonzero(first)
-    end = np.append(begin[1:], len(at)) - 1
+    end = np.append(begin[1:], len(at))[: len(begin)] - 1
     body_of = which[at[begin]]
     lo = bodies.column("lo").to_numpy()[body_of] + step[at[begin]]
     size = step[at[end]] - step[at[begin]] + length

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from brute import repeats
@@ -55,5 +57,15 @@ def test_crowds_are_dealt_out(spark, texts, monkeypatch):
     assert got == dict(enumerate(repeats(texts, 100)))
 
 
+def test_windows_without_any_repeat():
+    bodies = pa.table({
+        "seed": pa.array([1, 1], pa.int64()), "key": pa.array([7, 8], pa.int64()),
+        "lo": pa.array([0, 0], pa.int32()), "known": [False, False], "data": [b"a" * 9, b"b" * 9],
+    })
+    assert suffix_index.repeated_windows(bodies, 8).num_rows == 0
+    assert suffix_index.repeated_windows(bodies.slice(0, 0), 8).num_rows == 0
+    assert suffix_index.covered(np.zeros(0, int), np.zeros(0, int))[0].size == 0
+
+
 def test_empty_table(nothing):
     assert suffix_index.remove_repeats(nothing).count() == 0
