@@ -10,13 +10,15 @@ from newsloom.catalog.registry import query
 from newsloom.catalog.tables import CTES, with_tables
 from newsloom.functions import html as page
 from newsloom.functions import text as tx
+from newsloom.functions.authors import detect_authors
 from newsloom.functions.html_fields import html_fields
-from newsloom.operators.extract import with_raw_article, with_reader_article
+from newsloom.operators.extract import raw_byline, with_raw_article, with_reader_article
 from newsloom.operators.merge import is_empty_article, join_views, merge_views
 from newsloom.operators.pdf import pdf_articles
 from newsloom.plans.parsing import (
     ARTICLE_FIELDS,
     article_rows,
+    date_errors,
     dead_letters,
     parse_payload,
     parse_transitions,
@@ -471,3 +473,52 @@ def article_coverage(spark, folder):
     return article_rows(parsed(spark, folder)).groupBy("dataset").agg(
         F.count(F.lit(1)).alias("n_rows"), *counts, F.count_if("is_empty").alias("n_empty")
     )
+
+
+@query(
+    with_tables(
+        ["reader_text"],
+        """
+SELECT dataset, doc_id, 'unreadable date: soon, no. ' || doc_id AS date_error
+FROM reader_text WHERE doc_id % 7 <> 0 AND doc_id % 4 <> 0 AND doc_id % 3 = 0""",
+    )
+)
+def article_date_errors(spark, folder):
+    """DATE-1, STM-5: a date that cannot be read costs the date, not the article."""
+    pages = tb.reader_pages(spark, folder)
+    soon = F.concat(F.lit('datetime="soon, no. '), F.col("doc_id").cast("string"), F.lit('"'))
+    spoilt = F.when(
+        F.col("doc_id") % 3 == 0, F.regexp_replace("html", F.lit('datetime="[^"]*"'), soon)
+    ).otherwise(F.col("html"))
+    stored = pages.select(
+        *KEY, F.lit("http://site.test/page").alias("url"),
+        F.lit(b"").alias("raw"), F.encode(spoilt, "UTF-8").alias("reader"),
+    )
+    return date_errors(parse_payload(stored))
+
+
+@query(
+    "SELECT page_id, 'It''s page ' || page_id || ' of \"' || (page_id % 5) || '\" & café' AS title, "
+    "'/i' || page_id || '.png?a=1&b=2' AS image, 'Ana Vale/Ben de Ruy/Cleo Min Lopez Garcia Perez' "
+    "AS authors FROM pages"
+)
+def meta_values(spark, folder):
+    """EXT-8, EXT-10, EXT-12: values in either quotes or none, entities, several author tags."""
+    number = F.col("page_id").cast("string")
+    tags = F.concat(
+        F.lit('<meta property="og:title" content="It\'s page '), number, F.lit(" of &quot;"),
+        (F.col("page_id") % 5).cast("string"), F.lit("&quot; &amp; caf&eacute;\"><meta property='og:image' content=/i"),
+        number, F.lit(".png?a=1&amp;b=&#x32;><meta name=author content='Ana Vale'>"),
+        F.lit('<meta content="Ben de Ruy and Cleo Min Lopez Garcia Perez" name="author">'),
+    )
+    tagged = F.replace("html", F.lit('<meta charset="utf-8">'), tags)
+    return (
+        tb.table(spark, folder, "pages")
+        .select("page_id", page.meta_tags(tagged).alias("tags"))
+        .select(
+            "page_id",
+            page.meta_content(F.col("tags"), "og:title").alias("title"),
+            page.meta_content(F.col("tags"), "og:image").alias("image"),
+            F.array_join(detect_authors(raw_byline(F.col("tags"))), "/").alias("authors"),
+        )
+    )

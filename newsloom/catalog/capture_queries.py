@@ -114,13 +114,13 @@ def first_usable(spark, folder):
     with_tables(
         ["captures"],
         """
-SELECT dataset, doc_id, CAST(0 AS BIGINT) AS part_no, count(*) AS n_distinct,
+SELECT dataset, doc_id, statuscode, substr("timestamp", 1, 6) AS month, count(*) AS n_distinct,
        CAST(sum(copies) AS BIGINT) AS n_captures,
        string_agg(statuscode || ' ' || "timestamp" || ' ' || original || ' ' || copies, ','
          ORDER BY statuscode, "timestamp", original, urlkey, mimetype, digest, length) AS cell
 FROM (SELECT dataset, doc_id, statuscode, "timestamp", original, urlkey, mimetype, digest, length,
              count(*) AS copies FROM captures GROUP BY ALL)
-GROUP BY dataset, doc_id""",
+GROUP BY dataset, doc_id, statuscode, substr("timestamp", 1, 6)""",
     )
 )
 def captures_collect(spark, folder):
@@ -136,7 +136,8 @@ def captures_collect(spark, folder):
     return cells.select(
         "dataset",
         "doc_id",
-        F.col("part_no").cast("bigint").alias("part_no"),
+        "statuscode",
+        "month",
         F.size("captures").cast("bigint").alias("n_distinct"),
         total.alias("n_captures"),
         F.array_join(shown, ",").alias("cell"),

@@ -96,8 +96,8 @@ def worklist_top500(spark, folder):
         [*_LOG, "raw_pages"],
         """
 SELECT f.dataset, f.doc_id, md5(r.html) AS raw_digest, octet_length(encode(d.text)) AS reader_bytes
-FROM flags f JOIN raw_pages r ON r.dataset = f.dataset AND r.doc_id = f.doc_id
-JOIN documents d ON d.doc_id = r.doc_id
+FROM flags f LEFT JOIN raw_pages r ON r.dataset = f.dataset AND r.doc_id = f.doc_id
+LEFT JOIN documents d ON d.doc_id = r.doc_id
 WHERE NOT is_empty AND is_retrieved AND NOT parsed AND NOT should_rescrape""",
     )
 )

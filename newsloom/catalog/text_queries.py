@@ -178,6 +178,50 @@ def date_spelled(spark, folder):
     )
 
 
+@query(
+    """
+SELECT event_id,
+       CASE event_id % 7
+         WHEN 0 THEN date_trunc('minute', ts) WHEN 1 THEN date_trunc('second', ts)
+         WHEN 2 THEN CASE WHEN day(ts) > 12 THEN date_trunc('day', ts)
+                          ELSE make_timestamp(year(ts), day(ts), month(ts), 0, 0, 0.0) END
+         WHEN 4 THEN date_trunc('day', ts) WHEN 5 THEN date_trunc('second', ts)
+         END::TIMESTAMP AS published,
+       event_id % 7 IN (3, 6) AS unreadable
+FROM events"""
+)
+def date_edge_cases(spark, folder):
+    """DATE-1: half days, zone names, day or month first, short months, ordinals, fourteen
+    digits; epochs beyond every year and hours beyond the day give NULL, not an exception."""
+    number = F.col("event_id")
+    month = F.when(F.month("ts") == 9, F.lit("Sept")).otherwise(F.date_format("ts", "MMM"))
+    spelled = (
+        F.when(number % 7 == 0, F.date_format("ts", "MMM d, yyyy h:mm a"))
+        .when(number % 7 == 1, F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" EST")))
+        .when(number % 7 == 2, F.date_format("ts", "d.M.yyyy"))
+        .when(
+            number % 7 == 3,
+            F.concat(F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit("000000000")),
+        )
+        .when(
+            number % 7 == 4,
+            F.concat(month, F.lit(". "), F.date_format("ts", "d"), F.lit("th "), F.date_format("ts", "yyyy")),
+        )
+        .when(number % 7 == 5, F.date_format("ts", "yyyyMMddHHmmss"))
+        .otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" 25:61")))
+    )
+    return (
+        tb.table(spark, folder, "events")
+        .select("event_id", spelled.alias("text"))
+        .withColumn("published", dates.parse_date(F.col("text")))
+        .select(
+            "event_id",
+            "published",
+            dates.date_error(F.col("text"), F.col("published")).alias("unreadable"),
+        )
+    )
+
+
 @query(
     "SELECT event_id, CASE WHEN event_id % 4 < 2 THEN date_trunc('second', ts)::TIMESTAMP END "
     "AS published FROM events"

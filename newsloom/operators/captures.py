@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
 from newsloom.functions import urls
-from newsloom.operators.lookup import join_lookup
 from newsloom.operators.ranking import running_total
 
-MAX_PER_CELL = 10_000
-
 
 def parse_index_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Index lines as captures: seven fields between single spaces; other lines are dropped."""
@@ -103,26 +100,17 @@ def cached_documents(work: DataFrame, captures: DataFrame) -> DataFrame:
     return counted.withColumn("n_captures", n).withColumn("cached", F.col("n_captures") > 0)
 
 
-def capture_cells(captures: DataFrame, max_per_cell: int = MAX_PER_CELL) -> DataFrame:
-    """Captures of a document as sorted array cells: one cell, or several if there are many.
+def capture_cells(captures: DataFrame) -> DataFrame:
+    """Captures of a document as sorted array cells, one per status and month.
 
-    Equal captures are counted first and kept once, with ``copies``.  A document with more
-    than ``max_per_cell`` distinct captures is spread over ``part_no`` 0, 1, ... by a hash,
-    so that no cell grows with the data.
+    Equal captures are counted first and kept once, with ``copies``.  The cut is a rule of the
+    data alone, so the cells are the same at any size; read by status and month, they are in
+    the order of trying.
     """
-    distinct = distinct_captures(captures)
-    big = (
-        distinct.groupBy("dataset", "doc_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > max_per_cell)
-        .select("dataset", "doc_id", F.ceil(F.col("_n") / F.lit(max_per_cell)).alias("_parts"))
-    )
-    spread = [F.col(name) for name in fv.CAPTURE_FIELDS]
-    parted = join_lookup(distinct, big, ["dataset", "doc_id"], "left", spread)
-    part_no = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0))
     item = F.struct(*capture_order(), F.col("copies"))
+    month = F.substring("timestamp", 1, 6).alias("month")
     return (
-        parted.withColumn("part_no", part_no)
-        .groupBy("dataset", "doc_id", "part_no")
+        distinct_captures(captures)
+        .groupBy("dataset", "doc_id", "statuscode", month)
         .agg(F.array_sort(F.collect_list(item)).alias("captures"))
     )

@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 from newsloom.functions import urls
 from newsloom.operators.lookup import is_small, join_lookup, measure
 
-# ---- fixed values: suffixes used where the caller brings no list ----------------------
-COMMON_SUFFIXES = (
-    "com net org edu gov int info biz news tv me io co eu us uk ca au de fr es it nl be ch at "
-    "pt pl se no dk fi ie gr ru in jp cn br mx ar za nz co.uk org.uk ac.uk gov.uk com.au net.au "
-    "org.au co.nz co.za co.in co.jp com.br com.mx com.ar com.cn com.tr"
-).split()
-
 
 def suffix_rules(suffixes: DataFrame) -> DataFrame:
     """Suffix list as one row per base name.

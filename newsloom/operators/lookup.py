@@ -10,7 +10,6 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # A key with more facts than this is split; NULL keys are spread over so many salts.
 HOT_ROWS = 2_000_000
 FREE_SALTS = 4_096
-MAX_HOT_KEYS = 100_000
 
 
 def measure(table: DataFrame, *more: Column):
@@ -67,15 +66,15 @@ def join_split(
 
     Facts are counted per key first (reduced on the map side).  A hot key gets one salt per
     ``hot_rows`` facts; its facts are spread over the salts by ``spread_by`` (columns that
-    tell rows apart) and only its lookup rows are repeated.  At most ``MAX_HOT_KEYS`` keys
-    can be hot, which bounds what is broadcast.  Facts without a key match nothing and are
+    tell rows apart) and only its lookup rows are repeated.  The list of hot keys is
+    broadcast only if it was measured to be small.  Facts without a key match nothing and are
     spread freely.
     """
     counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    least = max(hot_rows, total // MAX_HOT_KEYS)
-    salts = F.ceil(F.col("_n") / F.lit(least)).alias("_salts")
-    hot = F.broadcast(counts.where(F.col("_n") > least).select(*on, salts))
+    salts = F.ceil(F.col("_n") / F.lit(hot_rows)).alias("_salts")
+    hot = counts.where(F.col("_n") > hot_rows).select(*on, salts)
+    if fits_broadcast(hot):
+        hot = F.broadcast(hot)
 
     keyless = F.lit(False)
     for name in on:

@@ -46,12 +46,16 @@ def with_payload(worklist: DataFrame, payload: DataFrame) -> DataFrame:
     """Fetch the payloads of a worklist with one join instead of one lookup per row.
 
     A worklist that was measured to be small is sent to the payloads, which then stay where
-    they are; only a large one makes both sides move.
+    they are; only a large one makes both sides move.  Documents without a payload come with
+    NULL views, so that the parse job sees them; only keys are compared to find them.
     """
-    blobs = payload.select("dataset", "doc_id", "raw", "reader")
-    if fits_broadcast(worklist):
-        worklist = F.broadcast(worklist)
-    return blobs.join(worklist, ["dataset", "doc_id"])
+    key = ["dataset", "doc_id"]
+    blobs = payload.select(*key, "raw", "reader")
+    wanted = F.broadcast(worklist) if fits_broadcast(worklist) else worklist
+    missing = worklist.join(payload.select(*key), key, "left_anti").withColumns(
+        {view: F.lit(None).cast("binary") for view in ("raw", "reader")}
+    )
+    return blobs.join(wanted, key).unionByName(missing)
 
 
 def shuffle_key(seed: int) -> Column:

@@ -162,15 +162,18 @@ def decode_views(results: DataFrame, is_file: Column) -> DataFrame:
 def choose_content(plan: DataFrame, results: DataFrame, compatible: bool = False) -> DataFrame:
     """The content to keep per document: ``stage_rank, location, view, raw, reader``.
 
-    ``results`` has one row per fetched location (``http_status, error, raw, reader``).
+    ``results`` has one row per fetch (``location, http_status, error, raw, reader``, and
+    ``attempt`` where a location was tried again).  Of the fetches of one location the first
+    that passes the gate counts, so that a good second try is not lost to a bad first one.
     A policy or live location counts in the first variant fetched without an error, and
     only if the gate leaves something of it; of the archived copies the first that passes
     the gate counts.  A single aggregate, reduced on the map side, decides per document.
     """
-    found = plan.join(
-        results.select(*KEY, "location", "http_status", "error", "raw", "reader"),
-        [*KEY, "location"],
-    ).where(F.col("error").isNull())
+    attempt = F.col("attempt") if "attempt" in results.columns else F.lit(1)
+    fetched = results.where(F.col("error").isNull()).select(
+        *KEY, "location", "http_status", "raw", "reader", attempt.alias("attempt")
+    )
+    found = plan.join(fetched, [*KEY, "location"])
 
     is_file = F.col("view") == fv.PDF
     nothing = F.lit(b"").cast("binary")
@@ -181,14 +184,16 @@ def choose_content(plan: DataFrame, results: DataFrame, compatible: bool = False
     file_bytes = F.when(F.col("http_status") == 200, sanitize_pdf(F.col("raw"), compatible))
     tried = gated.select(
         *PLAN_COLUMNS,
+        "attempt",
         F.when(is_file, F.coalesce(file_bytes, nothing))
         .otherwise(tx.encode_utf8(F.col("raw_text")))
         .alias("raw"),
         tx.encode_utf8(F.col("reader_text")).alias("reader"),
     ).withColumn("accepted", ~tx.both_empty(F.col("raw"), F.col("reader")))
     content = [F.col(c) for c in ("location", "view", "accepted", "raw", "reader")]
-    by_variant = F.struct("variant_no", *content)
-    by_capture = F.struct("statuscode", "timestamp", *content)
+    order = [(~F.col("accepted")).alias("rejected"), F.col("attempt")]
+    by_variant = F.struct("variant_no", *order, *content)
+    by_capture = F.struct("statuscode", "timestamp", *order, *content)
 
     def first(stage: int, item: Column) -> Column:
         in_stage = F.col("stage_rank") == stage

@@ -28,16 +28,25 @@ _own_folder: str | None = None
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in
-    ``spark.checkpoint.dir``; a temporary one only where none is set (local runs)."""
+    ``spark.checkpoint.dir``; a temporary one only in local runs that name none."""
     global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="newsloom-")
     return _own_folder
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of any file system that Spark reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def cut_lineage(table: DataFrame) -> DataFrame:
     """Materialise a table reliably; lost executors do not lose it."""
     context = table.sparkSession.sparkContext

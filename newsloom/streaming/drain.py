@@ -10,7 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsloom import schemas
 from newsloom.operators.state import transitions
-from newsloom.plans.parsing import article_rows, dead_letters, parse_payload, parse_transitions
+from newsloom.plans.parsing import (
+    article_rows,
+    date_errors,
+    dead_letters,
+    parse_payload,
+    parse_transitions,
+)
+from newsloom.streaming.runs import batch_path, run_name
 
 
 def stream_payload(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -19,10 +26,6 @@ def stream_payload(spark: SparkSession, path: str, files_per_batch: int = 100) -
     return reader.option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def _write(table: DataFrame, path: str, batch_id: int) -> None:
-    table.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-
 def drain(
     payload: DataFrame,
     out: str,
@@ -32,20 +35,26 @@ def drain(
 ) -> StreamingQuery:
     """Parse everything that is there, batch by batch, then stop.
 
-    Writes ``articles``, ``dead_letters`` and ``status_log`` below ``out``, each in one
-    folder per batch.  One bad document ends up in ``dead_letters`` and holds up no one.
-    A second run goes on where the first one ended.
+    Writes ``articles``, ``dead_letters``, ``date_errors`` and ``status_log`` below ``out``, each
+    in one folder per run and batch.  One bad document ends up in ``dead_letters`` and holds up
+    no one.  A second run goes on where the first one ended.
     """
+    run = run_name(payload.sparkSession, checkpoint)
     moment = F.current_timestamp() if event_time is None else event_time
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         parsed = parse(batch).persist()
         try:
-            _write(article_rows(parsed), f"{out}/articles", batch_id)
-            _write(dead_letters(parsed), f"{out}/dead_letters", batch_id)
             states = parse_transitions(parsed)
-            log = transitions(states, F.col("state"), moment, F.lit(batch_id))
-            _write(log, f"{out}/status_log", batch_id)
+            outputs = {
+                "articles": article_rows(parsed),
+                "dead_letters": dead_letters(parsed),
+                "date_errors": date_errors(parsed),
+                "status_log": transitions(states, F.col("state"), moment, F.lit(batch_id)),
+            }
+            for name, table in outputs.items():
+                target = batch_path(f"{out}/{name}", run, batch_id)
+                table.write.mode("overwrite").parquet(target)
         finally:
             parsed.unpersist()
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsloom import schemas
 from newsloom.operators.ledger import new_documents
+from newsloom.session import path_exists
+from newsloom.streaming.runs import batch_path, run_name
 
 
 def import_seeds(
@@ -16,22 +19,27 @@ def import_seeds(
 
     The file source's checkpoint remembers which files were imported.  Documents that are in
     the work table already (or in ``known``) are left out, so files may overlap; only the
-    datasets a batch touches are looked up.  The batch number is part of the path: a
-    repeated batch replaces its own rows and is not compared with them.
+    datasets a batch touches are looked up.  Run and batch number are part of the path: a
+    repeated batch replaces its own rows and is not compared with them, and another run into
+    the same table is.
     """
-    schema = f"{schemas.WORK_ITEM}, batch BIGINT"
+    schema = f"{schemas.WORK_ITEM}, run STRING, batch BIGINT"
+    run = run_name(seed.sparkSession, checkpoint)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         fresh = batch.dropDuplicates(["dataset", "doc_id"])
         touched = batch.select("dataset").distinct()
         if known is not None:
             fresh = new_documents(fresh, known)
-        if batch_id > 0:
+        if path_exists(batch.sparkSession, work_path):
             reader = batch.sparkSession.read.schema(schema).option("basePath", work_path)
-            earlier = reader.parquet(work_path).where(f"batch < {batch_id}")
+            earlier = reader.parquet(work_path).where(
+                (F.col("run") != run) | (F.col("batch") < batch_id)
+            )
             # Folders of other datasets are pruned at run time.
             fresh = new_documents(fresh, earlier.join(touched, "dataset", "left_semi"))
-        fresh.write.mode("overwrite").partitionBy("dataset").parquet(f"{work_path}/batch={batch_id}")
+        target = batch_path(work_path, run, batch_id)
+        fresh.write.mode("overwrite").partitionBy("dataset").parquet(target)
 
     return (
         seed.writeStream.foreachBatch(write_batch)

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsloom import schemas
 from newsloom.operators.state import KEY, current_flags
+from newsloom.streaming.runs import batch_path, run_name
 
 
 ON_DISK = {
@@ -51,12 +52,13 @@ def follow_flags(
     The aggregation state of the stream holds one small row per document, on disk rather
     than in memory because documents are many.  ``partitions`` is the number of state
     partitions (default: ``spark.sql.shuffle.partitions``); the first start fixes it.  Each
-    batch writes the documents it changed to ``out/batch=<n>``, and ``read_flags`` takes the
-    newest.
+    batch writes the documents it changed to a folder of its run and number, and
+    ``read_flags`` takes the newest.
     """
+    run = run_name(log.sparkSession, checkpoint)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(batch_path(out, run, batch_id))
 
     wanted = dict(ON_DISK)
     if partitions is not None:
@@ -73,10 +75,17 @@ def follow_flags(
 
 
 def read_flags(spark: SparkSession, out: str) -> DataFrame:
-    """The flags written last for each document."""
+    """The flags written last for each document, by run and batch."""
     flags = ["is_empty", "is_retrieved", "parsed", "should_rescrape"]
     written = spark.read.option("basePath", out).parquet(out)
-    newest = F.max(F.struct("batch", *flags)).alias("_newest")
+    newest = F.max(F.struct("run", "batch", *flags)).alias("_newest")
     return written.groupBy(*KEY).agg(newest).select(
         *KEY, *[F.col("_newest")[flag].alias(flag) for flag in flags]
     )
+
+
+def compact_flags(spark: SparkSession, out: str, target: str) -> None:
+    """Write the newest flags of each document as one run at ``target``, which ``read_flags``
+    reads in place of the whole history; later runs may go on writing there."""
+    newest = read_flags(spark, out)
+    newest.write.mode("overwrite").parquet(batch_path(target, "0", 0))

@@ -110,6 +110,18 @@ def outcome_of(spark, plan_tables, results):
     return {r["doc_id"]: r for r in kept.collect()}
 
 
+def test_a_good_second_try_counts(spark, plan_tables):
+    work, captures, templates, errors = plan_tables
+    tries = [
+        (*result(4, "http://unknown.com", page("404")), 1),
+        (*result(4, "http://unknown.com", page("Good")), 2),
+        (*result(4, "http://unknown.com", page("Later")), 3),
+    ]
+    plan = retrieval.fetch_plan(work, captures, templates, errors)
+    chosen = retrieval.choose_content(plan, spark.createDataFrame(tries, RESULT + ", attempt INT"))
+    assert [bytes(r["raw"]).decode() for r in chosen.collect()] == [page("Good")]
+
+
 def test_outcomes(spark, plan_tables):
     web = "https://web.archive.org/web"
     got = outcome_of(
@@ -331,7 +343,7 @@ def test_drain_and_resume(spark, tmp_path):
     assert run() == batch.where("doc_id < 5").count()
     payload.where("doc_id >= 5").write.mode("append").parquet(source)
     run()
-    got = spark.read.parquet(f"{out}/articles").drop("batch")
+    got = spark.read.parquet(f"{out}/articles").drop("run", "batch")
     key = ["dataset", "doc_id"]
     assert rows(got.select(*key, "title", "body"), *key) == rows(batch.select(*key, "title", "body"), *key)
     dead = spark.read.parquet(f"{out}/dead_letters")

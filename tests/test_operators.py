@@ -197,16 +197,16 @@ def test_capture_order_and_choice(spark):
     assert captures.usable_captures(table, ["200"]).count() == 2
 
 
-def test_cells_are_bounded_and_whole(spark):
-    items = [(1, f"{2000 + i}", "a", "200") for i in range(300)] + [(2, "2001", "a", "200")] * 40
-    cells = captures.capture_cells(capture_table(spark, items), max_per_cell=50)
-    got = cells.select("doc_id", "part_no", F.explode("captures").alias("c")).select(
-        "doc_id", "part_no", "c.timestamp", "c.copies"
+def test_cells_are_cut_by_status_and_month(spark):
+    items = [(1, f"{200001 + i // 9}{i % 9 + 10}", "a", "200") for i in range(300)]
+    items += [(2, "20010101", "a", "200")] * 40
+    got = captures.capture_cells(capture_table(spark, items)).select(
+        "doc_id", "statuscode", "month", F.explode("captures").alias("c")
     )
-    collected = got.collect()
+    collected = got.select("doc_id", "month", "c.timestamp", "c.copies").collect()
     assert sorted(r["timestamp"] for r in collected if r["doc_id"] == 1) == sorted(i[1] for i in items[:300])
-    assert len({r["part_no"] for r in collected if r["doc_id"] == 1}) > 3
-    assert [(r["part_no"], r["copies"]) for r in collected if r["doc_id"] == 2] == [(0, 40)]
+    assert all(r["timestamp"].startswith(r["month"]) for r in collected)
+    assert [(r["month"], r["copies"]) for r in collected if r["doc_id"] == 2] == [("200101", 40)]
 
 
 def test_cached(spark):
