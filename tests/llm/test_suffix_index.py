@@ -60,7 +60,7 @@ def test_crowds_are_dealt_out(spark, texts, monkeypatch):
 def test_windows_without_any_repeat():
     bodies = pa.table({
         "seed": pa.array([1, 1], pa.int64()), "key": pa.array([7, 8], pa.int64()),
-        "lo": pa.array([0, 0], pa.int32()), "known": [False, False], "data": [b"a" * 9, b"b" * 9],
+        "lo": pa.array([0, 0], pa.int32()), "known": [False, False], "data": [b"abcdefghi", b"jklmnopqr"],
     })
     assert suffix_index.repeated_windows(bodies, 8).num_rows == 0
     assert suffix_index.repeated_windows(bodies.slice(0, 0), 8).num_rows == 0
