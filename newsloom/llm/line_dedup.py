@@ -40,22 +40,50 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias(KEY))
 
 
-def _grams(keyed: DataFrame) -> DataFrame:
-    """Lines of SHINGLE words or more: doc_id, key, line_no, grams (a hash of each run)."""
-    split = F.transform(
-        F.split("text", "\n"), lambda line: F.array_remove(F.split(F.lower(line), SPACE), "")
-    )
-    lines = keyed.select("doc_id", KEY, F.posexplode(split).alias("line_no", "words"))
-    words = F.col("words")
-    runs = F.transform(
-        F.sequence(F.lit(0), F.size("words") - SHINGLE),
-        lambda i: F.xxhash64(*(words[i + k] for k in range(SHINGLE))),
+def _lines(keyed: DataFrame) -> DataFrame:
+    return keyed.select("doc_id", KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def _words(lines: DataFrame) -> DataFrame:
+    """Lines of SHINGLE words or more with their words; exploding an array of one keeps the
+    optimizer from splitting every line twice."""
+    words = F.array_remove(F.split(F.lower("line"), SPACE), "")
+    return lines.select("doc_id", KEY, "line_no", F.explode(F.array(words)).alias("words")).where(
+        F.size("words") >= SHINGLE
     )
-    return lines.where(F.size("words") >= SHINGLE).select(
-        "doc_id", KEY, "line_no", runs.alias("grams")
+
+
+# A token is the hash of SHINGLE = 5 words: of two pairs of words, and the fifth.
+def _pair(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
+
+
+def _grams(words: DataFrame) -> DataFrame:
+    """doc_id, key, line_no, grams: the token of each run of words.
+
+    Whole arrays are paired with themselves, moved by one, two and four places: functions of
+    two elements are much cheaper than such that look elements up."""
+    n = F.size("words")
+
+    def from_place(name: str, first: int, less: int) -> Column:
+        return F.slice(name, F.lit(first), n - less)
+
+    return (
+        words.withColumn("h", F.transform("words", lambda word: F.xxhash64(word)))
+        .withColumn("g2", F.zip_with(from_place("h", 1, 1), from_place("h", 2, 1), _pair))
+        .withColumn("g4", F.zip_with(from_place("g2", 1, 3), from_place("g2", 3, 3), _pair))
+        .withColumn("grams", F.zip_with(from_place("g4", 1, 4), from_place("h", 5, 4), _pair))
+        .select("doc_id", KEY, "line_no", "grams")
     )
 
 
+def _tokens(words: DataFrame) -> DataFrame:
+    """The same tokens, one a row, in compiled code."""
+    place = words.select("words", F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE)).alias("i"))
+    h = [F.xxhash64(F.col("words")[F.col("i") + k]) for k in range(SHINGLE)]
+    return place.select(_pair(_pair(_pair(h[0], h[1]), _pair(h[2], h[3])), h[4]).alias("token"))
+
+
 def _bucket(token: Column) -> Column:
     return F.pmod(token, F.lit(BUCKETS)).cast("int")
 
@@ -64,8 +92,7 @@ def _order(keyed: DataFrame) -> tuple[Column, Column]:
     """Rank of each bucket, and parts its lists are read in, as constant arrays: the more often
     its tokens occur beyond what an average bucket holds, the later."""
     counts = (
-        _grams(keyed)
-        .select(F.explode("grams").alias("token"))
+        _tokens(_words(_lines(keyed)))
         .groupBy(_bucket(F.col("token")).alias("bucket"))
         .count()
         .collect()  # BUCKETS rows at most
@@ -111,12 +138,12 @@ def _similar(
     pairs = stored(pairs, "line-pairs")
     ids = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
     wanted = firsts.join(ids, "sig", "left_semi").select("sig", "at.*")
-    buckets = wanted.select(bucket_of(F.col(KEY)).alias("_bucket")).distinct()
-    texts = keyed.withColumn("_bucket", bucket_of(F.col(KEY))).join(
-        F.broadcast(buckets), "_bucket", "left_semi"
-    )
+    place = F.xxhash64(KEY, "line_no")
+    buckets = wanted.select(bucket_of(place).alias("_bucket")).distinct()
+    lines = _lines(keyed).withColumn("_bucket", bucket_of(place))
+    lines = lines.join(F.broadcast(buckets), "_bucket", "left_semi")
     sets = (
-        _sets(_grams(texts), ranks)
+        _sets(_grams(_words(lines)), ranks)
         .join(wanted.select("sig", KEY, "line_no"), ["sig", KEY, "line_no"], "left_semi")
         .dropDuplicates(["sig"])
         .select("sig", "tokens")
@@ -138,7 +165,7 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     ranks, parts = _order(keyed)
     prefix = F.slice("tokens", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
     lines = stored(
-        _sets(_grams(keyed), ranks).select(
+        _sets(_grams(_words(_lines(keyed))), ranks).select(
             "doc_id", KEY, "line_no", "n", "sig", prefix.alias("prefix")
         ),
         "lines",
