@@ -21,7 +21,7 @@ from newsloom.plans.parsing import (
     date_errors,
     dead_letters,
     parse_payload,
-    parse_transitions,
+    parse_states,
 )
 from newsloom.plans.retrieval import content_kind
 
@@ -405,21 +405,14 @@ FROM parsed GROUP BY kind""",
 )
 def parse_log(spark, folder):
     """MRG-4, AGG-4, PLN-6: log entries of the parse job by kind of content."""
-    rows = parsed(spark, folder)
-    states = parse_transitions(rows).groupBy(*KEY).agg(
-        F.count_if(F.col("state") == "RESCRAPE").alias("r"),
-        F.count_if(F.col("state") == "PARSED").alias("p"),
+    written = parsed(spark, folder).where(F.col("error").isNull())
+    states = written.select(
+        "content_kind", F.explode(parse_states(F.col("content_kind"))).alias("state")
     )
-    return (
-        rows.where(F.col("error").isNull())
-        .select(*KEY, "content_kind")
-        .join(states, KEY)
-        .groupBy("content_kind")
-        .agg(
-            F.count(F.lit(1)).alias("n_docs"),
-            F.sum("r").alias("n_rescrape"),
-            F.sum("p").alias("n_parsed"),
-        )
+    return states.groupBy("content_kind").agg(
+        F.count_if(F.col("state") == "PARSED").alias("n_docs"),
+        F.count_if(F.col("state") == "RESCRAPE").alias("n_rescrape"),
+        F.count_if(F.col("state") == "PARSED").alias("n_parsed"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.catalog import tables as tb
 from newsloom.catalog.registry import query
 from newsloom.catalog.tables import with_tables
-from newsloom.functions.index_udtf import archive_lines
+from newsloom.functions.index_udtf import register_archive_lines
 from newsloom.operators import attempts, captures
 
 _UNUSABLE = "('401','508','403','502','402','405','429','520','500','409','404','-')"
@@ -38,7 +38,7 @@ def capture_parse(spark, folder):
 )
 def capture_parse_lateral(spark, folder):
     """UDF-2: the same, with the table function and a lateral join."""
-    spark.udtf.register("archive_lines", archive_lines)
+    register_archive_lines(spark)
     tb.index_lines(spark, folder).createOrReplaceTempView("index_lines_of_events")
     return spark.sql(
         "SELECT doc_id, c.* FROM index_lines_of_events, LATERAL archive_lines(value) AS c"

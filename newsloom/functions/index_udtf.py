@@ -1,20 +1,22 @@
 """Table function over an index answer, for use in SQL with a lateral join.
 
-``operators.captures.parse_index_lines`` does the same without Python and is what jobs use.
+It is a SQL function, so a lateral join with it stays inside the JVM.
+``operators.captures.parse_index_lines`` does the same for jobs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-from pyspark.sql.functions import udtf
+from pyspark.sql import SparkSession
 
 from newsloom import fixed_values as fv
 
 
-@udtf(returnType=T.StructType([T.StructField(n, T.StringType()) for n in fv.CAPTURE_FIELDS]))
-class archive_lines:
-    def eval(self, text: str):
-        for line in (text or "").split("\n"):
-            fields = line.split(" ")
-            if len(fields) == len(fv.CAPTURE_FIELDS):
-                yield tuple(fields)
+def register_archive_lines(spark: SparkSession, name: str = "archive_lines") -> None:
+    """Make ``name(text)`` known to SQL: one row per line of seven fields."""
+    columns = ", ".join(f"`{field}` STRING" for field in fv.CAPTURE_FIELDS)
+    fields = ", ".join(f"f[{i}]" for i in range(len(fv.CAPTURE_FIELDS)))
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(body STRING) RETURNS TABLE({columns}) RETURN "
+        f"SELECT {fields} FROM (SELECT split(line, ' ', -1) AS f FROM "
+        f"(SELECT explode(split(body, '\\n', -1)) AS line)) WHERE size(f) = {len(fv.CAPTURE_FIELDS)}"
+    )

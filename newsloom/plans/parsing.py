@@ -140,10 +140,14 @@ def date_errors(parsed: DataFrame) -> DataFrame:
     return named.select(*KEY, "date_error")
 
 
+def parse_states(kind: Column) -> Column:
+    """States to log for a written article, in order."""
+    return F.when(kind == fv.NONE, F.array(F.lit(fv.RESCRAPE), F.lit(fv.PARSED))).otherwise(
+        F.array(F.lit(fv.PARSED))
+    )
+
+
 def parse_transitions(parsed: DataFrame) -> DataFrame:
     """States to log: RESCRAPE for documents without content, and PARSED for all written."""
     written = parsed.where(F.col("error").isNull())
-    states = F.when(
-        F.col("content_kind") == fv.NONE, F.array(F.lit(fv.RESCRAPE), F.lit(fv.PARSED))
-    ).otherwise(F.array(F.lit(fv.PARSED)))
-    return written.select(*KEY, F.explode(states).alias("state"))
+    return written.select(*KEY, F.explode(parse_states(F.col("content_kind"))).alias("state"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
-from newsloom.functions.index_udtf import archive_lines
+from newsloom.functions.index_udtf import register_archive_lines
 from newsloom.operators import (
     attempts,
     captures,
@@ -175,7 +175,7 @@ def test_index_answers(spark):
     assert [tuple(r) for r in got.collect()] == [
         ("d", 1, "k", "20200101000000", "http://x", "text/html", "200", "D", "1")
     ]
-    spark.udtf.register("archive_lines_test", archive_lines)
+    register_archive_lines(spark, "archive_lines_test")
     answers.createOrReplaceTempView("answers")
     lateral = spark.sql("SELECT dataset, doc_id, c.* FROM answers, LATERAL archive_lines_test(body) c")
     assert rows(lateral) == rows(got)
