@@ -42,6 +42,12 @@ HEADLINE = [
     "parsed_running_total",
     "import_antijoin",
     "redirect_resolve",
+    "payload_lookup",
+    "parse_log",
+    "capture_parse_lateral",
+    "drain_articles",
+    "stream_flags",
+    "stream_import",
 ]
 
 
