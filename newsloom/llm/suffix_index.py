@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.arrays import Piece, Rolling, mix, pieces
 from newsloom.llm.tables import bucket_of, delete_folder, new_folder, stored
+from newsloom.streaming.states import settings
 
 LENGTH = 200
 SEED = 40
@@ -41,6 +42,8 @@ BATCHES = 4
 # Window starts that are searched at a time; with a window they stay under 2^PLACE_BITS.
 STRETCH = 1 << 19
 PLACE_BITS = 20
+# A join on seed and body may use buckets by seed alone.
+BY_BUCKET = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 # Bodies of one seed that are compared in one task.
 CROWD = 2048
 
@@ -240,7 +243,10 @@ class SuffixIndex:
             F.lit(True).alias("head"),
             F.when(both, self._matches()).alias("found"),
         )
-        kept = self._keep(joined)
+        # Buckets by seed also have equal seeds and bodies together; nothing needs a shuffle, and
+        # each bucket is written by one task.
+        with settings(self.spark, BY_BUCKET):
+            kept = self._keep(joined)
         for name, path in (new, old):
             self.spark.sql(f"DROP TABLE {name}")
             delete_folder(self.spark, path)
@@ -249,7 +255,8 @@ class SuffixIndex:
     def _scan(self, new: tuple[str, str], old: tuple[str, str]) -> None:
         left, right = self._array(new).alias("l"), self._array(old).alias("r")
         found = left.join(right, ["seed", "body"]).select(F.explode(self._matches()).alias("f"))
-        self._spans.append(stored(found.select("f.key", "f.lo", "f.size"), "spans"))
+        with settings(self.spark, BY_BUCKET):
+            self._spans.append(stored(found.select("f.key", "f.lo", "f.size"), "spans"))
 
     def _ends(self) -> DataFrame:
         """One text of each body whose seed has several bodies, with their number."""

@@ -57,6 +57,17 @@ def test_crowds_are_dealt_out(spark, texts, monkeypatch):
     assert got == dict(enumerate(repeats(texts, 100)))
 
 
+def test_merges_write_one_file_a_bucket(spark, texts):
+    index = suffix_index.SuffixIndex(spark, 60, 12, buckets=5)
+    frame = spark.createDataFrame(list(enumerate(texts)), "key bigint, text string")
+    for part in range(2):
+        index.add(frame.where(f"key % 2 = {part}"))
+    (level, (name, _)), = index.levels.items()
+    assert level == 1
+    files = spark.table(name).inputFiles()
+    assert 0 < len(files) <= 5
+
+
 def test_windows_without_any_repeat():
     bodies = pa.table({
         "seed": pa.array([1, 1], pa.int64()), "key": pa.array([7, 8], pa.int64()),
