@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
 from newsloom.functions.html_fields import html_fields
-from newsloom.operators.lookup import fits_broadcast, join_lookup
+from newsloom.operators.lookup import join_lookup
 from newsloom.session import cut_lineage
 
 
@@ -40,11 +40,11 @@ def chain_ends(edges: DataFrame) -> DataFrame:
     Each round doubles the length of all jumps, so a chain of any length takes a
     logarithmic number of rounds.  As long as an unfinished chain is not a loop, a round
     finishes some; when a round finishes none, only loops are left.  Popular targets are
-    spread over many tasks.
+    spread over many tasks.  The jumps are measured anew each round, as targets may get longer.
     """
-    fits = fits_broadcast(edges)
+    edges = cut_lineage(edges)  # read several times below
     sources = edges.select(F.col("from_url").alias("to_url"), F.lit(True).alias("_goes_on"))
-    jumps = join_lookup(edges, sources, ["to_url"], "left", ["from_url"], fits=fits).select(
+    jumps = join_lookup(edges, sources, ["to_url"], "left", ["from_url"]).select(
         "from_url",
         "to_url",
         F.lit(1).cast("bigint").alias("hops"),
@@ -61,7 +61,7 @@ def chain_ends(edges: DataFrame) -> DataFrame:
             F.col("done").alias("_done"),
         )
         # Finished jumps meet nothing here and stay as they are.
-        further = join_lookup(jumps, onward, ["to_url"], "left", ["from_url"], fits=fits)
+        further = join_lookup(jumps, onward, ["to_url"], "left", ["from_url"])
         jumps = cut_lineage(
             further.select(
                 "from_url",

@@ -100,14 +100,15 @@ def archive_plan(
 ) -> DataFrame:
     """Locations of usable archived copies of the pages whose index query did not fail.
 
-    Equal copies are reduced to one before they meet the work table.
+    Only copies of documents on the worklist are looked at; of equal ones one is kept.
     """
     pages = work.where(~urls.is_pdf(F.col("url")) & ~F.col("_index_failed")).select(*KEY)
+    copies = usable_captures(captures, allowed).select(
+        *KEY, "statuscode", "timestamp", "original"
+    )
     return (
-        usable_captures(captures, allowed)
-        .select(*KEY, "statuscode", "timestamp", "original")
+        join_lookup(copies, pages, KEY, "left_semi", ["timestamp", "original"])
         .distinct()
-        .join(pages, KEY, "left_semi")
         .select(
             *KEY,
             F.lit(ARCHIVE_STAGE).alias("stage_rank"),
