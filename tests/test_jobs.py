@@ -307,7 +307,7 @@ def test_sinks(spark, tmp_path, plan_tables, parsed):
     sinks.append_work(plan_tables[0], str(tmp_path / "work"))
     sinks.append_articles(parsing.article_rows(parsed), str(tmp_path / "articles"))
     articles = spark.read.parquet(str(tmp_path / "articles"))
-    assert articles.count() == 7 and set(articles.columns) == set(schemas.ARTICLE_COLUMNS)
+    assert articles.count() == 8 and set(articles.columns) == set(schemas.ARTICLE_COLUMNS)
     entries = spark.createDataFrame([("d", "raw_new")], schemas.INGEST_LEDGER)
     sinks.append_ledger(entries, str(tmp_path / "ledger"))
     assert rows(spark.read.parquet(str(tmp_path / "ledger"))) == [("d", "raw_new")]
