@@ -13,8 +13,11 @@ Groups. Equal lines form one class, of which the first line stands for all. To r
 similar earlier line is enough: each member of a list meets the list's first line only, and those
 left over then meet the earlier members. All pairs of a group are never written.
 
-Defined cases: lines of fewer than SHINGLE words always stay, as do empty lines and line ends; a
-null text stays null; rows equal in id and text are one document, and each gets its result; null
+Short lines. With ``short``, a line of fewer than SHINGLE words has one token, its whole word
+sequence; it is similar to the lines of equal words alone, so it needs its class, no join.
+
+Defined cases: without ``short``, lines of fewer than SHINGLE words stay; lines without words and
+line ends always do; a null text stays null; rows equal in id and text are one document, and each gets its result; null
 ids come first; other columns are carried along, whatever their names.
 """
 
@@ -44,12 +47,12 @@ def _lines(keyed: DataFrame) -> DataFrame:
     return keyed.select("doc_id", KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _words(lines: DataFrame) -> DataFrame:
-    """Lines of SHINGLE words or more with their words; exploding an array of one keeps the
+def _words(lines: DataFrame, least: int = SHINGLE) -> DataFrame:
+    """Lines of ``least`` words or more with their words; exploding an array of one keeps the
     optimizer from splitting every line twice."""
     words = F.array_remove(F.split(F.lower("line"), SPACE), "")
     return lines.select("doc_id", KEY, "line_no", F.explode(F.array(words)).alias("words")).where(
-        F.size("words") >= SHINGLE
+        F.size("words") >= least
     )
 
 
@@ -59,21 +62,25 @@ def _pair(a: Column, b: Column) -> Column:
 
 
 def _grams(words: DataFrame) -> DataFrame:
-    """doc_id, key, line_no, grams: the token of each run of words.
+    """doc_id, key, line_no, short, grams: the token of each run of words, or the one of all words
+    of a line that is too short for a run.
 
     Whole arrays are paired with themselves, moved by one, two and four places: functions of
     two elements are much cheaper than such that look elements up."""
     n = F.size("words")
 
     def from_place(name: str, first: int, less: int) -> Column:
-        return F.slice(name, F.lit(first), n - less)
+        return F.slice(name, F.lit(first), F.greatest(n - less, F.lit(0)))
+
+    short = n < SHINGLE
 
     return (
         words.withColumn("h", F.transform("words", lambda word: F.xxhash64(word)))
         .withColumn("g2", F.zip_with(from_place("h", 1, 1), from_place("h", 2, 1), _pair))
         .withColumn("g4", F.zip_with(from_place("g2", 1, 3), from_place("g2", 3, 3), _pair))
         .withColumn("grams", F.zip_with(from_place("g4", 1, 4), from_place("h", 5, 4), _pair))
-        .select("doc_id", KEY, "line_no", "grams")
+        .withColumn("grams", F.when(short, F.array(F.xxhash64("words"))).otherwise(F.col("grams")))
+        .select("doc_id", KEY, "line_no", short.alias("short"), "grams")
     )
 
 
@@ -118,7 +125,7 @@ def _sets(grams: DataFrame, ranks: Column) -> DataFrame:
         return rank.bitwiseOR(token.bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)))
 
     tokens = F.sort_array(F.array_distinct(F.transform("grams", ordered)))
-    return grams.select("doc_id", KEY, "line_no", tokens.alias("tokens")).select(
+    return grams.select("doc_id", KEY, "line_no", "short", tokens.alias("tokens")).select(
         "*", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("sig")
     )
 
@@ -158,14 +165,18 @@ def _similar(
     ).select("a", "b")
 
 
-def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+def repeated_lines(
+    documents: DataFrame, percent: int = PERCENT, short: bool = False
+) -> DataFrame:
     """(key, line_no) of every line that an earlier line makes superfluous; the key is the hash
-    of id and text."""
+    of id and text. ``short`` takes in the lines of fewer than SHINGLE words."""
     keyed = _keyed(documents)
     ranks, parts = _order(keyed)
     prefix = F.slice("tokens", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    # Short lines are equal or not similar: nothing to join.
+    prefix = F.when(F.col("short"), F.array().cast("array<bigint>")).otherwise(prefix)
     lines = stored(
-        _sets(_grams(_words(_lines(keyed))), ranks).select(
+        _sets(_grams(_words(_lines(keyed), 1 if short else SHINGLE)), ranks).select(
             "doc_id", KEY, "line_no", "n", "sig", prefix.alias("prefix")
         ),
         "lines",
@@ -233,10 +244,10 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def remove_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+def remove_lines(documents: DataFrame, percent: int = PERCENT, short: bool = False) -> DataFrame:
     """The documents, all columns, with two more: ``kept_text`` without the superfluous lines, and
     ``removed_lines``, their numbers in order (an empty array where nothing goes)."""
-    gone = stored(repeated_lines(documents, percent), "gone-lines")
+    gone = stored(repeated_lines(documents, percent, short), "gone-lines")
     by_text = gone.groupBy(KEY).agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
     buckets = gone.select(bucket_of(F.col(KEY)).alias("_bucket")).distinct()
     # The row travels as one value, so that no name of its columns can clash.

@@ -82,7 +82,8 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.digest(line_dedup.remove_lines(read(spark, folder, "documents")))
+    documents = read(spark, folder, "documents")
+    return line_dedup.digest(line_dedup.remove_lines(documents, short=True))
 
 
 QUERIES = {

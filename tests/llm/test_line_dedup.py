@@ -1,5 +1,5 @@
-from brute import lines_gone
-from newsloom.llm import line_dedup
+from brute import WORD, lines_gone
+from newsloom.llm import line_dedup, queries
 
 
 def test_equals_brute_force(documents, texts):
@@ -33,3 +33,48 @@ def test_no_python_in_the_plan(documents):
 
 def test_empty_table(nothing):
     assert line_dedup.remove_lines(nothing).count() == 0
+
+
+def test_short_lines_go(spark):
+    """Brute force of its own: a line of fewer than five words has one token, all of its words."""
+    long = "one two three four five six"
+    rows = [
+        (1, f"Share this\n{long}\n\nshare  THIS"),
+        (2, f"a\nshare this story\n{long}\nshare this"),
+        (3, "A\nb\n \none two three four"),
+        (4, "one two three four\none two three four five\nthis share"),
+        (5, "ab\na b\nb\none two three four five"),
+    ]
+    seen, want = set(), {}
+    for k, text in rows:
+        want[k] = []
+        for n, line in enumerate(text.split("\n")):
+            words = tuple(line.lower().split())
+            if words and words in seen:
+                want[k].append(n)
+            seen.add(words)
+    assert sum(map(len, want.values())) == 7
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = line_dedup.remove_lines(documents, short=True).collect()
+    assert {r["doc_id"]: r["removed_lines"] for r in got} == want
+
+
+def test_query_removes_short_lines(spark):
+    folder = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    seen, equal = set(), set()
+    for k in sorted(texts):
+        for n, line in enumerate((texts[k] or "").split("\n")):
+            words = tuple(WORD.findall(line.lower()))
+            if 0 < len(words) < 5:
+                if words in seen:
+                    equal.add((k, n))
+                seen.add(words)
+    got = set()
+    for row in queries.op10_line_dedup(spark, folder).collect():
+        lines = (texts[row["doc_id"]] or "").split("\n")
+        for n in map(int, filter(None, row["removed_lines"].split(","))):
+            if len(WORD.findall(lines[n])) < 5:
+                got.add((row["doc_id"], n))
+    assert got == equal and equal
