@@ -43,7 +43,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and topics meet their target shares."""
     topics = mixing.embedding_topics(read(spark, sf_dir, "embeddings"))
-    drawn = stored(mixing.mix(docs, topics).where("NOT kept").select("doc_id").distinct(), "left-out")
+    rows = mixing.mix(docs, topics, capped=True)
+    drawn = stored(rows.where("NOT kept").select("doc_id").distinct(), "left-out")
     return without(docs, "doc_id", drawn)
 
 

@@ -7,7 +7,12 @@ depends on its id and a seed alone. Cells stay a table: each rake is a grouped s
 Targets are given as tables (value, share), or follow from the data: shares to the power POWER,
 which lifts rare values and lowers common ones. Probabilities are the raked weight over the
 tokens present, times one factor that brings the expected number of tokens to KEEP of all, each at
-most 1.
+most 1. Where probabilities meet that bound, the clipped rest no longer has the target shares.
+
+With ``capped``, raking knows the bound: cells that reach it keep their tokens, the open ones are
+raked to what is left, and so on until the marginals stop moving. A value that has fewer tokens
+than its target asks for is kept whole, and what it lacks goes to the other values in proportion
+to their targets. ``shares`` puts target and expected share of each value side by side.
 
 Defined cases: a null or empty text has no words, weighs 0 and is kept with its cell's
 probability; null sources, languages and topics count as ''; a null id draws as ''; rows with the
@@ -26,6 +31,9 @@ POWER = 0.5
 ROUNDS = 8
 KEEP = 0.6
 FILL_STEPS = 8
+# Raking under the bound stops when no dimension is off by more than STILL of the kept tokens.
+CAPPED_ROUNDS = 40
+STILL = 1e-3
 SEED = 20240301
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -87,14 +95,121 @@ def calibrate(cells: DataFrame, keep: float = KEEP) -> DataFrame:
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("rate") * factor))
 
 
+def aims(
+    cells: DataFrame, targets: dict[str, DataFrame], keep: float
+) -> tuple[DataFrame, float]:
+    """(dimension, value, aim): the tokens to keep of each value, at most those it has; and the
+    share of all tokens to keep, which is lower than ``keep`` if values with a target lack them."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    parts, reach = [], keep
+    for dimension, target in targets.items():
+        sums = cells.groupBy(dimension).agg(F.sum("tokens").alias("tokens"))
+        part = stored(
+            sums.join(target, dimension, "left").select(
+                F.lit(dimension).alias("dimension"),
+                F.col(dimension).alias("value"),
+                "tokens",
+                (F.coalesce("share", F.lit(0.0)) * total).alias("weight"),
+            ),
+            "aims",
+        )
+        there = part.where("weight > 0").agg(F.sum("tokens")).first()[0] or 0
+        reach = min(reach, there / total if total else keep)
+        parts.append(part)
+    out = None
+    for part in parts:
+        aim = calibrate(part, reach).select(
+            "dimension", "value", (F.col("tokens") * F.col("probability")).alias("aim")
+        )
+        out = aim if out is None else out.union(aim)
+    return stored(out, "aims"), reach
+
+
+def rake_capped(
+    cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, rounds: int = CAPPED_ROUNDS
+) -> DataFrame:
+    """Cells with ``probability``: raked so that the expected kept tokens of each value meet its
+    aim with no probability above 1."""
+    aim, reach = aims(cells, targets, keep)
+    size = float(cells.agg(F.sum("tokens")).first()[0] or 0) * reach
+    cells = cells.withColumn("rate", F.lit(float(reach)))
+    kept = F.col("tokens") * F.least(F.lit(1.0), F.col("rate"))
+    for _ in range(rounds):
+        for dimension in targets:
+            wanted = aim.where(F.col("dimension") == dimension).select(
+                F.col("value").alias(dimension), "aim"
+            )
+            full = F.col("rate") >= 1
+            sums = cells.groupBy(dimension).agg(
+                F.sum(F.when(full, F.col("tokens")).otherwise(0)).cast("double").alias("full"),
+                F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("rate"))).alias("open"),
+            )
+            # What is left of the aim beside the full cells, over the open ones. Downwards, full
+            # cells may open again, so that a step to nothing or below is held back.
+            present = F.col("full") + F.col("open")
+            step = (F.col("aim") - F.col("full")) / F.col("open")
+            factor = (
+                F.when(present <= 0, 1.0)
+                .when(F.col("aim") >= present, F.when(F.col("open") > 0, step).otherwise(1.0))
+                .otherwise(
+                    F.greatest(F.when(F.col("open") > 0, step), F.col("aim") / present / 2)
+                )
+            )
+            factors = sums.join(wanted, dimension).select(dimension, factor.alias("factor"))
+            cells = cells.join(factors, dimension).withColumn(
+                "rate", F.col("rate") * F.col("factor")
+            ).drop("factor")
+        cells = stored(cells, "raked")
+        pairs = [F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in targets]
+        off = (
+            cells.select(F.explode(F.array(*pairs)).alias("at"), kept.alias("kept"))
+            .groupBy("at.dimension", "at.value")
+            .agg(F.sum("kept").alias("kept"))
+            .join(aim, ["dimension", "value"])
+            .agg(F.max(F.abs(F.col("kept") - F.col("aim"))))
+            .first()[0]
+        )
+        if not off or off <= STILL * size:
+            break
+    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("rate")))
+
+
+def shares(mixed: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(dimension, value, target, expected): target and expected share of the kept tokens, from
+    the rows of ``mix``."""
+    cells = stored(
+        mixed.groupBy(*DIMENSIONS).agg(
+            F.sum("tokens").alias("tokens"),
+            F.sum(F.col("tokens") * F.col("probability")).alias("kept"),
+        ),
+        "shares",
+    )
+    if targets is None:
+        targets = {d: smoothed(cells, d, POWER) for d in DIMENSIONS}
+    total = cells.agg(F.sum("kept")).first()[0] or 1.0
+    out = None
+    for dimension, target in targets.items():
+        kept = cells.groupBy(dimension).agg((F.sum("kept") / total).alias("expected"))
+        part = kept.join(target, dimension, "full").select(
+            F.lit(dimension).alias("dimension"),
+            F.col(dimension).alias("value"),
+            F.coalesce("share", F.lit(0.0)).alias("target"),
+            F.coalesce("expected", F.lit(0.0)).alias("expected"),
+        )
+        out = part if out is None else out.union(part)
+    return out
+
+
 def mix(
     documents: DataFrame,
     topics: DataFrame,
     targets: dict[str, DataFrame] | None = None,
     keep: float = KEEP,
     seed: int = SEED,
+    capped: bool = False,
 ) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens, probability, kept) per document.
+    """(doc_id, source, lang, topic, tokens, probability, kept) per document; ``capped`` rakes
+    under the bound of the probabilities instead of clipping them afterwards.
 
     ``topics`` has (doc_id, topic), one row per id; documents without one have the topic ''."""
     measured = documents.select(
@@ -112,7 +227,11 @@ def mix(
     cells = stored(measured.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     if targets is None:
         targets = {d: stored(smoothed(cells, d, POWER), "targets") for d in DIMENSIONS}
-    chances = calibrate(rake(cells, targets), keep).select(*DIMENSIONS, "probability")
+    if capped:
+        chances = rake_capped(cells, targets, keep)
+    else:
+        chances = calibrate(rake(cells, targets), keep)
+    chances = chances.select(*DIMENSIONS, "probability")
     return (
         measured.join(chances, list(DIMENSIONS))
         .withColumn("kept", draw(F.col("doc_id"), seed) < F.col("probability"))
