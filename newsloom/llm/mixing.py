@@ -21,7 +21,7 @@ same id have the same draw; values without a target share get 0; an empty table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.tables import stored
@@ -133,40 +133,47 @@ def rake_capped(
     aim, reach = aims(cells, targets, keep)
     size = float(cells.agg(F.sum("tokens")).first()[0] or 0) * reach
     cells = cells.withColumn("rate", F.lit(float(reach)))
+    for dimension in targets:
+        wanted = aim.where(F.col("dimension") == dimension).select(
+            F.col("value").alias(dimension), F.col("aim").alias(f"aim_{dimension}")
+        )
+        cells = cells.join(wanted, dimension)
+    cells = stored(cells, "raked")
+    at = F.array(
+        *(
+            F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"), F.col(f"aim_{d}").alias("aim"))
+            for d in targets
+        )
+    )
     kept = F.col("tokens") * F.least(F.lit(1.0), F.col("rate"))
+    full = F.col("rate") >= 1
     for _ in range(rounds):
+        # Sums in windows: a round is one short plan, and the driver keeps little of it.
         for dimension in targets:
-            wanted = aim.where(F.col("dimension") == dimension).select(
-                F.col("value").alias(dimension), "aim"
-            )
-            full = F.col("rate") >= 1
-            sums = cells.groupBy(dimension).agg(
-                F.sum(F.when(full, F.col("tokens")).otherwise(0)).cast("double").alias("full"),
-                F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("rate"))).alias("open"),
+            same = Window.partitionBy(dimension)
+            wanted = F.col(f"aim_{dimension}")
+            cells = cells.withColumns(
+                {
+                    "full": F.sum(F.when(full, F.col("tokens")).otherwise(0)).over(same).cast("double"),
+                    "open": F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("rate"))).over(same),
+                }
             )
             # What is left of the aim beside the full cells, over the open ones. Downwards, full
             # cells may open again, so that a step to nothing or below is held back.
             present = F.col("full") + F.col("open")
-            step = (F.col("aim") - F.col("full")) / F.col("open")
+            step = F.when(F.col("open") > 0, (wanted - F.col("full")) / F.col("open"))
             factor = (
                 F.when(present <= 0, 1.0)
-                .when(F.col("aim") >= present, F.when(F.col("open") > 0, step).otherwise(1.0))
-                .otherwise(
-                    F.greatest(F.when(F.col("open") > 0, step), F.col("aim") / present / 2)
-                )
+                .when(wanted >= present, F.coalesce(step, F.lit(1.0)))
+                .otherwise(F.greatest(step, wanted / present / 2))
             )
-            factors = sums.join(wanted, dimension).select(dimension, factor.alias("factor"))
-            cells = cells.join(factors, dimension).withColumn(
-                "rate", F.col("rate") * F.col("factor")
-            ).drop("factor")
+            cells = cells.withColumn("rate", F.col("rate") * factor).drop("full", "open")
         cells = stored(cells, "raked")
-        pairs = [F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in targets]
         off = (
-            cells.select(F.explode(F.array(*pairs)).alias("at"), kept.alias("kept"))
-            .groupBy("at.dimension", "at.value")
+            cells.select(F.explode(at).alias("at"), kept.alias("kept"))
+            .groupBy("at")
             .agg(F.sum("kept").alias("kept"))
-            .join(aim, ["dimension", "value"])
-            .agg(F.max(F.abs(F.col("kept") - F.col("aim"))))
+            .agg(F.max(F.abs(F.col("kept") - F.col("at.aim"))))
             .first()[0]
         )
         if not off or off <= STILL * size:
