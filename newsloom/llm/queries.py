@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import (
     line_dedup,
+    merkle,
     mixing,
     ngram_join,
     packing,
@@ -17,10 +18,16 @@ from newsloom.llm import (
     tokens,
     top_k,
     toxicity,
+    tree_search,
+    vector_codes,
 )
 from newsloom.llm.tables import new_folder, read
 
-TWINS: dict[str, str] = {"op7_mixing": mixing.twin_sql()}
+TWINS: dict[str, str] = {
+    "op7_mixing": mixing.twin_sql(),
+    "op11_merkle_manifest": merkle.twin_sql(),
+    "op13_vector_codes": vector_codes.twin_sql(),
+}
 
 
 def op1_top_k_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,6 +93,19 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.digest(line_dedup.remove_lines(documents, short=True))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified(read(spark, folder, "documents"))
+
+
+def op12_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = tree_search.usable(read(spark, folder, "embeddings"))
+    return tree_search.search(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(read(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_top_k_search": op1_top_k_search,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -97,4 +117,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_tree_search": op12_tree_search,
+    "op13_vector_codes": op13_vector_codes,
 }
