@@ -183,15 +183,19 @@ BODY_PARKED = "is parked free courtesy of godaddy com"
 
 # Frequent short words per language (two-letter codes).
 STOP_WORDS = {
+    "cs": "je se že jsou jako jsem také podle byl byla které který při nebo až však protože jeho už pouze",
+    "da": "og ikke jeg er det på til af med som fra efter blev også eller når være havde mig hvad",
     "de": "der die das und ist in zu den von mit nicht ein eine für auf sich auch im dem des",
     "en": "the a of and to in is that it was for on with as are this be at by from or",
     "es": "el la los las de que y en un una es por con para no se del al lo su",
     "fr": "le la les des et de du un une que qui dans pour est en au par sur pas avec",
     "it": "il lo la gli di che e in un una per non con del della dei sono alla anche più",
     "nl": "de het een en van in is dat op te zijn voor met niet aan er om ook als door",
+    "pl": "się nie jest przez jak dla oraz był była które który także tylko jego tego może być czy po są",
     "pt": "o a os as de que e do da em um uma para com não por dos das no na",
+    "sv": "och att det som på är för av inte till han jag ett så hade sig från också eller när efter över",
 }
-# Scripts that give a language away where no frequent word does, in the order of asking.
+# Scripts that give a language away where they hold most letters; the earlier of equal ones counts.
 SCRIPT_LANGUAGES = [
     ("Hangul", "ko"),
     ("Hiragana", "ja"),
