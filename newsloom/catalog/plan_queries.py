@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from newsloom.catalog import sql_parts as sp
 from newsloom.catalog import tables as tb
+from newsloom.catalog.quality_queries import READER_REJECTED
 from newsloom.catalog.registry import query
 from newsloom.catalog.tables import CTES, with_tables
 from newsloom.catalog.url_queries import policed_seed
 from newsloom.plans import retrieval
-from newsloom.session import cut_lineage
+from newsloom.plans import retrieval_job as job
+from newsloom.session import cut_lineage, shared_folder
+from newsloom.sources.batches import BatchStore
 
 _WORK = ["seed", "suffixes", "hosts", "split", "policy", "work"]
 _UNUSABLE = "('401','508','403','502','402','405','429','520','500','409','404','-')"
@@ -42,18 +48,36 @@ CTES["plan"] = f"""
   FROM variants v WHERE NOT is_file
     AND NOT EXISTS (SELECT 1 FROM index_errors e
                     WHERE e.dataset = v.dataset AND e.doc_id = v.doc_id)"""
+_MARKED = "replace(html, '<title>', '<title>Error 404: ')"
+CTES["gated_pages"] = f"""
+  SELECT CAST(page_id AS INTEGER) AS doc_id, NOT {sp.rejected('html')} AS good,
+         NOT {sp.rejected(_MARKED)} AS marked_good,
+         NOT ({sp.bad_title('html')} OR {sp.bad_body('html')}) AS file_good,
+         NOT ({sp.bad_title(_MARKED)} OR {sp.bad_body(_MARKED)}) AS marked_file_good
+  FROM pages"""
+CTES["gated_readers"] = f"""
+  SELECT CAST(doc_id AS INTEGER) AS doc_id, NOT {READER_REJECTED} AS good FROM documents"""
 CTES["results"] = """
-  SELECT *, CASE WHEN n % 5 = 0 THEN 'no answer' END AS error,
+  SELECT *, CASE WHEN (n + attempt) % 5 = 1 THEN 'no answer' END AS error,
          CASE WHEN n % 4 = 0 THEN 503 ELSE 200 END AS http_status,
-         n % 3 <> 0 AS raw_ok, n % 2 = 0 AND view = 'BOTH' AS reader_ok
-  FROM (SELECT *, length(location) + doc_id + variant_no AS n FROM plan)"""
+         CASE WHEN view = 'PDF' AND n % 2 = 0 THEN true
+              WHEN view = 'PDF' AND marked THEN marked_file_good WHEN view = 'PDF' THEN file_good
+              WHEN marked THEN marked_good ELSE good END AS raw_ok,
+         n % 2 = 0 AND view = 'BOTH' AND reader_good AS reader_ok
+  FROM (SELECT p.*, g.* EXCLUDE (doc_id), r.good AS reader_good, attempt,
+               length(location) + p.doc_id + variant_no AS n,
+               (length(location) + p.doc_id + variant_no + attempt) % 3 = 1 AS marked
+        FROM plan p JOIN gated_pages g ON g.doc_id = p.doc_id JOIN gated_readers r ON r.doc_id = p.doc_id,
+        attempts_made)"""
+CTES["attempts_made"] = "SELECT 1 AS attempt"
+CTES["more_attempts"] = "SELECT unnest([1, 2, 3]) AS attempt"
 CTES["tried"] = """
   SELECT *, raw_ok OR reader_ok AS accepted FROM results
   WHERE error IS NULL AND (view <> 'PDF' OR http_status = 200)"""
 CTES["stage_first"] = """
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY dataset, doc_id, stage_rank
-      ORDER BY statuscode, "timestamp", variant_no, location) AS place
+      ORDER BY statuscode, "timestamp", variant_no, NOT accepted, attempt, location) AS place
     FROM tried WHERE stage_rank <> 1 OR accepted)
   WHERE place = 1 AND accepted"""
 CTES["chosen"] = """
@@ -77,27 +101,38 @@ def _plan(spark, folder):
     return work, cut_lineage(plan)
 
 
-def _results(plan):
-    """A fetch result per planned location: errors, error pages and articles."""
+def _results(spark, folder, plan, attempts=1):
+    """A fetch result per planned location and attempt: the document's page, or that page under an
+    error title, and its simplified page; some fetches end in an error, some files are no text."""
     number = F.length("location") + F.col("doc_id") + F.col("variant_no")
-    story = F.concat(
-        F.lit("<html><head><title>Story</title></head><body><p>"),
-        F.col("location"),
-        F.lit("</p></body></html>"),
-    )
-    error_page = F.replace(story, F.lit("Story"), F.lit("Error 404 | Site"))
-    reader = F.replace(story, F.lit("<p>"), F.lit('<div class="content">'))
-    return plan.select(
+    pages = tb.table(spark, folder, "pages").select(
+        F.col("page_id").cast("int").alias("doc_id"), F.col("html").alias("_page")
+    )
+    readers = tb.reader_pages(spark, folder).select("doc_id", F.col("html").alias("_reader"))
+    tried = (
+        plan.join(pages, "doc_id")
+        .join(readers, "doc_id")
+        .withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
+    )
+    attempt = F.col("attempt")
+    marked = F.replace("_page", F.lit("<title>"), F.lit("<title>Error 404: "))
+    sent = F.encode(F.when((number + attempt) % 3 == 1, marked).otherwise(F.col("_page")), "UTF-8")
+    no_text = (F.col("view") == "PDF") & (number % 2 == 0)
+    return tried.select(
         "dataset",
         "doc_id",
         "location",
+        "attempt",
         F.when(number % 4 == 0, 503).otherwise(200).alias("http_status"),
-        F.when(number % 5 == 0, "no answer").alias("error"),
-        F.encode(F.when(number % 3 == 0, error_page).otherwise(story), "UTF-8").alias("raw"),
-        F.encode(F.when(number % 2 == 0, reader).otherwise(F.lit("")), "UTF-8").alias("reader"),
+        F.when((number + attempt) % 5 == 1, "no answer").alias("error"),
+        F.when(no_text, F.concat(F.lit(b"\xff\xfe"), sent)).otherwise(sent).alias("raw"),
+        F.encode(F.when(number % 2 == 0, F.col("_reader")).otherwise(F.lit("")), "UTF-8").alias("reader"),
     )
 
 
+_FETCHED = [*_PLAN, "gated_pages", "gated_readers", "attempts_made", "results"]
+
+
 @query(
     with_tables(
         _PLAN,
@@ -130,7 +165,7 @@ def index_plan(spark, folder):
 
 @query(
     with_tables(
-        [*_PLAN, "results"],
+        _FETCHED,
         "SELECT view, stage_rank, error IS NULL AS fetched, count(*) AS n_locations FROM results "
         "GROUP BY ALL",
     )
@@ -138,7 +173,7 @@ def index_plan(spark, folder):
 def plan_results(spark, folder):
     """JOIN-8: planned locations with what was fetched for them."""
     plan = _plan(spark, folder)[1]
-    results = _results(plan)
+    results = _results(spark, folder, plan)
     joined = plan.join(results, ["dataset", "doc_id", "location"], "left")
     return joined.groupBy("view", "stage_rank", F.col("error").isNull().alias("fetched")).agg(
         F.count(F.lit(1)).alias("n_locations")
@@ -147,7 +182,7 @@ def plan_results(spark, folder):
 
 @query(
     with_tables(
-        [*_PLAN, "results", "tried", "stage_first", "chosen"],
+        [*_FETCHED, "tried", "stage_first", "chosen"],
         """
 SELECT w.dataset, w.doc_id, c.stage_rank, c.location,
        CASE WHEN c.location IS NOT NULL THEN 'RETRIEVED' WHEN e.doc_id IS NOT NULL
@@ -162,14 +197,14 @@ LEFT JOIN index_errors e ON e.dataset = w.dataset AND e.doc_id = w.doc_id""",
 def retrieval_outcome(spark, folder):
     """PLN-6, WIN-1, QA-8, QA-9, QA-10, FLT-9, FLT-11, SNK-2, SNK-3: what is kept."""
     work, plan = _plan(spark, folder)
-    chosen = retrieval.choose_content(plan, _results(plan))
+    chosen = retrieval.choose(plan, _results(spark, folder, plan))
     kept = retrieval.outcomes(work, chosen, _index_errors(work))
     return kept.select("dataset", "doc_id", "stage_rank", "location", "state", "content_kind")
 
 
 @query(
     with_tables(
-        [*_PLAN, "results", "tried", "stage_first", "chosen"],
+        [*_FETCHED, "tried", "stage_first", "chosen"],
         """
 SELECT w.dataset, count(*) AS n_docs,
        count(*) FILTER (WHERE c.stage_rank = 0) AS n_gated,
@@ -183,7 +218,7 @@ GROUP BY w.dataset""",
 def retrieval_report(spark, folder):
     """PLN-2, AGG-1: where the content of each dataset came from."""
     work, plan = _plan(spark, folder)
-    chosen = retrieval.choose_content(plan, _results(plan))
+    chosen = retrieval.choose(plan, _results(spark, folder, plan))
     kept = retrieval.outcomes(work, chosen, _index_errors(work))
     stage = F.col("stage_rank")
     return kept.groupBy("dataset").agg(
@@ -193,3 +228,64 @@ def retrieval_report(spark, folder):
         F.count_if(stage == 2).alias("n_live"),
         F.count_if(stage.isNull()).alias("n_without"),
     )
+
+
+def _with_retries() -> str:
+    names = [{"attempts_made": "more_attempts"}.get(name, name) for name in _FETCHED]
+    sql = with_tables(
+        [*names, "tried", "stage_first", "chosen"],
+        "SELECT dataset, doc_id, stage_rank, location, attempt, raw_ok, reader_ok FROM chosen",
+    )
+    return sql.replace("attempts_made", "more_attempts")
+
+
+@query(_with_retries())
+def retrieval_retries(spark, folder):
+    """WIN-5, PLN-6: of three tries of each location the first that passes the gate."""
+    plan = _plan(spark, folder)[1]
+    return retrieval.choose(plan, _results(spark, folder, plan, attempts=3)).select(
+        "dataset", "doc_id", "stage_rank", "location", "attempt", "raw_ok", "reader_ok"
+    )
+
+
+@query(
+    with_tables(
+        [*_FETCHED, "tried", "stage_first", "chosen"],
+        f"""
+SELECT w.dataset, w.doc_id,
+       CASE WHEN c.location IS NOT NULL THEN 'RETRIEVED' WHEN e.doc_id IS NOT NULL
+            THEN 'INDEX_ERROR' ELSE 'FAILED' END AS state,
+       CASE WHEN c.location IS NULL THEN NULL WHEN c.view = 'PDF' THEN 'PDF'
+            WHEN c.raw_ok AND c.reader_ok THEN 'BOTH' WHEN c.raw_ok THEN 'RAW'
+            ELSE 'READER' END AS content_kind,
+       CASE WHEN c.location IS NULL THEN NULL WHEN NOT c.raw_ok THEN 0
+            ELSE octet_length(encode(CASE WHEN marked THEN {_MARKED} ELSE html END))
+                 + CASE WHEN c.view = 'PDF' AND n % 2 = 0 THEN 2 ELSE 0 END END AS raw_bytes,
+       c.reader_ok AS has_reader
+FROM work w LEFT JOIN chosen c ON c.dataset = w.dataset AND c.doc_id = w.doc_id
+LEFT JOIN index_errors e ON e.dataset = w.dataset AND e.doc_id = w.doc_id
+LEFT JOIN pages p ON p.page_id = w.doc_id""",
+    )
+)
+def retrieval_job(spark, folder):
+    """SNK-2, SNK-3, PLN-2, FLT-1: two batches of work, one of them run again, written and read
+    back: states and payloads of all documents."""
+    work, plan = _plan(spark, folder)
+    results = _results(spark, folder, plan)
+    store = BatchStore(spark, f"{shared_folder(spark).rstrip('/')}/retrieval-{uuid.uuid4().hex}")
+    moment = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    for batch, part in (("a", 0), ("b", 1), ("a", 0)):
+        todo = job.open_work(work, store).where(F.col("doc_id") % 2 == part)
+        planned = plan.join(todo.select("dataset", "doc_id"), ["dataset", "doc_id"], "left_semi")
+        job.run_batch(
+            store, batch, todo, planned, results, moment, F.col("doc_id"), _index_errors(work)
+        )
+    payload = job.payloads(store)
+    return job.states(store).join(payload, ["dataset", "doc_id"], "left").select(
+        "dataset",
+        "doc_id",
+        "state",
+        "content_kind",
+        F.octet_length("raw").cast("bigint").alias("raw_bytes"),
+        (F.octet_length("reader") > 0).alias("has_reader"),
+    )

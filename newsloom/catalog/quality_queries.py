@@ -79,12 +79,13 @@ _READER_BAD = (
 )
 
 
-@query(
-    f"SELECT CAST(doc_id AS INTEGER) AS doc_id, {_READER_BAD} OR ("
-    f"doc_id % 7 <> 0 AND (regexp_matches({sp.quality_body('text')}, "
-    f"{sp.quoted(sp.BODY_ERROR)}, 'i') OR contains(text, 'Sed ut perspiciatis'))) AS rejected "
-    "FROM documents"
+READER_REJECTED = (
+    f"({_READER_BAD} OR (doc_id % 7 <> 0 AND (regexp_matches({sp.quality_body('text')}, "
+    f"{sp.quoted(sp.BODY_ERROR)}, 'i') OR contains(text, 'Sed ut perspiciatis'))))"
 )
+
+
+@query(f"SELECT CAST(doc_id AS INTEGER) AS doc_id, {READER_REJECTED} AS rejected FROM documents")
 def reader_quality(spark, folder):
     """QA-3, QA-5, QA-7: simplified pages, read by the one-pass function."""
     pages = tb.reader_pages(spark, folder)

@@ -151,47 +151,56 @@ def fetch_plan(
     return direct.unionByName(archive_plan(marked, captures, allowed))
 
 
-def decode_views(results: DataFrame, is_file: Column) -> DataFrame:
-    """Add ``raw_text`` and ``reader_text``: empty for files and for bytes that are no text."""
+def judged(results: DataFrame, compatible: bool = False) -> DataFrame:
+    """What the gate says about each fetch, without its bytes: one thin row per result that came
+    without an error (key, location, attempt, raw_ok, reader_ok, file_ok).
 
-    def text(name: str) -> Column:
-        return F.coalesce(F.when(~is_file, tx.decode_utf8(F.col(name))), F.lit(""))
-
-    return results.withColumns({"raw_text": text("raw"), "reader_text": text("reader")})
-
-
-def choose_content(plan: DataFrame, results: DataFrame, compatible: bool = False) -> DataFrame:
-    """The content to keep per document: ``stage_rank, location, view, raw, reader``.
-
-    ``results`` has one row per fetch (``location, http_status, error, raw, reader``, and
-    ``attempt`` where a location was tried again).  Of the fetches of one location the first
-    that passes the gate counts, so that a good second try is not lost to a bad first one.
-    A policy or live location counts in the first variant fetched without an error, and
-    only if the gate leaves something of it; of the archived copies the first that passes
-    the gate counts.  A single aggregate, reduced on the map side, decides per document.
-    """
+    Pages are judged where they are read; no blob leaves the scan."""
     attempt = F.col("attempt") if "attempt" in results.columns else F.lit(1)
     fetched = results.where(F.col("error").isNull()).select(
-        *KEY, "location", "http_status", "raw", "reader", attempt.alias("attempt")
+        *KEY, "location", "http_status", "raw", "reader", attempt.cast("int").alias("attempt")
     )
-    found = plan.join(fetched, [*KEY, "location"])
-
-    is_file = F.col("view") == fv.PDF
-    nothing = F.lit(b"").cast("binary")
-    decoded = decode_views(found, is_file).withColumn(
-        "reader_text", F.when(F.col("view") == fv.RAW, F.lit("")).otherwise(F.col("reader_text"))
+    nothing = F.lit("")
+    decoded = fetched.withColumns(
+        {
+            "raw_text": F.coalesce(tx.decode_utf8(F.col("raw")), nothing),
+            "reader_text": F.coalesce(tx.decode_utf8(F.col("reader")), nothing),
+        }
     )
     gated = gate_views(decoded, "raw_text", "reader_text", compatible)
-    file_bytes = F.when(F.col("http_status") == 200, sanitize_pdf(F.col("raw"), compatible))
-    tried = gated.select(
-        *PLAN_COLUMNS,
+    is_file = urls.is_pdf(F.col("location")) & (F.col("http_status") == 200)
+    file_ok = is_file & ~tx.is_empty_payload(sanitize_pdf(F.col("raw"), compatible))
+    return gated.select(
+        *KEY,
+        "location",
         "attempt",
-        F.when(is_file, F.coalesce(file_bytes, nothing))
-        .otherwise(tx.encode_utf8(F.col("raw_text")))
-        .alias("raw"),
-        tx.encode_utf8(F.col("reader_text")).alias("reader"),
-    ).withColumn("accepted", ~tx.both_empty(F.col("raw"), F.col("reader")))
-    content = [F.col(c) for c in ("location", "view", "accepted", "raw", "reader")]
+        (F.col("raw_text") != "").alias("raw_ok"),
+        (F.col("reader_text") != "").alias("reader_ok"),
+        F.coalesce(file_ok, F.lit(False)).alias("file_ok"),
+    )
+
+
+def choose(plan: DataFrame, results: DataFrame, compatible: bool = False) -> DataFrame:
+    """The fetch to keep per document, as a thin row: ``stage_rank, location, view, attempt,
+    raw_ok, reader_ok`` (which of its views passed the gate).
+
+    ``results`` has one row per fetch (``location, http_status, error, raw, reader``, and
+    ``attempt`` where a location was tried again); document, location and attempt identify it.
+    Of the fetches of one location the first that passes the gate counts, so that a good second
+    try is not lost to a bad first one. A policy or live location counts in the first variant
+    fetched without an error, and only if the gate leaves something of it; of the archived
+    copies the first that passes the gate counts. Only thin rows are joined, and a single
+    aggregate over them, reduced on the map side, decides per document.
+    """
+    found = plan.select(*PLAN_COLUMNS).join(judged(results, compatible), [*KEY, "location"])
+    view = F.col("view")
+    tried = found.withColumns(
+        {
+            "raw_ok": F.when(view == fv.PDF, F.col("file_ok")).otherwise(F.col("raw_ok")),
+            "reader_ok": (view == fv.BOTH) & F.col("reader_ok"),
+        }
+    ).withColumn("accepted", F.col("raw_ok") | F.col("reader_ok"))
+    content = [F.col(c) for c in ("location", "view", "accepted", "raw_ok", "reader_ok")]
     order = [(~F.col("accepted")).alias("rejected"), F.col("attempt")]
     by_variant = F.struct("variant_no", *order, *content)
     by_capture = F.struct("statuscode", "timestamp", *order, *content)
@@ -211,7 +220,8 @@ def choose_content(plan: DataFrame, results: DataFrame, compatible: bool = False
 
     def kept(name: str, stage: int) -> Column:
         column = F.col(name)
-        fields = [column[c].alias(c) for c in ("location", "view", "raw", "reader")]
+        names = ("location", "view", "attempt", "raw_ok", "reader_ok")
+        fields = [column[c].alias(c) for c in names]
         return F.when(column["accepted"], F.struct(F.lit(stage).alias("stage_rank"), *fields))
 
     chosen = F.coalesce(
@@ -222,9 +232,51 @@ def choose_content(plan: DataFrame, results: DataFrame, compatible: bool = False
     )
 
 
+def with_content(chosen: DataFrame, results: DataFrame) -> DataFrame:
+    """The chosen fetches with their bytes, ``raw`` and ``reader``; a view that did not pass the
+    gate is empty.
+
+    One hash join on the document, in which the thin side is the table and the blobs stream by:
+    where ``results`` is stored in buckets of the document (``sources.fetches``), they are neither
+    moved nor sorted. Location and attempt are compared in ranges, as equalities would become keys
+    of the join and ask for other buckets.
+    """
+    attempt = F.col("attempt") if "attempt" in results.columns else F.lit(1)
+    blobs = results.where(F.col("error").isNull()).select(
+        *KEY,
+        F.col("location").alias("_location"),
+        attempt.cast("int").alias("_attempt"),
+        F.col("raw").alias("_raw"),
+        F.col("reader").alias("_reader"),
+    )
+    same = (
+        (F.col("location") <= F.col("_location"))
+        & (F.col("location") >= F.col("_location"))
+        & (F.col("attempt") <= F.col("_attempt"))
+        & (F.col("attempt") >= F.col("_attempt"))
+    )
+    nothing = F.lit(b"").cast("binary")
+    joined = blobs.join(chosen.hint("shuffle_hash"), KEY).where(same)
+    return joined.select(
+        *chosen.columns,
+        F.when(F.col("raw_ok"), F.col("_raw")).otherwise(nothing).alias("raw"),
+        F.when(F.col("reader_ok"), F.col("_reader")).otherwise(nothing).alias("reader"),
+    )
+
+
+def choose_content(plan: DataFrame, results: DataFrame, compatible: bool = False) -> DataFrame:
+    """The content to keep per document: ``stage_rank, location, view, raw, reader`` and more;
+    see ``choose`` and ``with_content``."""
+    return with_content(choose(plan, results, compatible), results)
+
+
 def content_kind(url: Column, raw: Column, reader: Column) -> Column:
     """PDF, BOTH, RAW, READER or NONE, by what a document has."""
-    has_raw, has_reader = ~tx.is_empty_payload(raw), ~tx.is_empty_payload(reader)
+    return kind_of(url, ~tx.is_empty_payload(raw), ~tx.is_empty_payload(reader))
+
+
+def kind_of(url: Column, has_raw: Column, has_reader: Column) -> Column:
+    """``content_kind`` of a document of which it is known what it has."""
     return (
         F.when(urls.is_pdf(url) & has_raw, fv.PDF)
         .when(urls.is_pdf(url), fv.NONE)
@@ -236,9 +288,13 @@ def content_kind(url: Column, raw: Column, reader: Column) -> Column:
 
 
 def outcomes(
-    work: DataFrame, chosen: DataFrame, index_errors: DataFrame | None = None
+    work: DataFrame,
+    chosen: DataFrame,
+    index_errors: DataFrame | None = None,
+    thin: bool = False,
 ) -> DataFrame:
-    """One row per work item with its new state and payload.
+    """One row per work item with its new state, and its payload if ``chosen`` has contents;
+    ``thin`` rows tell instead what ``with_content`` needs to fetch it.
 
     Nothing usable means FAILED with empty payloads, or INDEX_ERROR, which may be tried
     again, where the index query had failed.
@@ -252,20 +308,20 @@ def outcomes(
         .otherwise(fv.FAILED)
     )
     nothing = F.lit(b"").cast("binary")
-    filled = failed.withColumns(
-        {
-            "raw": F.coalesce("raw", nothing),
-            "reader": F.coalesce("reader", nothing),
-            "state": state,
-        }
+    views = [name for name in ("raw", "reader") if name in chosen.columns]
+    pointers = ["attempt", "raw_ok", "reader_ok"] if thin else []
+    kind = kind_of(
+        F.col("url"),
+        F.coalesce("raw_ok", F.lit(False)),
+        F.coalesce("reader_ok", F.lit(False)),
     )
-    return filled.select(
+    return failed.select(
         *KEY,
         "url",
-        "state",
+        state.alias("state"),
         "stage_rank",
         "location",
-        content_kind(F.col("url"), F.col("raw"), F.col("reader")).alias("content_kind"),
-        "raw",
-        "reader",
+        kind.alias("content_kind"),
+        *(F.coalesce(name, nothing).alias(name) for name in views),
+        *pointers,
     )
