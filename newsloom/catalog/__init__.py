@@ -3,6 +3,7 @@
 from newsloom.catalog import (  # noqa: F401
     article_queries,
     capture_queries,
+    extraction_queries,
     plan_queries,
     quality_queries,
     state_queries,

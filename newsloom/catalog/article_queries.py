@@ -100,7 +100,7 @@ CTES["raw_article"] = f"""
          CASE WHEN doc_id % 2 = 0 THEN ['Ada Vale', 'Ben de Ruy', 'Cleo Min'] END AS authors,
          {_language('body')} AS language,
          CASE WHEN doc_id % 2 = 0 THEN '/top/' || doc_id || '.jpg' END AS top_image_url,
-         CASE WHEN doc_id % 3 = 0 THEN ['https://www.youtube.com/embed/' || doc_id] END AS media_urls
+         CASE WHEN doc_id % 3 = 0 THEN ['https://www.youtube.com/embed/' || doc_id, '/local'] END AS media_urls
   FROM raw_text"""
 _FLAT = (
     "dataset, doc_id, title, body, publish_date, array_to_string(authors, '/') AS authors, "

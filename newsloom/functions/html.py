@@ -19,13 +19,16 @@ from newsloom.functions.arrays import let
 TITLES = r"(?is)<title[^>]*>(.*?)</title>"
 BODIES = r"(?is)<body[^>]*>(.*?)</body>"
 HEADING = r"(?is)<h1[^>]*>(.*?)</h1>"
-META = r"(?is)<meta\s[^>]*>"
-IMAGE = r"(?is)<img\s[^>]*>"
-MEDIA = r"(?is)<(?:iframe|embed|video|source)\s[^>]*>"
-TIME = r"(?is)<time\s[^>]*>"
+# Rest of a tag: quoted values may hold ">"; a tag with an odd quote ends at the first ">".
+TAG_REST = r"(?:[^>\"']*+(?:(?:\"[^\"<]*+\"|'[^'<]*+')[^>\"']*+)*+>|[^>]*>)"
+META = r"(?is)<meta\s" + TAG_REST
+IMAGE = r"(?is)<img\s" + TAG_REST
+MEDIA = r"(?is)<(?:iframe|embed|video|source)\s" + TAG_REST
+TIME = r"(?is)<time\s" + TAG_REST
 ARTICLE = r"(?is)<article[^>]*>(.*)</article>"
 # An attribute's value ends at the quote sign that opened it; without one, at a blank.
-VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+VALUE = r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+NAME = r"(?i)\s(?:name|property|itemprop)\s*=\s*[\"']?([^\"'\s/>]+)"
 CONTENT = r"(?is)\scontent" + VALUE
 SOURCE = r"(?is)\ssrc" + VALUE
 DATETIME = r"(?is)\sdatetime" + VALUE
@@ -39,7 +42,7 @@ FURNITURE = (
     r"|<aside\b.*?</aside\s*>|<figure\b.*?</figure\s*>|<form\b.*?</form\s*>"
 )
 BEFORE_FIRST_PARAGRAPH = r"(?is)^.*?<p(?:\s[^>]*)?>"
-ELSEWHERE = r"(?i)^(?:[a-z][a-z0-9+.\-]*:)?//"
+NO_ADDRESS = r"(?i)^\s*(?:about|javascript|data|blob):|^\s*#"
 ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 # --------------------------------------------------------------------------------------
 
@@ -104,27 +107,42 @@ def heading(html: Column) -> Column:
     return visible_text(F.regexp_extract(html, HEADING, 1))
 
 
-def meta_tags(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(META), F.lit(0))
+def raw_attribute(tag: Column, pattern: str) -> Column:
+    """Value of an attribute as it is written, without its quotes; empty if the tag has none."""
+    value = F.regexp_extract(tag, pattern, 1)
+    quoted = value.startswith('"') | value.startswith("'")
+    return F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
 def attribute(tag: Column, pattern: str) -> Column:
     """Decoded value of an attribute; empty if the tag has none."""
-    value = F.concat(*(F.regexp_extract(tag, pattern, group) for group in (1, 2, 3)))
-    return decode_entities(value)
+    return decode_entities(raw_attribute(tag, pattern))
+
+
+def meta_tags(html: Column) -> Column:
+    """All meta tags as (names, content), names in lower case, contents as they are written."""
+    return F.transform(
+        F.regexp_extract_all(html, F.lit(META), F.lit(0)),
+        lambda tag: F.struct(
+            F.regexp_extract_all(F.lower(tag), F.lit(NAME), F.lit(1)).alias("names"),
+            raw_attribute(tag, CONTENT).alias("content"),
+        ),
+    )
+
+
+def _named(tags: Column, names: tuple[str, ...]) -> Column:
+    wanted = F.array(*(F.lit(name.lower()) for name in names))
+    return F.filter(tags, lambda tag: (tag["content"] != "") & F.arrays_overlap(tag["names"], wanted))
 
 
 def meta_contents(tags: Column, *names: str) -> Column:
     """Contents of all meta tags that have one of the names, in page order, empty ones not."""
-    wanted = r"(?i)\s(?:name|property|itemprop)\s*=\s*[\"']?(?:" + "|".join(names) + r")[\"']?[\s/>]"
-    named = F.filter(tags, lambda tag: tag.rlike(wanted))
-    contents = F.transform(named, lambda tag: attribute(tag, CONTENT))
-    return F.filter(contents, lambda content: content != "")
+    return F.transform(_named(tags, names), lambda tag: decode_entities(tag["content"]))
 
 
 def meta_content(tags: Column, *names: str) -> Column:
     """Content of the first meta tag that has one of the names; NULL if none has."""
-    return F.try_element_at(meta_contents(tags, *names), F.lit(1))
+    return decode_entities(F.try_element_at(_named(tags, names), F.lit(1))["content"])
 
 
 def attribute_values(html: Column, element: str, pattern: str) -> Column:
@@ -139,10 +157,18 @@ def images(html: Column) -> Column:
     return attribute_values(html, IMAGE, SOURCE)
 
 
+def first_image(html: Column) -> Column:
+    """Source of the first image that has one; NULL if none has. Only that one is decoded."""
+    sources = F.transform(
+        F.regexp_extract_all(html, F.lit(IMAGE), F.lit(0)), lambda tag: raw_attribute(tag, SOURCE)
+    )
+    return decode_entities(F.try_element_at(F.filter(sources, lambda source: source != ""), F.lit(1)))
+
+
 def media(html: Column) -> Column:
-    """Sources of embedded players and videos that lead to another address."""
+    """Sources of embedded players and videos, of the page's own host too."""
     sources = attribute_values(html, MEDIA, SOURCE)
-    return F.array_distinct(F.filter(sources, lambda source: source.rlike(ELSEWHERE)))
+    return F.array_distinct(F.filter(sources, lambda source: ~source.rlike(NO_ADDRESS)))
 
 
 def without_furniture(html: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions import blocks, structured
 from newsloom.functions import html as page
 from newsloom.functions import text as tx
 from newsloom.functions.arrays import first_item, null_if_blank, null_if_no_items
@@ -42,27 +43,42 @@ def url_date(url: Column) -> Column:
     return F.when(url.rlike(URL_DATE), F.concat_ws("-", *parts))
 
 
-def raw_dates(html: Column, tags: Column, url: Column) -> Column:
-    """Texts of the publish date: meta tags, then ``<time datetime>``, then the URL."""
-    times = page.attribute_values(html, page.TIME, page.DATETIME)
-    found = F.concat(page.meta_contents(tags, *DATE_NAMES), times, F.array(url_date(url)))
+def raw_dates(html: Column, tags: Column, url: Column, item: Column) -> Column:
+    """Texts of the publish date: meta tags, then JSON-LD, then ``<time datetime>``, then the URL."""
+    times = F.when(
+        html.contains("<time") | html.contains("<TIME"),
+        page.attribute_values(html, page.TIME, page.DATETIME),
+    )
+    none = F.array().cast("array<string>")
+    parts = [page.meta_contents(tags, *DATE_NAMES), item["published"], times, F.array(url_date(url))]
+    found = F.concat(*(F.coalesce(part, none) for part in parts))
     return F.filter(found, lambda text: text.isNotNull())
 
 
 def first_date(texts: Column, as_of: Column | None) -> Column:
-    """The first of the texts that can be read as a date."""
-    read = F.transform(texts, lambda text: parse_date(text, as_of))
-    return F.try_element_at(F.filter(read, lambda moment: moment.isNotNull()), F.lit(1))
+    """The first of the texts that can be read as a date; most pages have a first one that can."""
+    first = parse_date(F.try_element_at(texts, F.lit(1)), as_of)
+    later = F.transform(F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0))), lambda text: parse_date(text, as_of))
+    later = F.try_element_at(F.filter(later, lambda moment: moment.isNotNull()), F.lit(1))
+    return F.coalesce(first, F.when(F.size(texts) > 1, later))
+
+
+def raw_byline(tags: Column, item: Column | None = None) -> Column:
+    """All author tags of a page, else the authors of its JSON-LD, as one byline."""
+    tagged = F.nullif(F.array_join(page.meta_contents(tags, *AUTHOR_NAMES), "; "), F.lit(""))
+    if item is None:
+        return tagged
+    return F.coalesce(tagged, F.nullif(F.array_join(item["authors"], "; "), F.lit("")))
 
 
-def raw_byline(tags: Column) -> Column:
-    """All author tags of a page as one byline."""
-    return F.nullif(F.array_join(page.meta_contents(tags, *AUTHOR_NAMES), "; "), F.lit(""))
+def raw_image(html: Column, tags: Column, item: Column) -> Column:
+    """``og:image``, else the image of the JSON-LD, else the first image of the page."""
+    return F.coalesce(page.meta_content(tags, "og:image"), item["image"], page.first_image(html))
 
 
-def raw_image(html: Column, tags: Column) -> Column:
-    """``og:image``, else the first image of the page."""
-    return F.coalesce(page.meta_content(tags, "og:image"), first_item(page.images(html)))
+def raw_body(clean: Column, region: Column) -> Column:
+    """Text of the best run of blocks; a page without one gives the text of its region."""
+    return F.coalesce(page.decode_entities(blocks.main_text(clean)), page.region_text(region))
 
 
 def unreadable_date(text: Column, parsed: Column) -> Column:
@@ -98,21 +114,22 @@ def with_raw_article(
             {
                 "_tags": page.meta_tags(F.col("_html")),
                 "_clean": page.without_furniture(F.col("_html")),
+                "_item": structured.fields(F.col("_html")),
             }
         )
         .withColumns(
             {
                 "_region": page.article_region(F.col("_clean")),
                 "_title": tx.tidy_title(raw_title(F.col("_html"), F.col("_tags"))),
-                "_dates": raw_dates(F.col("_html"), F.col("_tags"), F.col(url)),
-                "_byline": raw_byline(F.col("_tags")),
-                "_image": raw_image(F.col("_html"), F.col("_tags")),
+                "_dates": raw_dates(F.col("_html"), F.col("_tags"), F.col(url), F.col("_item")),
+                "_byline": raw_byline(F.col("_tags"), F.col("_item")),
+                "_image": raw_image(F.col("_html"), F.col("_tags"), F.col("_item")),
                 "_media": page.media(F.col("_html")),
             }
         )
         .withColumns(
             {
-                "_body": tx.tidy_body(page.region_text(F.col("_region"))),
+                "_body": tx.tidy_body(raw_body(F.col("_clean"), F.col("_region"))),
                 "_date": first_date(F.col("_dates"), as_of),
             }
         )
@@ -137,7 +154,7 @@ def with_raw_article(
             unreadable_date(F.try_element_at("_dates", F.lit(1)), F.col("_date")),
         )
         .drop(
-            "_html", "_tags", "_clean", "_region", "_title", "_body", "_dates", "_byline",
+            "_html", "_tags", "_clean", "_item", "_region", "_title", "_body", "_dates", "_byline",
             "_image", "_media", "_date",
         )
     )

@@ -240,7 +240,7 @@ def test_meta_and_media(values):
     assert values(lambda h: page.meta_content(page.meta_tags(h), "og:title"), "STRING", [html]) == ["T"]
     assert values(lambda h: page.meta_content(page.meta_tags(h), "author"), "STRING", [html]) == ["Ada"]
     assert values(lambda h: page.meta_content(page.meta_tags(h), "none"), "STRING", [html]) == [None]
-    assert values(page.media, "STRING", [html]) == [["https://www.youtube.com/embed/1"]]
+    assert values(page.media, "STRING", [html]) == [["https://www.youtube.com/embed/1", "/x"]]
     assert values(page.images, "STRING", [html]) == [["/a.png", "/b.png"]]
 
 
