@@ -6,8 +6,10 @@ of its own."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,37 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def give_back() -> None:
+    """Return what Arrow and the C library hold but do not use to the system: a worker waits for
+    its next task with the memory of its program alone."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function over Arrow batches that gives memory back after every batch and at its end."""
+
+    @wraps(run)
+    def wrapped(batches: Batches) -> Batches:
+        def each() -> Batches:
+            for batch in batches:
+                yield batch
+                give_back()
+
+        try:
+            yield from run(each())
+        finally:
+            give_back()
+
+    return wrapped
+
+
 _powers = {}
 
 

@@ -24,8 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.arrays import frugal
 from newsloom.llm.tables import stored
-from newsloom.llm.tokens import END_OF_TEXT, Encoder, each_text
+from newsloom.llm.tokens import END_OF_TEXT, Encoder
 
 SIZE = 2048
 OPEN = 256
@@ -99,8 +100,8 @@ def _packed_by_task(
 
         for batch in batches:
             keys = batch.column("doc_id").cast(pa.int64()).to_pylist()
-            for key, text in zip(keys, each_text(batch.column("text")), strict=True):
-                ids = np.append(encoder.ids(text), np.uint32(END_OF_TEXT)).astype("<u4")
+            for key, ids in zip(keys, encoder.each(batch.column("text")), strict=True):
+                ids = np.append(ids, np.uint32(END_OF_TEXT)).astype("<u4")
                 for number, start in enumerate(range(0, len(ids), size)):
                     part = ids[start : start + size]
                     row = [key, number, start, len(part), zlib.crc32(part.tobytes())]
@@ -122,7 +123,7 @@ def _packed_by_task(
             yield out(rows)
 
     return documents.select("doc_id", "text").mapInArrow(
-        run,
+        frugal(run),
         "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, "
         "offset bigint, open boolean" + (", ids array<int>" if with_ids else ""),
     )

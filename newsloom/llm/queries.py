@@ -45,14 +45,11 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents")
     version = "word_bpe_49k"
     rollup = token_counts.Rollup(spark, new_folder(spark, "rollup"))
-    estimate = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).cast("bigint")
-    estimated = documents.select("doc_id", "source", "lang", estimate.alias("tokens"))
-    rollup.apply("load", token_counts.changes(estimated, "insert", version))
+    rollup.apply("load", token_counts.changes(token_counts.estimated(documents), "insert", version))
     exact = token_counts.counted(documents, tokens.default_path())
     for _ in range(2):
         rollup.apply("count", token_counts.changes(exact, "revise", version))
-    copies = token_counts.later_copies(documents)
-    rollup.apply("copies", token_counts.changes(copies, "delete", version))
+    rollup.apply("copies", token_counts.later_copies(documents, version))
     return rollup.totals()
 
 

@@ -69,3 +69,31 @@ def without(table: DataFrame, key: str, gone: DataFrame) -> DataFrame:
         gone.select(F.col(key).alias("_key")), "_key", "left_anti"
     )
     return met.select("row.*").union(clean.select("row.*"))
+
+
+def keyed(table: DataFrame) -> DataFrame:
+    """(row, _key): every row with a 64-bit key of its own; rows equal in id and text share it.
+
+    An id that occurs once is the key itself. Rows without an id, and all in a hash bucket with an
+    id that occurs more than once, have a negative hash of id and text instead."""
+    ids = table.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).count()
+    repeated = ids.where("count > 1").select(bucket_of(F.col("_id")).alias("_bucket")).distinct()
+    repeated = stored(repeated, "repeated-ids").withColumn("_hashed", F.lit(True))
+    hashed = F.xxhash64("row.doc_id", "row.text").bitwiseOR(F.lit(-(1 << 63)))
+    known = F.col("row.doc_id").isNotNull() & F.col("_hashed").isNull()
+    return (
+        table.select(F.struct("*").alias("row"), bucket_of(F.col("doc_id")).alias("_bucket"))
+        .join(F.broadcast(repeated), "_bucket", "left")
+        .select("row", F.when(known, F.col("row.doc_id").cast("bigint")).otherwise(hashed).alias("_key"))
+    )
+
+
+def one_row_each(rows: DataFrame) -> DataFrame:
+    """One of the rows (row, _key) of each key; only keys that occur twice move their rows."""
+    counts = rows.groupBy("_key").count().where("count > 1").select("_key")
+    twice = stored(counts, "equal-rows")
+    buckets = twice.select(bucket_of(F.col("_key")).alias("_bucket")).distinct()
+    met = rows.withColumn("_bucket", bucket_of(F.col("_key")))
+    alone = met.join(F.broadcast(buckets), "_bucket", "left_anti").select("row", "_key")
+    equal = met.join(F.broadcast(buckets), "_bucket", "left_semi").select("row", "_key")
+    return alone.union(equal.dropDuplicates(["_key"]))

@@ -10,9 +10,7 @@ from newsloom.llm.tokens import Encoder, default_path
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    out = Tokenizer.from_file(default_path())
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(default_path())
 
 
 def ids_of(tokenizer, text):
@@ -21,6 +19,8 @@ def ids_of(tokenizer, text):
 
 @pytest.mark.parametrize("text", [
     "It's we'll THE'RE o'clock 'stuff", "a1b22 c_d__!! <|endoftext|>", "Straße ÉÈ ſ İ ß½²", "é é",
+    "a <|endoftext|> b", "x<|STARTOFTEXT|>y <|startoftext|>", "''s 'still 're're 'r' ''ll a's1 'd", "'s", "'",
+    "Ⱥ Ɓ K Å ﬁ", "l'été d'où ÀÉ_ª º µ ×÷ … – “q”",
     "日本語 текст", "\x1c\x85 \xa0x", "Σας ΣΑΣ", "",
 ])
 def test_encoder_equals_tokenizer(tokenizer, text):
@@ -30,6 +30,25 @@ def test_encoder_equals_tokenizer(tokenizer, text):
     assert encoder.count(text) == len(want)
 
 
+def test_texts_do_not_meet(tokenizer, texts, monkeypatch):
+    """Many texts in one piece, and a piece per text, give what the tokenizer gives for each."""
+    import pyarrow as pa
+
+    odd = ["it'", "s", "<|endo", "ftext|>", None, "", "1", "2", "日本", "a", "İ", "don't"]
+    for size in (1 << 17, 1):
+        monkeypatch.setattr("newsloom.llm.tokens.PIECE", size)
+        found = list(Encoder(default_path()).each(pa.array(odd + texts)))
+        want = [ids_of(tokenizer, text)[:-1].tolist() for text in odd + texts]
+        assert [ids.tolist() for ids in found] == want
+
+
+def test_every_character_of_the_table(tokenizer):
+    encoder = Encoder(default_path())
+    for code in range(0x300):
+        text = f"ab{chr(code)}c {chr(code)}'s{chr(code)}1"
+        assert encoder.ids(text).tolist() == ids_of(tokenizer, text)[:-1].tolist(), code
+
+
 def test_cache_is_bounded(tokenizer, monkeypatch):
     monkeypatch.setattr("newsloom.llm.tokens.CACHED_WORDS", 3)
     encoder = Encoder(default_path())
