@@ -17,8 +17,9 @@ Short lines. With ``short``, a line of fewer than SHINGLE words has one token, i
 sequence; it is similar to the lines of equal words alone, so it needs its class, no join.
 
 Defined cases: without ``short``, lines of fewer than SHINGLE words stay; lines without words and
-line ends always do; a null text stays null; rows equal in id and text are one document, and each gets its result; null
-ids come first; other columns are carried along, whatever their names.
+line ends always do; a null text stays null; rows equal in id and text are one document, and each
+gets its result; null ids come first; a document travels as one value, so no name of its columns
+can clash.
 """
 
 from __future__ import annotations
@@ -245,20 +246,18 @@ def repeated_lines(
 
 
 def remove_lines(documents: DataFrame, percent: int = PERCENT, short: bool = False) -> DataFrame:
-    """The documents, all columns, with two more: ``kept_text`` without the superfluous lines, and
+    """The documents as ``document``, with ``kept_text`` without the superfluous lines, and
     ``removed_lines``, their numbers in order (an empty array where nothing goes)."""
     gone = stored(repeated_lines(documents, percent, short), "gone-lines")
     by_text = gone.groupBy(KEY).agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
     buckets = gone.select(bucket_of(F.col(KEY)).alias("_bucket")).distinct()
-    # The row travels as one value, so that no name of its columns can clash.
-    whole = documents.drop("kept_text", "removed_lines")
     key = F.xxhash64("doc_id", "text")
-    keyed = whole.select(
-        F.struct("*").alias("row"), key.alias(KEY), bucket_of(key).alias("_bucket")
+    keyed = documents.select(
+        F.struct("*").alias("document"), key.alias(KEY), bucket_of(key).alias("_bucket")
     )
     kept = F.array_join(
         F.filter(
-            F.split("row.text", "\n"),
+            F.split("document.text", "\n"),
             lambda line, i: ~F.array_contains(F.col("removed_lines"), i),
         ),
         "\n",
@@ -266,21 +265,22 @@ def remove_lines(documents: DataFrame, percent: int = PERCENT, short: bool = Fal
     none = F.array().cast("array<int>")
     touched = keyed.join(F.broadcast(buckets), "_bucket", "left_semi").join(by_text, KEY, "left")
     touched = touched.select(
-        "row.*",
-        F.when(F.col("removed_lines").isNull(), F.col("row.text")).otherwise(kept).alias("kept_text"),
+        "document",
+        F.when(F.col("removed_lines").isNull(), F.col("document.text")).otherwise(kept).alias("kept_text"),
         F.coalesce("removed_lines", none).alias("removed_lines"),
     )
     clean = keyed.join(F.broadcast(buckets), "_bucket", "left_anti").select(
-        "row.*", F.col("row.text").alias("kept_text"), none.alias("removed_lines")
+        "document", F.col("document.text").alias("kept_text"), none.alias("removed_lines")
     )
     return touched.union(clean)
 
 
 def digest(removed: DataFrame) -> DataFrame:
     """Per document: its number of lines, the numbers of those removed, a hash of what is left."""
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    text = F.col("document.text")
+    lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n")))
     return removed.select(
-        "doc_id",
+        "document.doc_id",
         lines.cast("bigint").alias("n_lines"),
         F.size("removed_lines").cast("bigint").alias("n_removed"),
         F.array_join("removed_lines", ",").alias("removed_lines"),

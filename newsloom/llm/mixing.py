@@ -214,13 +214,16 @@ def mix(
     keep: float = KEEP,
     seed: int = SEED,
     capped: bool = False,
+    key: str = "doc_id",
 ) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, probability, kept) per document; ``capped`` rakes
-    under the bound of the probabilities instead of clipping them afterwards.
+    under the bound of the probabilities instead of clipping them afterwards. Draws depend on the
+    column ``key``, which is returned too.
 
     ``topics`` has (doc_id, topic), one row per id; documents without one have the topic ''."""
+    names = list(dict.fromkeys(["doc_id", key]))
     measured = documents.select(
-        "doc_id",
+        *names,
         F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce("lang", F.lit("")).alias("lang"),
         word_count(F.col("text")).alias("tokens"),
@@ -241,8 +244,8 @@ def mix(
     chances = chances.select(*DIMENSIONS, "probability")
     return (
         measured.join(chances, list(DIMENSIONS))
-        .withColumn("kept", draw(F.col("doc_id"), seed) < F.col("probability"))
-        .select("doc_id", *DIMENSIONS, "tokens", "probability", "kept")
+        .withColumn("kept", draw(F.col(key), seed) < F.col("probability"))
+        .select(*names, *DIMENSIONS, "tokens", "probability", "kept")
     )
 
 

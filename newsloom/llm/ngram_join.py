@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.arrays import LOWER, Piece, Rolling, gram_hashes, mix, pieces, words
+from newsloom.llm.arrays import LOWER, Piece, Rolling, frugal, gram_hashes, mix, pieces, words
 from newsloom.llm.components import components
 from newsloom.llm.tables import prune, stored
 
@@ -106,7 +106,7 @@ def _surveyed(documents: DataFrame, size: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays(last, names)
 
     return documents.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n bigint, sig bigint, cells binary, counters binary"
+        frugal(run), "doc_id bigint, n bigint, sig bigint, cells binary, counters binary"
     )
 
 
@@ -166,7 +166,7 @@ def _postings(documents: DataFrame, size: int, percent: int, counters: np.ndarra
 
     known = documents.where(F.col("doc_id").isNotNull())
     return known.select("text").mapInArrow(
-        run, "token bigint, part int, n int, sig bigint, place int"
+        frugal(run), "token bigint, part int, n int, sig bigint, place int"
     )
 
 
@@ -284,7 +284,7 @@ def verified(
             "a", "b", "x.sig AS sig_a", "y.sig AS sig_b", "x.n AS n_a", "y.n AS n_b",
             "x.cells AS x", "y.cells AS y",
         )
-        .mapInArrow(filtered, "a bigint, b bigint, sig_a bigint, sig_b bigint")
+        .mapInArrow(frugal(filtered), "a bigint, b bigint, sig_a bigint, sig_b bigint")
     )
     close = stored(close, "close")
     wanted = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
@@ -300,7 +300,7 @@ def verified(
                 )
 
     texts = prune(documents.select("doc_id", "text"), "doc_id", wanted).mapInArrow(
-        with_signature, "doc_id bigint, sig bigint, text string"
+        frugal(with_signature), "doc_id bigint, sig bigint, text string"
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +325,7 @@ def verified(
         F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"), F.col("text").alias("text_b")
     )
     joined = close.join(text_a, ["a", "sig_a"]).join(text_b, ["b", "sig_b"])
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(frugal(compare), "a bigint, b bigint")
 
 
 def _open_lists(shared: DataFrame, links: DataFrame) -> DataFrame:

@@ -20,7 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.arrays import (
-    Piece, Rolling, gram_hashes, mix, per_text, pieces, words,
+    Piece,
+    Rolling,
+    frugal,
+    gram_hashes,
+    mix,
+    per_text,
+    pieces,
+    words,
 )
 from newsloom.llm.boosted_trees import Forest, fit
 
@@ -158,7 +165,7 @@ def training_table(
                 lists = pa.FixedSizeListArray.from_arrays(flat, width).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([lists, y], ["x", "y"])
 
-    table = chosen.mapInArrow(measure, "x array<double>, y double").toArrow()
+    table = chosen.mapInArrow(frugal(measure), "x array<double>, y double").toArrow()
     x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return x.reshape(-1, width), table.column("y").to_numpy()
 
@@ -195,7 +202,7 @@ def judge(documents: DataFrame, forest: Forest | None) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"{name} bigint" for name in COUNTS)
     return documents.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, {counts}, base_failed boolean, good double, kept boolean"
+        frugal(run), f"doc_id {kind}, {counts}, base_failed boolean, good double, kept boolean"
     )
 
 
@@ -210,4 +217,4 @@ def keep_good(documents: DataFrame, forest: Forest | None) -> DataFrame:
             if masks:
                 yield batch.filter(pa.array(np.concatenate(masks)))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(frugal(run), documents.schema)

@@ -9,15 +9,25 @@ def test_equals_brute_force(documents, texts):
     order = [(None, texts[1])] + list(enumerate(texts))
     gone = dict(zip([k for k, _ in order], lines_gone(order), strict=True))
     for row in rows:
-        want = gone[row["doc_id"]] if row["text"] is not None else []
+        document = row["document"]
+        want = gone[document["doc_id"]] if document["text"] is not None else []
         assert row["removed_lines"] == want
-        if row["text"] is not None:
-            lines = row["text"].split("\n")
+        if document["text"] is not None:
+            lines = document["text"].split("\n")
             kept = "\n".join(x for k, x in enumerate(lines) if k not in want)
             assert row["kept_text"] == kept
         else:
             assert row["kept_text"] is None
-        assert row["sig"] == 2 and row["kept"] == 9
+        assert document["sig"] == 2 and document["kept"] == 9
+
+
+def test_callers_columns_stay(spark):
+    line = "one two three four five six"
+    rows = [(1, f"{line}\n{line}", "mine", "x"), (2, "c", "too", "y")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, kept_text string, removed_lines string")
+    got = {r["document"]["doc_id"]: r for r in line_dedup.remove_lines(table).collect()}
+    assert got[1]["document"]["kept_text"] == "mine" and got[1]["document"]["removed_lines"] == "x"
+    assert got[1]["kept_text"] == line and got[1]["removed_lines"] == [1]
 
 
 def test_lists_in_parts(documents, monkeypatch):
@@ -56,7 +66,7 @@ def test_short_lines_go(spark):
     assert sum(map(len, want.values())) == 7
     documents = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = line_dedup.remove_lines(documents, short=True).collect()
-    assert {r["doc_id"]: r["removed_lines"] for r in got} == want
+    assert {r["document"]["doc_id"]: r["removed_lines"] for r in got} == want
 
 
 def test_query_removes_short_lines(spark):

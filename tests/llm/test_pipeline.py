@@ -1,8 +1,10 @@
 """Every stage of the pipeline against plain Python on its own input."""
 
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brute import components, counts, lines_gone, shingles, similar
@@ -70,8 +72,43 @@ def test_packing(stages):
     assert (pieces.groupby("sequence_id").length.sum() <= 2048).all()
 
 
-def test_odd_rows_pass(spark, documents):
-    docs = documents.drop("topic")
+def run_stages(spark, docs):
+    out = [docs]
     for name, stage in corpus_pipeline.STAGES:
-        docs = stored(stage(spark, docs, FOLDER), name)
-    assert docs.count() >= 0
+        out.append(stored(stage(spark, out[-1], FOLDER), name))
+    return out
+
+
+def test_odd_rows(spark, documents):
+    """Null ids, repeated rows and clashing names go through; each stage keeps columns."""
+    frames = run_stages(spark, documents.withColumn("kept_text", F.lit("mine")))
+    assert all(frame.columns == frames[0].columns for frame in frames[:-1])
+    assert all(r["kept_text"] == "mine" for r in frames[3].select("kept_text").collect())
+    assert frames[3].count() > 0
+
+
+def test_rows_that_share_ids(spark):
+    """Decisions hold for rows, not for ids: which rows stay."""
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    near_c = c.rsplit(" ", 1)[0] + " changed"
+    rows = [
+        (3, a), (7, a), (7, b), (None, c), (None, near_c), (9, near_c), (None, d), (None, d), (11, "x"), (11, "x"),
+        (None, None), (None, None),
+    ]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(*row, "en", "s", 1) for row in rows], schema).repartition(3)
+    kept = corpus_pipeline.one_of_each(spark, docs, FOLDER).collect()
+    got = sorted(((r["doc_id"], r["text"]) for r in kept), key=repr)
+    assert got == sorted([(3, a), (7, b), (9, near_c), (None, d), (11, "x"), (None, None), (None, None)], key=repr)
+    # Two texts under one id are drawn apart, and what is drawn is a row.
+    many = [(k % 2, f"{a} {k}") for k in range(40)] + [(None, f"{b} {k}") for k in range(40)]
+    docs = spark.createDataFrame([(*row, "en", "s", 1) for row in many], schema)
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.mixed(spark, docs, FOLDER).collect()]
+    assert set(left) < set(many) and len(set(left)) == len(left)
+    assert {i for i, _ in left} == {0, 1, None}
+
+
+def test_empty_table(spark, nothing):
+    frames = run_stages(spark, nothing)
+    assert [frame.count() for frame in frames] == [0] * len(frames)
