@@ -11,6 +11,7 @@ from newsloom.functions import text as tx
 from newsloom.functions import urls
 from newsloom.functions.language import guess_language
 from newsloom.operators.extract import with_raw_article, with_reader_article
+from newsloom.operators.lookup import fits_broadcast, join_lookup
 from newsloom.operators.merge import is_empty_article, merged_fields
 from newsloom.operators.pdf import pdf_articles
 from newsloom.plans.retrieval import content_kind
@@ -63,6 +64,7 @@ def parse_payload(
     pdf_pages: DataFrame | None = None,
     as_of: Column | None = None,
     stop_words: dict[str, str] | None = None,
+    part_of_files: bool = False,
 ) -> DataFrame:
     """Articles of all documents, plus ``content_kind``, ``error`` and ``date_error``.
 
@@ -73,6 +75,9 @@ def parse_payload(
 
     The language of an article is that of the view its body comes from, so it is guessed
     once, from the final body.
+
+    ``part_of_files``: the payload holds few of the files whose page texts are given (a batch of
+    a stream, say); only the texts of these are put together.
     """
     pages = with_reader_article(
         with_raw_article(prepared_pages(payload), as_of=as_of, with_language=False),
@@ -101,9 +106,14 @@ def parse_payload(
         F.when(chosen["publish_date"].isNull(), undated).alias("date_error"),
     )
     if pdf_meta is not None and pdf_pages is not None:
-        read = file_documents(payload).join(
-            pdf_articles(pdf_meta, pdf_pages, with_language=False), KEY, "left"
-        )
+        files = file_documents(payload)
+        if part_of_files:
+            fits = fits_broadcast(files)
+            pdf_meta, pdf_pages = (
+                join_lookup(table, files.select(*KEY), KEY, "left_semi", KEY, fits)
+                for table in (pdf_meta, pdf_pages)
+            )
+        read = files.join(pdf_articles(pdf_meta, pdf_pages, with_language=False), KEY, "left")
         is_file = F.col("content_kind") == fv.PDF
         missing = F.when(
             is_file & F.col("pdf_article").isNull(), F.lit("no extracted page texts")

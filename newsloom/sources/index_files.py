@@ -1,16 +1,54 @@
-"""Archive-index answers stored as text files."""
+"""Archive-index answers stored as text files, as a table and as a stream."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from newsloom import schemas
 from newsloom.operators.captures import parse_index_lines
+from newsloom.streaming.runs import batch_path, run_name
+
+LINES = "value STRING, dataset STRING, doc_id INT"
+
+
+def _captures(lines: DataFrame) -> DataFrame:
+    return parse_index_lines(
+        lines.select(F.col("dataset").cast("string"), F.col("doc_id").cast("int"), "value")
+    )
 
 
 def read_index_files(spark: SparkSession, folder: str) -> DataFrame:
     """Captures from files ``folder/dataset=<name>/doc_id=<id>/...``, one capture a line."""
-    lines = spark.read.text(folder).select(
-        F.col("dataset").cast("string"), F.col("doc_id").cast("int"), "value"
+    return _captures(spark.read.text(folder))
+
+
+def stream_index_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Captures of new index files, as a stream; files are cut into splits like any text."""
+    reader = spark.readStream.format("text").schema(LINES)
+    return _captures(reader.option("maxFilesPerTrigger", files_per_batch).load(folder))
+
+
+def drain_index(captures: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append the captures of a stream of index files to the capture table, batch by batch, and
+    stop at its end. A repeated batch replaces itself."""
+    run = run_name(captures.sparkSession, checkpoint)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy("dataset").parquet(batch_path(out, run, batch_id))
+
+    return (
+        captures.writeStream.foreachBatch(write_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_drained_captures(spark: SparkSession, out: str) -> DataFrame:
+    """The capture table that ``drain_index`` writes."""
+    columns = [name for name in spark.createDataFrame([], schemas.ARCHIVE_CAPTURE).columns]
+    return spark.read.option("basePath", out).parquet(out).select(
+        *[F.col(name).cast("int") if name == "doc_id" else F.col(name).cast("string") for name in columns]
     )
-    return parse_index_lines(lines)
