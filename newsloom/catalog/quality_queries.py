@@ -11,7 +11,7 @@ from newsloom.catalog.tables import with_tables
 from newsloom.functions import html as page
 from newsloom.functions import text as tx
 from newsloom.functions.html_fields import html_fields
-from newsloom.operators import quality
+from newsloom.operators import phrases, quality
 
 
 @query(
@@ -141,3 +141,33 @@ def pdf_sanitize(spark, folder):
             F.octet_length(quality.sanitize_pdf(F.col("data"))).cast("bigint").alias("n_bytes"),
         )
     )
+
+
+def many_phrases(spark):
+    """The built-in phrases and ten thousand more, which no page holds."""
+    added = spark.range(10_000).select(
+        F.when(F.col("id") % 2 == 0, "title").otherwise("body").alias("scope"),
+        F.concat(F.lit("page qz"), F.col("id"), F.lit(" not found zq#")).alias("phrase"),
+        F.lit("blank").alias("start_anchor"),
+        F.lit("blank").alias("end_anchor"),
+    )
+    return spark.createDataFrame(phrases.built_in(), phrases.SCHEMA).union(added)
+
+
+@query(
+    with_tables(
+        ["raw_pages"],
+        f"SELECT doc_id, {sp.bad_title('html')} AS bad_title, {sp.bad_body('html')} AS bad_body, "
+        f"{sp.rejected('html')} AS rejected FROM raw_pages",
+    )
+)
+def phrase_gate(spark, folder):
+    """QA-1, QA-2, QA-4, QA-6 with a table of ten thousand phrases."""
+    gate = phrases.PhraseGate(spark, many_phrases(spark))
+    html = F.col("html")
+    return tb.raw_pages(spark, folder).select(
+        "doc_id",
+        gate.is_bad_title(html).alias("bad_title"),
+        gate.is_bad_raw_body(html).alias("bad_body"),
+        gate.is_rejected_raw(html).alias("rejected"),
+    )

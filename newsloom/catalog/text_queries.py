@@ -245,7 +245,7 @@ _PARTICLES = (
 ).split()
 _PIECES = (
     "list_filter(regexp_split_to_array(text, "
-    "'\\s*[,;|&\\n]\\s*|\\s+(?:and|und|et|y)\\s+'), lambda p: regexp_matches(p, "
+    "'\\s*[,;|&\\n]\\s*|\\s+(?:and|with|und|mit|et|avec|y|con)\\s+'), lambda p: regexp_matches(p, "
     + sp.quoted(
         r"^(?:\p{Lu}[\p{L}\p{M}.'’\-]*|" + "|".join(_PARTICLES) + r")(?: (?:\p{Lu}[\p{L}\p{M}.'’\-]*|"
         + "|".join(_PARTICLES) + r"))* \p{Lu}[\p{L}\p{M}.'’\-]*$"

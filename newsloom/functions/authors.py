@@ -18,7 +18,7 @@ from newsloom.functions.arrays import null_if_no_items
 
 # ---- fixed values: patterns ----------------------------------------------------------
 LEAD_IN = r"^\s*(?:[Bb]y|BY|[Vv]on|VON|[Pp]ar|PAR|[Pp]or|POR)\s+"
-SEPARATOR = r"\s*[,;|&\n]\s*|\s+(?:and|und|et|y)\s+"
+SEPARATOR = r"\s*[,;|&\n]\s*|\s+(?:and|with|und|mit|et|avec|y|con)\s+"
 PARTICLE = (
     "(?:van|von|der|den|de|del|della|dei|di|da|das|do|dos|du|des|la|le|las|los|el|al|bin|bint|ibn"
     "|ben|ter|ten|zu|zum|zur|af|av|och|st)"
