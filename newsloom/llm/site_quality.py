@@ -8,7 +8,8 @@ spread of the rates themselves (method of moments), so that sparse sites shrink
 above them. A document's posterior odds are its evidence times the odds of its path, with the
 document's own share taken out of its path and host.
 
-Only sums per path and host are grouped, map-side first; the rates are joined back to thin rows.
+Only sums per path and host are grouped, map-side first; the rates are joined back to thin rows, as
+a broadcast where their table was measured to be small, else with hot sites split.
 
 Defined cases: a null or empty text has the statistics of no words; null hosts or paths count as
 ''; a null id is carried through; repeated rows count each; without labels of both classes the
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.arrays import pieces
 from newsloom.llm.quality_rules import FEATURES, TRAIN_ROWS, statistics, training_table
 from newsloom.llm.tables import stored
+from newsloom.operators.lookup import join_lookup
 
 THRESHOLD = 0.5
 # Bounds of a prior's strength, in documents.
@@ -141,7 +143,7 @@ def posterior(scored: DataFrame) -> DataFrame:
     bounded = F.least(F.greatest(F.col("path_rate"), F.lit(1e-3)), F.lit(1 - 1e-3))
     score = 1 / (1 + F.exp(-(F.col("evidence") + F.log(bounded / (1 - bounded)))))
     return (
-        scored.join(sites, ["host", "path"])
+        join_lookup(scored, sites, ["host", "path"], "inner", ["doc_id", "evidence"])
         .withColumn("host_rate", host_rate)
         .withColumn("path_rate", path_rate)
         .withColumn("score", score)

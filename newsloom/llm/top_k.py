@@ -1,21 +1,26 @@
 """Exact top-k search by inner product: dual-tree search over cover trees.
 
-Queries are rows of the table itself, and both are indexed together: the upper levels of one
-cover tree (nested nets of centres, in farthest-first order) are fitted to a bounded sample, and
-every row goes to its nearest centre of the lowest of these levels, its cell. Covering radii are
-exact, as they are taken over all rows. Below, each block of a cell gets its own nets inside the
-task that searches it.
-
-A pair of nodes, queries around q within r and data around d within s, can reach no more than
-q.d + |q| s + |d| r + r s. The pair is pruned where that is under the worst k-th score that the
-queries of the group have so far. First every query searches its own cell; then groups of queries
-meet the cells that are left, and in them again only the blocks' nodes that are left. What is not
-pruned is scored exactly. If the vectors have no structure nothing is pruned, and the search is a
-blocked scan.
+A cover tree here is a sequence of nested nets: the centres in farthest-first order, of which every
+beginning is a net. Level by level the beginning grows by FANOUT; a node is a centre on a level,
+its children are the centres of the next level that are nearest to it, itself among them. Each
+node has a covering radius.
+
+Queries are rows of the table itself, and both are indexed together: the upper tree is fitted to a
+bounded sample, every row goes to its nearest centre of the lowest level, its cell, and radii are
+taken over all rows, for queries and for data. Below, each block of a cell gets a tree of its own
+inside the task that searches it, and so does each group of queries.
+
+Pairs of nodes, queries around q within r and data around d within s, can reach no more than
+q.d + |q| s + |d| r + r s. The search takes the pair with the highest bound, drops it where the
+bound is under the worst k-th score that the queries below the node have so far, and else splits
+its wider node, until two leaves meet and are scored. First every query searches a block of its own
+cell; then the upper tree, walked against itself, leaves pairs of cells, and groups of queries
+meet the blocks of these cells, which are walked in the same way. What is not dropped is scored
+exactly. If the vectors have no structure nothing is pruned, and the search is a blocked scan.
 
 Cells are cut into blocks of BLOCK rows by a hash of the id, so that a cell of any size, or a
 vector that a third of the rows share, makes more blocks, not larger ones; queries come in groups
-of at most about GROUP.
+of at most about GROUP. Rows are copied for the groups that reach their block, and for no other.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do
 rows without an id; shorter vectors count as 0 beyond their end; ties go to the smaller id;
@@ -25,6 +30,8 @@ other columns are ignored. Scores beyond 64 bits are held at the limits.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +46,9 @@ CELLS = 64
 BLOCK = 8192
 GROUP = 4096
 LEAF = 128
+QUERY_LEAF = 32
+# Nodes of a level, in those of the level above.
+FANOUT = 4
 
 
 def scaled(embeddings: DataFrame) -> DataFrame:
@@ -95,19 +105,89 @@ def nets(points: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.array(chosen), near, far
 
 
-class Nodes:
-    """Members, centre, covering radius and norm of the nodes of one level over some points."""
-
-    def __init__(self, vectors: np.ndarray, most: int):
-        points = vectors.astype(np.float64)
-        centres, near, far = nets(points, most)
-        order = np.argsort(near, kind="stable")
-        bounds = np.searchsorted(near[order], np.arange(len(centres) + 1))
-        self.members = [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.centres = points[centres]
-        self.radii = np.array([far[m].max(initial=0) for m in self.members])
+class CoverTree:
+    """Nested nets over given centres in farthest-first order, the leaves; nodes are numbered from
+    the root on. ``radii`` are bounds of the distance to anything below a node, from those of the
+    leaves."""
+
+    def __init__(self, centres: np.ndarray, radii: np.ndarray):
+        self.leaves = len(centres)
+        sizes = [max(1, self.leaves)]
+        while sizes[-1] > 1:
+            sizes.append(-(-sizes[-1] // FANOUT))
+        first, points, children = 0, [], []
+        for level, size in enumerate(reversed(sizes)):
+            net = centres[:size]
+            if level:
+                above = points[-1]
+                gaps = np.linalg.norm(net[:, None] - above[None], axis=2)
+                parent = gaps.argmin(1)
+                parent[: len(above)] = np.arange(len(above))  # nets are nested
+                for k in range(len(above)):
+                    children.append((first + np.flatnonzero(parent == k)).tolist())
+            points.append(net)
+            first += size
+        self.first_leaf = first - self.leaves
+        self.centres = np.concatenate(points)
+        self.children = children + [[] for _ in range(self.leaves)]
+        self.radii = np.zeros(first)
+        self.radii[self.first_leaf :] = radii
+        for node in range(self.first_leaf - 1, -1, -1):
+            below = self.children[node]
+            gaps = np.linalg.norm(self.centres[below] - self.centres[node], axis=1)
+            self.radii[node] = (gaps + self.radii[below]).max()
         self.norms = np.linalg.norm(self.centres, axis=1)
 
+    def leaf(self, node: int) -> int:
+        """Number of the leaf, -1 for an inner node."""
+        return node - self.first_leaf if node >= self.first_leaf else -1
+
+
+def indexed_leaves(vectors: np.ndarray, leaf: int) -> tuple[CoverTree, list[np.ndarray]]:
+    """A tree over some rows and the rows of its leaves, each of about ``leaf``."""
+    points = vectors.astype(np.float64)
+    centres, near, far = nets(points, 1 + len(points) // leaf)
+    order = np.argsort(near, kind="stable")
+    bounds = np.searchsorted(near[order], np.arange(len(centres) + 1))
+    members = [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    radii = np.array([far[m].max(initial=0) for m in members])
+    return CoverTree(points[centres], radii), members
+
+
+def walk(queries: CoverTree, data: CoverTree, worst, met) -> None:
+    """Walk two trees together, the pair of the highest bound first. ``worst(leaf)`` is the score
+    that a query leaf has to beat; ``met(q, d)`` takes the pairs of leaves that are left."""
+    below = {}
+
+    def leaves_under(node: int) -> list[int]:
+        if node not in below:
+            leaf = queries.leaf(node)
+            under = [leaf] if leaf >= 0 else [x for c in queries.children[node] for x in leaves_under(c)]
+            below[node] = under
+        return below[node]
+
+    def bounds(q: int, nodes: list[int]) -> np.ndarray:
+        return reach(
+            queries.centres[q], queries.radii[q], queries.norms[q],
+            data.centres[nodes], data.radii[nodes], data.norms[nodes],
+        )
+
+    heap = [(-float(bounds(0, [0])[0]), 0, 0)]
+    while heap:
+        bound, q, d = heapq.heappop(heap)
+        if -bound < min(map(worst, leaves_under(q))):
+            continue
+        q_leaf, d_leaf = queries.leaf(q), data.leaf(d)
+        if q_leaf >= 0 and d_leaf >= 0:
+            met(q_leaf, d_leaf)
+        elif d_leaf >= 0 or (q_leaf < 0 and queries.radii[q] > data.radii[d]):
+            for child in queries.children[q]:
+                heapq.heappush(heap, (-float(bounds(child, [d])[0]), child, d))
+        else:
+            below_d = data.children[d]
+            for child, value in zip(below_d, bounds(q, below_d).tolist(), strict=True):
+                heapq.heappush(heap, (-value, q, child))
+
 
 def reach(q: np.ndarray, r, q_norm, d: np.ndarray, s: np.ndarray, d_norm: np.ndarray) -> np.ndarray:
     """Upper bound of the inner products between two nodes, a little above for rounding."""
@@ -124,28 +204,24 @@ def search(
     best = np.full((len(queries), k), low)
     best_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
     if len(data) and len(queries):
-        data_nodes = Nodes(data, 1 + len(data) // LEAF)
-        query_nodes = Nodes(queries, 1 + len(queries) // 32)
-        for group, q, r, q_norm in zip(
-            query_nodes.members, query_nodes.centres, query_nodes.radii, query_nodes.norms, strict=True
-        ):
-            bounds = reach(q, r, q_norm, data_nodes.centres, data_nodes.radii, data_nodes.norms)
-            order = np.argsort(-bounds)
-            for at in range(0, len(order), 8):
-                worst = np.maximum(best[group, -1], floors[group]).min()
-                left = [n for n in order[at : at + 8] if bounds[n] >= worst]
-                if not left:
-                    break
-                rows = np.concatenate([data_nodes.members[n] for n in left])
-                scores = products(queries[group], data[rows])
-                scores[query_ids[group][:, None] == ids[rows][None]] = low
-                scores = np.concatenate([best[group], scores], axis=1)
-                names = np.concatenate(
-                    [best_ids[group], np.broadcast_to(ids[rows], (len(group), len(rows)))], axis=1
-                )
-                top = np.lexsort((names, ~scores), axis=1)[:, :k]
-                best[group] = np.take_along_axis(scores, top, 1)
-                best_ids[group] = np.take_along_axis(names, top, 1)
+        data_tree, rows_of = indexed_leaves(data, LEAF)
+        query_tree, queries_of = indexed_leaves(queries, QUERY_LEAF)
+        needed = np.array([floors[group].min() for group in queries_of])
+
+        def met(q: int, d: int) -> None:
+            group, rows = queries_of[q], rows_of[d]
+            scores = products(queries[group], data[rows])
+            scores[query_ids[group][:, None] == ids[rows][None]] = low
+            scores = np.concatenate([best[group], scores], axis=1)
+            names = np.concatenate(
+                [best_ids[group], np.broadcast_to(ids[rows], (len(group), len(rows)))], axis=1
+            )
+            top = np.lexsort((names, ~scores), axis=1)[:, :k]
+            best[group] = np.take_along_axis(scores, top, 1)
+            best_ids[group] = np.take_along_axis(names, top, 1)
+            needed[q] = np.maximum(best[group, -1], floors[group]).min()
+
+        walk(query_tree, data_tree, needed.__getitem__, met)
     ok = (best > low) & (best >= floors[:, None])
     which, place = np.nonzero(ok)
     return which, best_ids[which, place], best[which, place]
@@ -214,9 +290,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
     def met(data: DataFrame, asking: DataFrame) -> DataFrame:
         by = ["cell", "block", "group"]
-        spread = data.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        reached = asking.select(*(F.col(name).alias(f"at_{name}") for name in by)).distinct()
+        here = (F.col("cell") == F.col("at_cell")) & (F.col("block") == F.col("at_block"))
         return (
-            spread.select(*by, "vec_id", "v")
+            data.join(reached, here)
+            .select(*(F.col(f"at_{name}").alias(name) for name in by), "vec_id", "v")
             .groupBy(*by)
             .cogroup(asking.select(*by, "asks", "query_id", "q", "floor").groupBy(*by))
             .applyInArrow(run, "asks bigint, query_id bigint, vec_id bigint, score bigint")
@@ -234,22 +312,32 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         "asked",
     )
 
-    # Groups of queries by cell against whole cells.
-    worst = asked.groupBy("cell").agg(F.max("far").alias("radius"), F.min("floor").alias("floor"))
-    norms = np.linalg.norm(centres, axis=1)
-    names = np.array(sorted(cells))
-    radii = np.array([cells[c]["radius"] for c in names])
+    # The upper tree against itself: radii of queries on one side, of all rows on the other.
+    worst = {row["cell"]: row for row in asked.groupBy("cell").agg(
+        F.max("far").alias("radius"), F.min("floor").alias("floor")
+    ).collect()}  # CELLS rows at most
+    inside = np.array([cells[c]["radius"] if c in cells else 0.0 for c in range(len(centres))])
+    asking_from = np.array([worst[c]["radius"] if c in worst else 0.0 for c in range(len(centres))])
+    nobody = np.iinfo(np.int64).max
     pairs = []
-    for row in worst.collect():  # CELLS rows at most
-        c = row["cell"]
-        bounds = reach(centres[c], row["radius"], norms[c], centres[names], radii, norms[names])
-        left = names[bounds >= row["floor"]]
-        pairs.append((c, [(int(d), b) for d in left for b in range(blocks[int(d)])]))
-    targets = spark.createDataFrame(pairs, "cell int, targets array<struct<cell: int, block: int>>")
+
+    def left(q: int, d: int) -> None:
+        if q in worst and d in cells:
+            pairs.append((q, d))
+
+    walk(
+        CoverTree(centres, asking_from),
+        CoverTree(centres, inside),
+        lambda q: worst[q]["floor"] if q in worst else nobody,
+        left,
+    )
+    # CELLS * CELLS pairs at most; the blocks of a cell come from the bounded table of cells.
+    targets = spark.createDataFrame(pairs, "cell int, target int")
+    every = F.sequence(F.lit(0), block_of[F.col("target")] - 1)
     asking = (
         asked.join(F.broadcast(targets), "cell")
-        .withColumn("target", F.explode("targets"))
-        .select("asks", "query_id", "q", "floor", "group", "target.cell", "target.block")
+        .withColumn("block", F.explode(every))
+        .select("asks", "query_id", "q", "floor", "group", F.col("target").alias("cell"), "block")
     )
     found = met(data, asking)
     ranked = Window.partitionBy("asks").orderBy(F.desc("score"), "vec_id")
