@@ -12,7 +12,7 @@ from newsloom.catalog.registry import query
 from newsloom.functions import dates, structured
 from newsloom.functions import html as page
 from newsloom.functions import text as tx
-from newsloom.operators import languages
+from newsloom.operators import languages, names
 from newsloom.operators.date_order import host_order, with_dates
 from newsloom.operators.extract import raw_body, with_raw_article
 
@@ -309,3 +309,33 @@ def dates_by_host(spark, folder):
     """DATE-1: numeric dates read in the order that their host writes."""
     pages = dated_pages(spark, folder)
     return with_dates(pages, "host", "date", "published", spread_by=["page_id"]).select("page_id", "published")
+
+
+# -- persons --------------------------------------------------------------------------------
+
+_NAMES = ["Ada Vale", "Dan Ash", "Eva Lind", "Finn Moor"]
+
+
+@query(
+    f"""
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN [{', '.join(map(repr, _NAMES))}][page_id // 5 % 4 + 1]
+  WHEN 1 THEN 'Ben Oak/Cleo Min' WHEN 2 THEN 'Jane Doe/John Roe' END AS authors FROM pages"""
+)
+def byline_persons(spark, folder):
+    """AGG-8, EXT-12: persons of bylines; offices and papers are told by how the documents write
+    their words and by the company they keep."""
+    number = F.col("page_id")
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.floor(number / 5) % 4 + 1).cast("int"))
+    byline = (
+        F.when(number % 5 == 0, F.concat(F.lit("By "), name, F.lit(", Staff Writer")))
+        .when(number % 5 == 1, "Ben Oak and Cleo Min, New York Times")
+        .when(number % 5 == 2, "Jane Doe with John Roe")
+        .when(number % 5 == 3, "New York Times")
+        .otherwise("Staff Writer")
+    )
+    bylines = tb.table(spark, folder, "pages").select("page_id", byline.alias("byline"))
+    told = F.concat("text", F.lit("\n it says so, the staff writer of the new times is, it says, in York"))
+    words = names.word_case(tb.table(spark, folder, "documents").select(told.alias("text")), "text")
+    return names.persons(bylines, ["page_id"], "byline", words).select(
+        "page_id", F.array_join("authors", "/").alias("authors")
+    )

@@ -289,3 +289,30 @@ def retrieval_job(spark, folder):
         F.octet_length("raw").cast("bigint").alias("raw_bytes"),
         (F.octet_length("reader") > 0).alias("has_reader"),
     )
+
+
+@query(
+    """
+WITH hops AS (SELECT page_id, CASE WHEN page_id % 12 = 2 THEN NULL WHEN page_id % 4 = 0 THEN page_id + 3
+  WHEN page_id % 4 = 1 THEN page_id + 2 ELSE page_id END AS final FROM pages)
+SELECT h.page_id, coalesce(md5(p.html), md5('')) AS reader FROM hops h LEFT JOIN pages p ON p.page_id = h.final"""
+)
+def reader_redirects(spark, folder):
+    """URL-7, URL-8, PLN-6: simplified views that redirect, once or twice, and where they end."""
+    number = F.col("page_id")
+    link = F.when(number % 12 == 2, "").when(
+        number % 4 < 2, F.concat(F.lit('<a href="u'), (number + number % 4 + 1).cast("string"), F.lit('">on</a>'))
+    )
+    notice = F.concat(F.lit('<p>Redirecting to...</p><div class="content">'), link, F.lit("</div>"))
+    results = tb.table(spark, folder, "pages").select(
+        tb.dataset_of(number).alias("dataset"),
+        number.cast("int").alias("doc_id"),
+        F.concat(F.lit("u"), number.cast("string")).alias("location"),
+        F.lit(200).alias("http_status"),
+        F.lit(None).cast("string").alias("error"),
+        F.lit(b"").alias("raw"),
+        F.encode(F.coalesce(notice, F.col("html")), "UTF-8").alias("reader"),
+    )
+    return retrieval.follow_readers(results).select(
+        F.col("doc_id").cast("bigint").alias("page_id"), F.md5("reader").alias("reader")
+    )

@@ -121,7 +121,7 @@ def view_blanking(spark, folder):
         ["raw_pages"],
         f"""
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN octet_length(encode(html)) + 2
-                    WHEN doc_id % 3 = 1 THEN 0
+                    WHEN doc_id % 3 = 1 THEN octet_length(encode(html)) + 1
                     WHEN {sp.bad_title('html')} OR {sp.bad_body('html')} THEN 0
                     ELSE octet_length(encode(html)) END AS n_bytes
 FROM raw_pages""",
@@ -130,8 +130,10 @@ FROM raw_pages""",
 def pdf_sanitize(spark, folder):
     """QA-9: bytes that are no text pass, readable error pages do not."""
     data = tx.encode_utf8(F.col("html"))
-    mixed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(b"\xff\xfe"), data)).when(
-        F.col("doc_id") % 3 == 2, data
+    mixed = (
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(b"\xff\xfe"), data))
+        .when(F.col("doc_id") % 3 == 1, F.concat(data, F.lit(b"\xff")))
+        .otherwise(data)
     )
     return (
         tb.raw_pages(spark, folder)

@@ -16,7 +16,7 @@ TEMPLATES = [
     ("12ft_ladder", "https://first.route.test/{url}"),
     ("remove_paywall", "https://second.route.test/?page={url}"),
 ]
-EMPTY_BODY_PAGE = "<html><head><title>Empty</title></head><body><p></p></body></html>"
+EMPTY_BODY = "<body><p></p></body>"
 
 CTES: dict[str, str] = {}
 
@@ -349,7 +349,7 @@ def raw_pages(spark: SparkSession, folder: str) -> DataFrame:
             F.replace(html, F.lit("</h1>"), F.lit("</h1> The page you’re looking for is not here. ")),
         )
         .when(number % 9 == 4, F.replace(html, F.lit("<nav>"), F.lit("<svg><title></title></svg>")))
-        .when(number % 9 == 5, F.lit(EMPTY_BODY_PAGE))
+        .when(number % 9 == 5, F.concat(html, F.lit(EMPTY_BODY)))
         .when(
             number % 9 == 6,
             F.concat(html, F.lit("<a href='https://web.archive.org'>Server error</a></body>")),
@@ -372,7 +372,7 @@ CTES["raw_pages"] = f"""
            WHEN 2 THEN replace(html, '</title>', ' please log in</title>')
            WHEN 3 THEN replace(html, '</h1>', '</h1> The page you’re looking for is not here. ')
            WHEN 4 THEN replace(html, '<nav>', '<svg><title></title></svg>')
-           WHEN 5 THEN '{EMPTY_BODY_PAGE}'
+           WHEN 5 THEN html || '{EMPTY_BODY}'
            WHEN 6 THEN html || '<a href=''https://web.archive.org''>Server error</a></body>'
            ELSE html END AS html
   FROM pages"""

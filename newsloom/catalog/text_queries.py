@@ -104,16 +104,16 @@ def nul_removal(spark, folder):
 
 
 @query(
-    "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN false WHEN doc_id % 5 = 1 THEN false "
-    "WHEN doc_id % 5 = 2 THEN false ELSE text <> '' END AS valid FROM documents"
+    "SELECT doc_id, doc_id % 5 > 1 AND coalesce(text <> '' AND NOT contains(text, 'Sed ut perspiciatis'), false) "
+    "AS valid FROM documents"
 )
 def valid_text(spark, folder):
-    """FLT-10: absent, empty and filler texts are not valid."""
+    """FLT-10: absent and empty texts, and those with filler before or behind, are not valid."""
     number = F.col("doc_id")
     text = (
-        F.when(number % 5 == 0, F.lit(""))
-        .when(number % 5 == 1, F.concat("text", F.lit(" Sed ut perspiciatis unde")))
-        .when(number % 5 > 2, F.col("text"))
+        F.when(number % 5 == 0, F.concat(F.lit("Sed ut perspiciatis "), F.coalesce("text", F.lit(""))))
+        .when(number % 5 == 1, F.concat(F.coalesce("text", F.lit("")), F.lit(" Sed ut perspiciatis unde")))
+        .otherwise(F.col("text"))
     )
     return tb.table(spark, folder, "documents").select(
         "doc_id", tx.is_valid_text(text).alias("valid")

@@ -182,7 +182,8 @@ def redirect_resolve(spark, folder):
     "FROM pages WHERE page_id % 3 < 2"
 )
 def redirect_targets(spark, folder):
-    """URL-7, URL-8: targets named by simplified pages that redirect; others are no edges."""
+    """URL-7, URL-8: targets named by simplified pages that redirect; others are no edges. Notices
+    stand before whole pages."""
     number = F.col("page_id")
     notice = F.lit("<html><body><p>Redirecting to...</p>")
     link = F.concat(
@@ -190,8 +191,8 @@ def redirect_targets(spark, folder):
         F.lit('">here</a> or <a href="/elsewhere">there</a></p></div>'),
     )
     html = (
-        F.when(number % 3 == 0, F.concat(notice, link))
-        .when(number % 3 == 1, F.concat(notice, F.lit('<div class="content">nowhere</div>')))
+        F.when(number % 3 == 0, F.concat(notice, link, F.col("html")))
+        .when(number % 3 == 1, F.concat(notice, F.lit('<div class="content">nowhere</div>'), F.col("html")))
         .otherwise(F.col("html"))
     )
     pages = tb.table(spark, folder, "pages").select("url", html.alias("reader"))

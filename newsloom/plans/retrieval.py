@@ -17,6 +17,8 @@ from newsloom.operators.captures import captures_per_document, is_redirect, usab
 from newsloom.operators.lookup import join_lookup
 from newsloom.operators.policy import is_free
 from newsloom.operators.quality import gate_views, sanitize_pdf
+from newsloom.operators.redirects import chain_ends, redirect_edges
+from newsloom.session import cut_lineage
 
 KEY = ["dataset", "doc_id"]
 GATED_STAGE, ARCHIVE_STAGE, LIVE_STAGE = 0, 1, 2
@@ -151,6 +153,35 @@ def fetch_plan(
     return direct.unionByName(archive_plan(marked, captures, allowed))
 
 
+def follow_readers(results: DataFrame) -> DataFrame:
+    """Fetch results in which a simplified view that only redirects is replaced by the view at the
+    end of its redirects, which was fetched under that address; an end that was not fetched, or
+    that a page does not name, makes the view empty.
+
+    Only redirecting rows and the views they lead to are moved; the rest stays where it is.
+    """
+    views = results.select("location", tx.decode_utf8(F.col("reader")).alias("reader"))
+    ends = chain_ends(redirect_edges(views, url="location")).select(
+        F.col("from_url").alias("location"), "final_url"
+    )
+    ends = cut_lineage(ends)
+    if ends.isEmpty():
+        return results
+    wanted = ends.where("final_url <> ''").select(F.col("final_url").alias("location")).distinct()
+    fetched = results.where(F.col("error").isNull()).select("location", "reader")
+    spread = ["location"]
+    targets = join_lookup(fetched, wanted, ["location"], "left_semi", spread).dropDuplicates(["location"])
+    targets = targets.select(F.col("location").alias("final_url"), F.col("reader").alias("_reader"))
+    nothing = F.lit(b"").cast("binary")
+    moved = (
+        join_lookup(results, ends, ["location"], "inner", spread)
+        .join(targets, "final_url", "left")
+        .withColumn("reader", F.coalesce("_reader", nothing))
+    )
+    stay = join_lookup(results, ends.select("location"), ["location"], "left_anti", spread)
+    return stay.unionByName(moved.select(*results.columns))
+
+
 def judged(results: DataFrame, compatible: bool = False) -> DataFrame:
     """What the gate says about each fetch, without its bytes: one thin row per result that came
     without an error (key, location, attempt, raw_ok, reader_ok, file_ok).

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import blocks, dates, structured
 from newsloom.functions import html as page
 from newsloom.functions.language import guess_language
-from newsloom.operators import languages
+from newsloom.operators import languages, names
 from newsloom.operators.date_order import host_order, with_dates
 from newsloom.operators.extract import raw_body, with_raw_article
 
@@ -176,3 +176,30 @@ def test_language_profiles_of_odd_texts(spark):
     assert got == {1: "x", 2: "y", 3: "unknown", 4: "unknown", 5: "unknown"}
     none = languages.learn(table.limit(0), "text", "lang")
     assert {r["guessed"] for r in languages.guess(ask, ["id"], "text", none).collect()} == {"unknown"}
+
+
+def test_persons_of_bylines(spark):
+    text = "We met, with staff writer and staff, new times, new writer, at the times of new staff. " * 3
+    words = names.word_case(spark.createDataFrame([(text,), (None,), ("York, in York, so York",)], "text string"), "text")
+    counts = {r["word"]: (r["n"], r["small"]) for r in words.collect()}
+    assert counts["staff"][0] >= 5 and counts["york"] == (2, 0) and "we" not in counts
+    rows = [
+        (1, "By Jane Doe, Staff Writer"), (2, "John Roe, Staff Writer"), (3, "New York Times"), (4, "Jane Doe with John Roe"),
+        (5, "Rose Staff"), (6, None), (7, ""), (8, "John Roe and Jane Doe"),
+    ]
+    bylines = spark.createDataFrame(rows, "id int, byline string")
+    got = {r["id"]: r["authors"] for r in names.persons(bylines, ["id"], "byline", words).collect()}
+    assert got == {
+        1: ["Jane Doe"], 2: ["John Roe"], 3: None, 4: ["Jane Doe", "John Roe"], 5: None, 6: None, 7: None,
+        8: ["John Roe", "Jane Doe"],
+    }
+
+
+def test_offices_by_their_company(spark):
+    """One common word is enough for a piece that stands behind many different names."""
+    words = spark.createDataFrame([("desk", 9, 9)], "word string, n bigint, small bigint")
+    rows = [(k, f"{first} Vale, Reuters Sports Desk") for k, first in enumerate(["Ada", "Ben", "Cleo", "Dan", "Eva"])]
+    rows += [(10 + k, "Ada Vale, Ben Long Desk") for k in range(5)]
+    bylines = spark.createDataFrame(rows, "id int, byline string")
+    got = {r["id"]: r["authors"] for r in names.persons(bylines, ["id"], "byline", words).collect()}
+    assert all(len(got[k]) == 1 for k in range(5)) and got[10] == ["Ada Vale", "Ben Long Desk"]

@@ -117,3 +117,20 @@ def test_blobs_stay_where_they_are(spark, job):
         assert moved and not any("raw#" in p or "reader#" in p for p in moved)
     finally:
         spark.sql("DROP TABLE IF EXISTS fetches_of_test")
+
+
+def test_redirecting_reader_views(spark):
+    notice = '<p>Redirecting to...</p><div class="content">{0}</div>'
+    link = '<a href="{0}">x</a>'
+    views = {
+        "a": notice.format(link.format("b")), "b": notice.format(link.format("c")), "c": "the end",
+        "d": notice.format(""), "e": notice.format(link.format("nowhere")),
+        "f": notice.format(link.format("g")), "g": notice.format(link.format("f")), "h": "as it is",
+    }
+    rows = [("d", k, u, 1, 1, 200, None, b"", v.encode()) for k, (u, v) in enumerate(views.items())]
+    rows.append(("d", 20, "i", 1, 1, 200, None, b"", None))
+    got = retrieval.follow_readers(spark.createDataFrame(rows, schemas.FETCH_ATTEMPT)).collect()
+    ends = {r["location"]: r["reader"] and bytes(r["reader"]).decode() for r in got}
+    assert {k: v or "" for k, v in ends.items()} == {
+        "a": "the end", "b": "the end", "c": "the end", "d": "", "e": "", "f": "", "g": "", "h": "as it is", "i": "",
+    }
