@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.tables import bucket_of, stored
+from newsloom.llm.tables import bucket_of, forget, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -142,7 +142,7 @@ def _in_reach(percent: int, a: str, b: str) -> Column:
 def _similar(
     pairs: DataFrame, firsts: DataFrame, keyed: DataFrame, ranks: Column, percent: int
 ) -> DataFrame:
-    """Pairs (a, b) of classes whose sets reach the similarity."""
+    """Pairs (a, b) of classes whose sets reach the similarity, stored."""
     pairs = stored(pairs, "line-pairs")
     ids = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
     wanted = firsts.join(ids, "sig", "left_semi").select("sig", "at.*")
@@ -161,16 +161,18 @@ def _similar(
         sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a"
     ).join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(
-        (100 + percent) * common >= percent * (F.size("x") + F.size("y"))
-    ).select("a", "b")
+    enough = (100 + percent) * common >= percent * (F.size("x") + F.size("y"))
+    links = stored(both.where(enough).select("a", "b"), "line-links")
+    del both
+    forget(pairs, sets)
+    return links
 
 
 def repeated_lines(
     documents: DataFrame, percent: int = PERCENT, short: bool = False
 ) -> DataFrame:
-    """(key, line_no) of every line that an earlier line makes superfluous; the key is the hash
-    of id and text. ``short`` takes in the lines of fewer than SHINGLE words."""
+    """(key, line_no) of every line that an earlier line makes superfluous, stored; the key is the
+    hash of id and text. ``short`` takes in the lines of fewer than SHINGLE words."""
     keyed = _keyed(documents)
     ranks, parts = _order(keyed)
     prefix = F.slice("tokens", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
@@ -217,7 +219,8 @@ def repeated_lines(
         .distinct()
     )
     stars = stored(stars, "line-stars")
-    found = stored(_similar(stars, firsts, keyed, ranks, percent), "line-links").select("b")
+    links = _similar(stars, firsts, keyed, ranks, percent)
+    found = links.select("b")
 
     # Those left over with all earlier members.
     left = shared.select("token", "x", F.col("x.sig").alias("b")).join(
@@ -231,24 +234,30 @@ def repeated_lines(
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    found = found.union(_similar(pairs, firsts, keyed, ranks, percent).select("b")).distinct()
+    more = _similar(pairs, firsts, keyed, ranks, percent)
+    del pairs, left
+    forget(shared, stars)
+    found = found.union(more.select("b")).distinct()
     doomed = (
         firsts.join(found.select(F.col("b").alias("sig"), F.lit(True).alias("similar")), "sig", "left")
         .where("similar OR last <> at")
         .select("sig", "at", "similar")
     )
-    return (
+    gone = stored(
         lines.select("doc_id", KEY, "line_no", "sig")
         .join(doomed, "sig")
         .where(F.col("similar").isNotNull() | (at != F.col("at")))
-        .select(KEY, "line_no")
+        .select(KEY, "line_no"),
+        "gone-lines",
     )
+    forget(lines, firsts, links, more)
+    return gone
 
 
 def remove_lines(documents: DataFrame, percent: int = PERCENT, short: bool = False) -> DataFrame:
     """The documents as ``document``, with ``kept_text`` without the superfluous lines, and
     ``removed_lines``, their numbers in order (an empty array where nothing goes)."""
-    gone = stored(repeated_lines(documents, percent, short), "gone-lines")
+    gone = repeated_lines(documents, percent, short)
     by_text = gone.groupBy(KEY).agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
     buckets = gone.select(bucket_of(F.col(KEY)).alias("_bucket")).distinct()
     key = F.xxhash64("doc_id", "text")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.arrays import LOWER, Piece, Rolling, frugal, gram_hashes, mix, pieces, words
 from newsloom.llm.components import components
-from newsloom.llm.tables import prune, stored
+from newsloom.llm.tables import forget, prune, stored
 
 # Buckets of the counter table: 4 MB of counters a task while counting, 1 MB of ranks in the end.
 COUNTERS = 1 << 20
@@ -262,7 +262,7 @@ def _far_members(lists: DataFrame, percent: int) -> DataFrame:
 def verified(
     pairs: DataFrame, documents: DataFrame, classes: DataFrame, size: int, percent: int
 ) -> DataFrame:
-    """Pairs (a, b) of class ids that reach the threshold.
+    """Pairs (a, b) of class ids that reach the threshold, stored.
 
     First the suffix filter on histograms (a common n-gram lies in the same cell of both), then
     the sets themselves, from the texts of the two representatives."""
@@ -325,7 +325,12 @@ def verified(
         F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"), F.col("text").alias("text_b")
     )
     joined = close.join(text_a, ["a", "sig_a"]).join(text_b, ["b", "sig_b"])
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(frugal(compare), "a bigint, b bigint")
+    links = stored(
+        joined.select("a", "b", "text_a", "text_b").mapInArrow(frugal(compare), "a bigint, b bigint"), "links"
+    )
+    del joined, text_a, text_b, texts, wanted
+    forget(close)
+    return links
 
 
 def _open_lists(shared: DataFrame, links: DataFrame) -> DataFrame:
@@ -394,8 +399,10 @@ def linked_components(documents: DataFrame, size: int = 5, percent: int = 80) ->
             .join(met, ["a", "b"], "left_anti")
         )
         stars = stored(stars, "stars")
-        links = links.union(stored(verified(stars, documents, classes, size, percent), "links"))
+        links = links.union(verified(stars, documents, classes, size, percent))
         met = met.union(stars)
+        del hubs
+        forget(members)
 
     # Members of different components, all of them.
     members = stored(_open_lists(shared, links), "open")
@@ -410,7 +417,11 @@ def linked_components(documents: DataFrame, size: int = 5, percent: int = 80) ->
     )
     long = members.where(F.col("size") > SMALL_LIST).join(classes.select("rep", "cells"), "rep")
     pairs = near.union(_far_members(long, percent)).distinct().join(met, ["a", "b"], "left_anti")
-    links = links.union(verified(stored(pairs, "pairs"), documents, classes, size, percent))
+    pairs = stored(pairs, "pairs")
+    del small, near, long, met
+    forget(members, shared)
+    links = links.union(verified(pairs, documents, classes, size, percent))
+    forget(pairs)
     labels = components(links).select(F.col("id").alias("rep"), "component")
     grouped = classes.join(labels, "rep", "left").select(
         "n", "sig", F.coalesce("component", "rep").alias("component_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,20 @@ def stored(table: DataFrame, name: str) -> DataFrame:
     spark = table.sparkSession
     path = new_folder(spark, name)
     table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
+    out = spark.read.schema(table.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, and let Spark delete the shuffle files of
+    plans that are done: it does so when the driver's garbage is collected, which a large heap puts
+    off until disks are full."""
+    for table in tables:
+        delete_folder(table.sparkSession, table.stored_at)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
