@@ -17,6 +17,7 @@ from newsloom.plans.parsing import (
     parse_payload,
     parse_transitions,
 )
+from newsloom.session import remove_path
 from newsloom.streaming.runs import batch_path, run_name
 
 
@@ -43,20 +44,24 @@ def drain(
     moment = F.current_timestamp() if event_time is None else event_time
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse(batch).persist()
-        try:
-            states = parse_transitions(parsed)
-            outputs = {
-                "articles": article_rows(parsed),
-                "dead_letters": dead_letters(parsed),
-                "date_errors": date_errors(parsed),
-                "status_log": transitions(states, F.col("state"), moment, F.lit(batch_id)),
-            }
-            for name, table in outputs.items():
-                target = batch_path(f"{out}/{name}", run, batch_id)
-                table.write.mode("overwrite").parquet(target)
-        finally:
-            parsed.unpersist()
+        # Parsed once and stored: the outputs are short plans over it, and no lost executor
+        # makes the pages be parsed again.
+        spark = batch.sparkSession
+        stored = batch_path(f"{out}/_parsed", run, batch_id)
+        table = parse(batch)
+        table.write.mode("overwrite").parquet(stored)
+        parsed = spark.read.schema(table.schema).parquet(stored)
+        states = parse_transitions(parsed)
+        outputs = {
+            "articles": article_rows(parsed),
+            "dead_letters": dead_letters(parsed),
+            "date_errors": date_errors(parsed),
+            "status_log": transitions(states, F.col("state"), moment, F.lit(batch_id)),
+        }
+        for name, rows in outputs.items():
+            target = batch_path(f"{out}/{name}", run, batch_id)
+            rows.write.mode("overwrite").parquet(target)
+        remove_path(spark, stored)
 
     return (
         payload.writeStream.foreachBatch(write_batch)
