@@ -14,8 +14,19 @@ from newsloom.llm import line_dedup, mixing, ngram_join, packing, quality_rules,
 from newsloom.llm.tables import keyed, one_row_each, read, stored, without
 
 
+# Rows that go to Python together: whole texts of documents, on both sides of the pipe.
+ARROW_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python and back in small batches, so that a task holds few of them at a time.
+    The setting is the session's and stays, as stages are carried out after they return."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules accept."""
+    small_batches(spark)
     forest = quality_rules.fit_rules(docs, read(spark, sf_dir, "labels"))
     return quality_rules.keep_good(docs, forest)
 
@@ -40,6 +51,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near duplicates. Rows are told
     by keys, so texts that share an id, or have none, are documents of their own; of rows equal in
     id and text one stays, save those without words, which are no duplicates of anything."""
+    small_batches(spark)
     rows = keyed(docs)
     texts = rows.select(F.col("_key").alias("doc_id"), "row.text")
     groups = ngram_join.linked_components(texts, size=5, percent=80).where("n_shingles > 0")
@@ -70,6 +82,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their token ids and their place in the training sequences."""
+    small_batches(spark)
     return packing.pack(docs, tokens.default_path(), with_ids=True)
 
 
