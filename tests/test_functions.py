@@ -188,6 +188,13 @@ def test_authors(values):
     ]
 
 
+def test_authors_of_long_pieces(values):
+    # One piece of many words, once a name and once not, and words of a script without case.
+    words = "Ada " * 20_000
+    got = values(authors.detect_authors, "STRING", [words + "Vale", words + "1", "村上 " * 20_000 + "春樹"])
+    assert got == [[words + "Vale"], None, ["村上 " * 20_000 + "春樹"]]
+
+
 def test_author_model(values):
     def load():
         return lambda text: [word for word in text.split() if word.istitle()]
