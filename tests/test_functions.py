@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from newsloom.functions import arrays, authors, dates, urls
+from newsloom.functions import arrays, authors, dates, html_fields, urls
 from newsloom.functions import html as page
 from newsloom.functions import text as tx
 from newsloom.functions.html_fields import read_page
@@ -287,3 +287,21 @@ def test_read_page_gaps():
     # Times and images outside the body do not count.
     outside = read_page('<time datetime="1"></time><img src="a">' + READER)
     assert outside["reader_time"] == "2023-01-02" and outside["reader_image"] == "/i.png"
+
+
+def test_reader_pages_leave_python_in_slices(monkeypatch):
+    """Only a slice's fields are held as Python's own, and a page that comes again is read once."""
+    page = '<div class="content">{}<p>text</p></div>'
+    pages = [page.format(k) for k in range(6)] + [page.format(5)] * 40 + [None, ""]
+    want = [html_fields.read_page(p) for p in pages]
+    read, slices = [], []
+    usual, array = html_fields.read_page, html_fields.pa.array
+    monkeypatch.setattr(html_fields, "SLICE_CHARS", 100)
+    monkeypatch.setattr(html_fields, "read_page", lambda html: read.append(html) or usual(html))
+    monkeypatch.setattr(html_fields.pa, "array", lambda rows, **kind: slices.append(len(rows)) or array(rows, **kind))
+    got = html_fields._read_pages(array(pages)).to_pylist()
+    assert [None if g is None else {k: v for k, v in g.items() if v is not None} for g in got] == [
+        None if w is None else {k: v for k, v in w.items() if v is not None} for w in want
+    ]
+    assert len(slices) > 2 and len(read) < 12
+    assert html_fields._read_pages(array([], type="string")).to_pylist() == []
