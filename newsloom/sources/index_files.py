@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsloom import schemas
 from newsloom.operators.captures import parse_index_lines
+from newsloom.session import short_listings
 from newsloom.streaming.runs import batch_path, run_name
 
 LINES = "value STRING, dataset STRING, doc_id INT"
@@ -26,6 +27,7 @@ def read_index_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_index_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """Captures of new index files, as a stream; files are cut into splits like any text."""
+    short_listings(spark)
     reader = spark.readStream.format("text").schema(LINES)
     return _captures(reader.option("maxFilesPerTrigger", files_per_batch).load(folder))
 

@@ -153,6 +153,23 @@ def test_files_are_drained(spark, tmp_path):
     assert got == {("d", 1): b"<p>", ("d", 2): b"%PDF\xff", ("e", 1): b""}
 
 
+def test_folders_of_files_are_listed_by_few_tasks(spark, tmp_path):
+    """Forty folders with a file each: streams list them by a few tasks per core, not one each."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    for k in range(40):
+        os.makedirs(f"{tmp_path}/in/dataset=d/doc_id={k}")
+        (tmp_path / f"in/dataset=d/doc_id={k}/a.txt").write_text("a b c d e f g")
+    for stream in (payloads.stream_payload_files, index_files.stream_index_files):
+        before = spark.conf.get(name)
+        spark.conf.set(name, "10000")
+        try:
+            stream(spark, str(tmp_path / "in"))
+            assert int(spark.conf.get(name)) == tasks
+        finally:
+            spark.conf.set(name, before)
+
+
 def test_index_files_are_drained(spark, tmp_path):
     folder, out, checkpoint = (str(tmp_path / n) for n in ("index", "out", "checkpoint"))
 
