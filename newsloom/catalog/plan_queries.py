@@ -130,6 +130,51 @@ def _results(spark, folder, plan, attempts=1):
     )
 
 
+def _fetched(spark, folder, plan, attempts=1):
+    """The same fetches as thin rows, and what they brought: each page, as it was sent, once per
+    document. Its rows are spread over all cores, as judging a page costs more than its bytes tell."""
+    number = F.length("location") + F.col("doc_id") + F.col("variant_no")
+    attempt = F.col("attempt")
+    pages = tb.table(spark, folder, "pages").select(
+        F.col("page_id").cast("int").alias("doc_id"), F.col("html").alias("_page")
+    )
+    readers = tb.reader_pages(spark, folder).select("doc_id", F.col("html").alias("_reader"))
+    marked = F.when((number + attempt) % 3 == 1, 1).otherwise(0)
+    no_text = F.when((F.col("view") == "PDF") & (number % 2 == 0), 2).otherwise(0)
+    has_reader = F.when(number % 2 == 0, 4).otherwise(0)
+    results = (
+        plan.join(pages.select("doc_id"), "doc_id", "left_semi")
+        .join(readers.select("doc_id"), "doc_id", "left_semi")
+        .withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
+        .select(
+            "dataset",
+            "doc_id",
+            "location",
+            "attempt",
+            F.when(number % 4 == 0, 503).otherwise(200).alias("http_status"),
+            F.when((number + attempt) % 5 == 1, "no answer").alias("error"),
+            (marked + no_text + has_reader).alias("content"),
+        )
+    )
+    content = F.col("content")
+    error_page = F.replace("_page", F.lit("<title>"), F.lit("<title>Error 404: "))
+    sent = F.encode(F.when(content % 2 == 1, error_page).otherwise(F.col("_page")), "UTF-8")
+    brought = results.where("error IS NULL").select("dataset", "doc_id", "content").distinct()
+    contents = (
+        brought.repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")
+        .join(pages, "doc_id")
+        .join(readers, "doc_id")
+        .select(
+            "dataset",
+            "doc_id",
+            "content",
+            F.when(content.bitwiseAND(2) > 0, F.concat(F.lit(b"\xff\xfe"), sent)).otherwise(sent).alias("raw"),
+            F.encode(F.when(content >= 4, F.col("_reader")).otherwise(F.lit("")), "UTF-8").alias("reader"),
+        )
+    )
+    return results, contents
+
+
 _FETCHED = [*_PLAN, "gated_pages", "gated_readers", "attempts_made", "results"]
 
 
@@ -197,7 +242,8 @@ LEFT JOIN index_errors e ON e.dataset = w.dataset AND e.doc_id = w.doc_id""",
 def retrieval_outcome(spark, folder):
     """PLN-6, WIN-1, QA-8, QA-9, QA-10, FLT-9, FLT-11, SNK-2, SNK-3: what is kept."""
     work, plan = _plan(spark, folder)
-    chosen = retrieval.choose(plan, _results(spark, folder, plan))
+    results, contents = _fetched(spark, folder, plan)
+    chosen = retrieval.choose(plan, results, contents=contents)
     kept = retrieval.outcomes(work, chosen, _index_errors(work))
     return kept.select("dataset", "doc_id", "stage_rank", "location", "state", "content_kind")
 
@@ -218,7 +264,8 @@ GROUP BY w.dataset""",
 def retrieval_report(spark, folder):
     """PLN-2, AGG-1: where the content of each dataset came from."""
     work, plan = _plan(spark, folder)
-    chosen = retrieval.choose(plan, _results(spark, folder, plan))
+    results, contents = _fetched(spark, folder, plan)
+    chosen = retrieval.choose(plan, results, contents=contents)
     kept = retrieval.outcomes(work, chosen, _index_errors(work))
     stage = F.col("stage_rank")
     return kept.groupBy("dataset").agg(
@@ -243,7 +290,8 @@ def _with_retries() -> str:
 def retrieval_retries(spark, folder):
     """WIN-5, PLN-6: of three tries of each location the first that passes the gate."""
     plan = _plan(spark, folder)[1]
-    return retrieval.choose(plan, _results(spark, folder, plan, attempts=3)).select(
+    results, contents = _fetched(spark, folder, plan, attempts=3)
+    return retrieval.choose(plan, results, contents=contents).select(
         "dataset", "doc_id", "stage_rank", "location", "attempt", "raw_ok", "reader_ok"
     )
 
@@ -271,14 +319,15 @@ def retrieval_job(spark, folder):
     """SNK-2, SNK-3, PLN-2, FLT-1: two batches of work, one of them run again, written and read
     back: states and payloads of all documents."""
     work, plan = _plan(spark, folder)
-    results = _results(spark, folder, plan)
+    results, contents = _fetched(spark, folder, plan)
     store = BatchStore(spark, f"{shared_folder(spark).rstrip('/')}/retrieval-{uuid.uuid4().hex}")
     moment = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     for batch, part in (("a", 0), ("b", 1), ("a", 0)):
         todo = job.open_work(work, store).where(F.col("doc_id") % 2 == part)
         planned = plan.join(todo.select("dataset", "doc_id"), ["dataset", "doc_id"], "left_semi")
         job.run_batch(
-            store, batch, todo, planned, results, moment, F.col("doc_id"), _index_errors(work)
+            store, batch, todo, planned, results, moment, F.col("doc_id"), _index_errors(work),
+            contents=contents,
         )
     payload = job.payloads(store)
     return job.states(store).join(payload, ["dataset", "doc_id"], "left").select(

@@ -35,15 +35,18 @@ def run_batch(
     seq: Column,
     index_errors: DataFrame | None = None,
     compatible: bool = False,
+    contents: DataFrame | None = None,
 ) -> bool:
     """Decide one batch of work and commit it; False if the batch was committed before.
 
     ``work`` holds the batch's documents. States go by thin rows alone; only the documents that
-    are kept meet their bytes again."""
+    are kept meet their bytes again. ``contents``: bytes apart from ``results``, see
+    ``retrieval.judged``."""
     if store.is_committed(batch):
         return False
-    decided = cut_lineage(outcomes(work, choose(plan, results, compatible), index_errors, thin=True))
-    kept = with_content(decided.where(F.col("state") == fv.RETRIEVED), results)
+    chosen = choose(plan, results, compatible, contents)
+    decided = cut_lineage(outcomes(work, chosen, index_errors, thin=True))
+    kept = with_content(decided.where(F.col("state") == fv.RETRIEVED), results, contents)
     tables = {
         "payload": kept.select("dataset", "doc_id", "url", "content_kind", "raw", "reader"),
         "status": transitions(decided, F.col("state"), event_time, seq),

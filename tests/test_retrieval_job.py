@@ -134,3 +134,26 @@ def test_redirecting_reader_views(spark):
     assert {k: v or "" for k, v in ends.items()} == {
         "a": "the end", "b": "the end", "c": "the end", "d": "", "e": "", "f": "", "g": "", "h": "as it is", "i": "",
     }
+
+
+def test_equal_bytes_are_judged_once(spark, job, monkeypatch):
+    """Fetches that point to contents apart are chosen and filled like fetches with bytes."""
+    _, plan, results = job
+    bodies = {1: GOOD.format(1).encode(), 2: GOOD.format("404").encode(), 3: b"\xff\xfe file"}
+    tries = [("d", k, f"http://x.com/{k}", t, 200, None, 1 if t > k else 2) for k in range(1, 5) for t in range(1, 9)]
+    tries += [("d", 5, "http://x.com/5", 1, 200, "no answer", 1)]
+    thin = spark.createDataFrame(
+        tries, "dataset STRING, doc_id INT, location STRING, attempt INT, http_status INT, error STRING, content INT"
+    )
+    found = spark.createDataFrame(list(bodies.items()), "content INT, raw BINARY").withColumn("reader", F.lit(b""))
+    contents = thin.where("error IS NULL").select("dataset", "doc_id", "content").distinct().join(found, "content")
+    whole = thin.join(found, "content")
+    seen, usual = [], retrieval.gate_views
+    monkeypatch.setattr(retrieval, "gate_views", lambda table, *a: seen.append(table.count()) or usual(table, *a))
+    want = retrieval.choose(plan, whole)
+    got = retrieval.choose(plan, thin, contents=contents)
+    assert seen == [32, 8]
+    assert sorted(want.collect()) == sorted(got.collect()) and want.count() == 4
+    order = ["doc_id", "attempt"]
+    kept = retrieval.with_content(want, whole).orderBy(order).collect()
+    assert kept == retrieval.with_content(got, thin, contents).orderBy(order).collect() and len(kept) == 4
