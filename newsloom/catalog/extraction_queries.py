@@ -15,6 +15,7 @@ from newsloom.functions import text as tx
 from newsloom.operators import languages, names
 from newsloom.operators.date_order import host_order, with_dates
 from newsloom.operators.extract import raw_body, with_raw_article
+from newsloom.sources.tables import spread
 
 # -- main text ------------------------------------------------------------------------------
 
@@ -268,7 +269,7 @@ def date_grammar(spark, folder):
     for k, form in enumerate(spelled):
         text = F.when(F.col("event_id") % len(spelled) == k, form).otherwise(text)
     return (
-        tb.table(spark, folder, "events")
+        spread(tb.table(spark, folder, "events"), "event_id")
         .select("event_id", text.alias("text"))
         .withColumn("published", dates.parse_date(F.col("text")))
         .select(
