@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom import schemas
+from newsloom.catalog import QUERIES, stream_queries
 from newsloom.operators import key_filter
 from newsloom.sources import index_files, payloads, seeds
 from newsloom.streaming import imports
@@ -190,3 +191,32 @@ def test_index_files_are_drained(spark, tmp_path):
     put(1, "b.txt", "k 2022 u m 200 d 1 2\n")
     put(2, "a.txt", "k 2023 u m - d 1")
     assert drained() == [("d", 1, "2020"), ("d", 1, "2021"), ("d", 2, "2023")] == drained()
+
+
+def test_work_of_few_files_goes_to_all_cores(spark, tmp_path, monkeypatch):
+    """Events of one file are read as dates by all cores; a drained payload has a file per core in
+    each batch."""
+    cores = spark.sparkContext.defaultParallelism
+    events = spark.range(40).selectExpr("id AS event_id", "timestamp'2024-03-05 10:20:30' + make_dt_interval(id) AS ts")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    dates = QUERIES["date_grammar"](spark, str(tmp_path))
+    assert dates.rdd.getNumPartitions() >= cores and dates.count() == 40
+
+    class Seen(Exception):
+        pass
+
+    def seen(spark, path, files_per_batch):
+        raise Seen(len([f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".parquet")]), files_per_batch)
+
+    rows = spark.range(4000).select(
+        F.lit("d").alias("dataset"), F.col("id").cast("int").alias("doc_id"), F.lit("u").alias("url"),
+        F.lit("RAW").alias("content_kind"), F.lit(b"").alias("raw"), F.lit(b"").alias("reader"),
+    )
+    monkeypatch.setattr(stream_queries, "payload", lambda spark, folder: rows)
+    for name in ("pdf_meta", "pdf_pages"):
+        monkeypatch.setattr(stream_queries.tb, name, lambda spark, folder: None)
+    monkeypatch.setattr(stream_queries, "stream_payload", seen)
+    with pytest.raises(Seen) as found:
+        QUERIES["drain_articles"](spark, str(tmp_path))
+    files, batch = found.value.args
+    assert files >= 2 * cores and batch >= cores
