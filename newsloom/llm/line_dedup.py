@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.tables import bucket_of, forget, stored
+from newsloom.llm.tables import bucket_of, forget, forget_shuffles, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -57,43 +57,36 @@ def _words(lines: DataFrame, least: int = SHINGLE) -> DataFrame:
     )
 
 
-# A token is the hash of SHINGLE = 5 words: of two pairs of words, and the fifth.
-def _pair(a: Column, b: Column) -> Column:
-    return F.xxhash64(a, b)
-
-
 def _grams(words: DataFrame) -> DataFrame:
     """doc_id, key, line_no, short, grams: the token of each run of words, or the one of all words
-    of a line that is too short for a run.
+    of a line that is too short for a run; distinct ones, in the order of their hashes.
 
-    Whole arrays are paired with themselves, moved by one, two and four places: functions of
-    two elements are much cheaper than such that look elements up."""
+    Words are laid beside those that follow them, so that a run is hashed by one call."""
     n = F.size("words")
-
-    def from_place(name: str, first: int, less: int) -> Column:
-        return F.slice(name, F.lit(first), F.greatest(n - less, F.lit(0)))
-
-    short = n < SHINGLE
-
-    return (
-        words.withColumn("h", F.transform("words", lambda word: F.xxhash64(word)))
-        .withColumn("g2", F.zip_with(from_place("h", 1, 1), from_place("h", 2, 1), _pair))
-        .withColumn("g4", F.zip_with(from_place("g2", 1, 3), from_place("g2", 3, 3), _pair))
-        .withColumn("grams", F.zip_with(from_place("g4", 1, 4), from_place("h", 5, 4), _pair))
-        .withColumn("grams", F.when(short, F.array(F.xxhash64("words"))).otherwise(F.col("grams")))
-        .select("doc_id", KEY, "line_no", short.alias("short"), "grams")
+    runs = F.arrays_zip(*(F.slice("words", k + 1, n - SHINGLE + 1).alias(f"w{k}") for k in range(SHINGLE)))
+    grams = F.when(n < SHINGLE, F.array(F.xxhash64("words"))).otherwise(
+        F.transform(runs, lambda run: F.xxhash64(run))
     )
+    return words.select(
+        "doc_id", KEY, "line_no", (n < SHINGLE).alias("short"),
+        F.sort_array(F.array_distinct(grams)).alias("grams"),
+    )
 
 
 def _tokens(words: DataFrame) -> DataFrame:
     """The same tokens, one a row, in compiled code."""
     place = words.select("words", F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE)).alias("i"))
-    h = [F.xxhash64(F.col("words")[F.col("i") + k]) for k in range(SHINGLE)]
-    return place.select(_pair(_pair(_pair(h[0], h[1]), _pair(h[2], h[3])), h[4]).alias("token"))
+    run = [F.col("words")[F.col("i") + k] for k in range(SHINGLE)]
+    return place.select(F.xxhash64(*run).alias("token"))
 
 
-def _bucket(token: Column) -> Column:
-    return F.pmod(token, F.lit(BUCKETS)).cast("int")
+def _number(token: Column) -> Column:
+    """The upper bits of a token's hash, from 0, in the order of the hashes."""
+    return F.shiftright(token, 64 - TOKEN_BITS) + F.lit(1 << (TOKEN_BITS - 1))
+
+
+def _bucket(number: Column) -> Column:
+    return F.pmod(number, F.lit(BUCKETS)).cast("int")
 
 
 def _order(keyed: DataFrame) -> tuple[Column, Column]:
@@ -101,7 +94,7 @@ def _order(keyed: DataFrame) -> tuple[Column, Column]:
     its tokens occur beyond what an average bucket holds, the later."""
     counts = (
         _tokens(_words(_lines(keyed)))
-        .groupBy(_bucket(F.col("token")).alias("bucket"))
+        .groupBy(_bucket(_number(F.col("token"))).alias("bucket"))
         .count()
         .collect()  # BUCKETS rows at most
     )
@@ -118,16 +111,29 @@ def _order(keyed: DataFrame) -> tuple[Column, Column]:
     return constant(ranks), constant(parts)
 
 
-def _sets(grams: DataFrame, ranks: Column) -> DataFrame:
-    """Lines with their token set, rarest first, its size and its hash."""
+def _prefixes(grams: DataFrame, ranks: Column, percent: int) -> DataFrame:
+    """Lines with the size and hash of their token set and its prefix, rarest first.
+
+    Most tokens have rank 0. Where enough of the lowest hashes have, they are the prefix, and no
+    other token needs its rank."""
 
-    def ordered(token: Column) -> Column:
-        rank = F.shiftleft(ranks[_bucket(token)].cast("bigint"), TOKEN_BITS)
-        return rank.bitwiseOR(token.bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)))
+    def ranked(token: Column) -> Column:
+        number = _number(token)
+        rank = F.coalesce(ranks[_bucket(number)], F.lit(0)).cast("bigint")
+        return F.shiftleft(rank, TOKEN_BITS).bitwiseOR(number)
 
-    tokens = F.sort_array(F.array_distinct(F.transform("grams", ordered)))
-    return grams.select("doc_id", KEY, "line_no", "short", tokens.alias("tokens")).select(
-        "*", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("sig")
+    sets = grams.withColumn("n", F.size("grams")).withColumn(
+        "length", (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    )
+    head = F.sort_array(F.transform(F.slice("grams", F.lit(1), F.col("length") + 4), ranked))
+    sets = sets.select("*", F.explode(F.array(F.when(~F.col("short"), head))).alias("head"))
+    every = F.sort_array(F.transform("grams", ranked))
+    common = F.element_at("head", F.least("length", "n")) >= F.lit(1 << TOKEN_BITS)
+    prefix = F.slice(F.when(common, every).otherwise(F.col("head")), F.lit(1), F.col("length"))
+    # Short lines are equal or not similar: nothing to join.
+    prefix = F.when(F.col("short"), F.array().cast("array<bigint>")).otherwise(prefix)
+    return sets.select(
+        "doc_id", KEY, "line_no", "n", F.xxhash64("grams").alias("sig"), prefix.alias("prefix")
     )
 
 
@@ -139,30 +145,49 @@ def _in_reach(percent: int, a: str, b: str) -> Column:
     )
 
 
-def _similar(
-    pairs: DataFrame, firsts: DataFrame, keyed: DataFrame, ranks: Column, percent: int
-) -> DataFrame:
-    """Pairs (a, b) of classes whose sets reach the similarity, stored."""
+def _in_length(percent: int) -> Column:
+    return percent * F.greatest("x.n", "y.n") <= 100 * F.least("x.n", "y.n")
+
+
+def _enough(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that may be similar, from ``met``: the earlier line ``y`` and the
+    later ``x`` for every prefix token that they share.
+
+    Of the set whose prefix ends first, tokens of the prefix that are common stand in the other
+    prefix too, so that the others can only be beyond its end."""
+    ends = [F.struct(*(F.col(f"{side}.{c}") for c in ("sig", "at", "n", "edge"))) for side in "yx"]
+    pairs = met.select(ends[0].alias("y"), ends[1].alias("x")).groupBy("y", "x").count()
+
+    def rest(side: str) -> Column:
+        return F.ceil(F.col(f"{side}.n") * percent / 100).cast("int") - 1
+
+    beyond = F.when(F.col("x.edge") <= F.col("y.edge"), rest("x")).otherwise(rest("y"))
+    most = F.col("count") + beyond
+    return pairs.where((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))).select(
+        *(F.struct(f"{side}.sig", f"{side}.at.{KEY}", f"{side}.at.line_no").alias(end) for side, end in ("ya", "xb"))
+    )
+
+
+def _similar(pairs: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes whose sets reach the similarity, stored: b with its first line."""
     pairs = stored(pairs, "line-pairs")
-    ids = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    wanted = firsts.join(ids, "sig", "left_semi").select("sig", "at.*")
+    wanted = pairs.select("a.*").union(pairs.select("b.*")).distinct()
     place = F.xxhash64(KEY, "line_no")
     buckets = wanted.select(bucket_of(place).alias("_bucket")).distinct()
     lines = _lines(keyed).withColumn("_bucket", bucket_of(place))
     lines = lines.join(F.broadcast(buckets), "_bucket", "left_semi")
+    lines = lines.join(wanted.select(KEY, "line_no"), [KEY, "line_no"], "left_semi")
     sets = (
-        _sets(_grams(_words(lines)), ranks)
-        .join(wanted.select("sig", KEY, "line_no"), ["sig", KEY, "line_no"], "left_semi")
-        .dropDuplicates(["sig"])
-        .select("sig", "tokens")
+        _grams(_words(lines.select("doc_id", KEY, "line_no", "line").dropDuplicates([KEY, "line_no"])))
+        .select(F.xxhash64("grams").alias("sig"), "grams")
     )
     sets = stored(sets, "line-sets")
     both = pairs.join(
-        sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a"
-    ).join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b")
+        sets.select(F.col("sig").alias("_a"), F.col("grams").alias("x")), F.col("a.sig") == F.col("_a")
+    ).join(sets.select(F.col("sig").alias("_b"), F.col("grams").alias("y")), F.col("b.sig") == F.col("_b"))
     common = F.size(F.array_intersect("x", "y"))
     enough = (100 + percent) * common >= percent * (F.size("x") + F.size("y"))
-    links = stored(both.where(enough).select("a", "b"), "line-links")
+    links = stored(both.where(enough).select("a.sig", "b"), "line-links")
     del both
     forget(pairs, sets)
     return links
@@ -175,39 +200,39 @@ def repeated_lines(
     hash of id and text. ``short`` takes in the lines of fewer than SHINGLE words."""
     keyed = _keyed(documents)
     ranks, parts = _order(keyed)
-    prefix = F.slice("tokens", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    # Short lines are equal or not similar: nothing to join.
-    prefix = F.when(F.col("short"), F.array().cast("array<bigint>")).otherwise(prefix)
+    # The first line of each class stands for it and has its prefix; equal later ones are copies.
+    at = F.struct("doc_id", KEY, "line_no")
+    equal = Window.partitionBy("sig").orderBy("doc_id", KEY, "line_no")
+    equal = equal.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = stored(
-        _sets(_grams(_words(_lines(keyed), 1 if short else SHINGLE)), ranks).select(
-            "doc_id", KEY, "line_no", "n", "sig", prefix.alias("prefix")
-        ),
+        _prefixes(_grams(_words(_lines(keyed), 1 if short else SHINGLE)), ranks, percent)
+        .withColumn("copy", F.first(at).over(equal) != at)
+        .withColumn("leads", F.row_number().over(equal) == 1)
+        .withColumn("prefix", F.when(F.col("leads"), F.col("prefix"))),
         "lines",
     )
-    at = F.struct("doc_id", KEY, "line_no")
-    firsts = stored(
-        lines.groupBy("sig").agg(
-            F.min(at).alias("at"), F.max(at).alias("last"), F.count("*").alias("times")
-        ),
-        "first-lines",
-    )
+    forget_shuffles(lines.sparkSession)
+    firsts = lines.where("leads").select("sig", at.alias("at"), F.try_element_at("prefix", F.lit(-1)).alias("edge"))
 
-    # Prefix tokens that two classes share.
-    token = F.col("token").bitwiseAND(F.lit((1 << TOKEN_BITS) - 1))
-    split = parts[_bucket(token)]
-    lists = Window.partitionBy("token", "part")
+    # Prefix tokens that two classes share: in the order of tokens their postings are neighbours.
+    bucket = _bucket(F.col("token").bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)))
+    lists = Window.partitionBy("bucket", "part").orderBy("token")
+    near = F.lag("token").over(lists), F.lead("token").over(lists)
     shared = (
-        lines.select("n", "sig", F.posexplode("prefix").alias("place", "token"))
-        .withColumn("parts", split)
+        lines.where("leads")
+        .select("n", "sig", F.posexplode("prefix").alias("place", "token"))
+        .withColumn("bucket", bucket)
+        .withColumn("parts", parts[F.col("bucket")])
         .withColumn("part", F.pmod("sig", F.col("parts")))
-        .withColumn("least", F.min("sig").over(lists))
-        .withColumn("most", F.max("sig").over(lists))
-        .where("least <> most OR parts > 1")
+        .withColumns({"before": near[0], "after": near[1]})
+        .where("token = before OR token = after OR parts > 1")
         .select("token", "sig", "n", "place")
-        .distinct()
-        .join(firsts.select("sig", "at"), "sig")
+        .join(firsts, "sig")
     )
-    shared = stored(shared.select("token", F.struct("at", "sig", "n", "place").alias("x")), "shared")
+    shared = stored(
+        shared.select("token", F.struct("at", "sig", "n", "place", "edge").alias("x")), "shared"
+    )
+    forget_shuffles(lines.sparkSession)
 
     # Each member of a list with the list's first line.
     hubs = shared.groupBy("token").agg(F.min("x").alias("hub"))
@@ -219,38 +244,35 @@ def repeated_lines(
         .distinct()
     )
     stars = stored(stars, "line-stars")
-    links = _similar(stars, firsts, keyed, ranks, percent)
-    found = links.select("b")
+    # All their common tokens, also those of lists with another first line.
+    postings = shared.select("token", F.col("x.sig").alias("b"), "x")
+    met = (
+        stars.join(shared.select(F.col("x.sig").alias("a"), "token", F.col("x").alias("y")), "a")
+        .join(postings, ["token", "b"])
+    )
+    links = _similar(_enough(met, percent), keyed, percent)
+    found = links.select("b.*")
 
     # Those left over with all earlier members.
-    left = shared.select("token", "x", F.col("x.sig").alias("b")).join(
-        found.distinct(), "b", "left_anti"
-    )
-    pairs = (
+    left = postings.join(found.select(F.col("sig").alias("b")).distinct(), "b", "left_anti")
+    met = (
         left.join(shared.withColumnRenamed("x", "y"), "token")
         .where("y.at < x.at AND y.sig <> x.sig")
-        .where(_in_reach(percent, "y", "x"))
-        .select(F.col("y.sig").alias("a"), "b")
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
+        .where(_in_length(percent))
     )
-    more = _similar(pairs, firsts, keyed, ranks, percent)
-    del pairs, left
-    forget(shared, stars)
-    found = found.union(more.select("b")).distinct()
-    doomed = (
-        firsts.join(found.select(F.col("b").alias("sig"), F.lit(True).alias("similar")), "sig", "left")
-        .where("similar OR last <> at")
-        .select("sig", "at", "similar")
-    )
-    gone = stored(
-        lines.select("doc_id", KEY, "line_no", "sig")
-        .join(doomed, "sig")
-        .where(F.col("similar").isNotNull() | (at != F.col("at")))
-        .select(KEY, "line_no"),
-        "gone-lines",
+    # Pairs of stars have been compared.
+    pairs = (
+        _enough(met, percent)
+        .withColumns({"_a": F.col("a.sig"), "_b": F.col("b.sig")})
+        .join(stars.toDF("_a", "_b"), ["_a", "_b"], "left_anti")
+        .select("a", "b")
     )
-    forget(lines, firsts, links, more)
+    more = _similar(pairs, keyed, percent)
+    del pairs, left, met, postings
+    forget(shared, stars)
+    found = found.union(more.select("b.*")).select(KEY, "line_no").distinct()
+    gone = stored(lines.where("copy").select(KEY, "line_no").union(found), "gone-lines")
+    forget(lines, links, more)
     return gone
 
 

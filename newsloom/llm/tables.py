@@ -35,14 +35,19 @@ def stored(table: DataFrame, name: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more, and let Spark delete the shuffle files of
-    plans that are done: it does so when the driver's garbage is collected, which a large heap puts
-    off until disks are full."""
+    """Delete stored tables that nothing reads any more, and the shuffle files of plans that are
+    done."""
     for table in tables:
         delete_folder(table.sparkSession, table.stored_at)
     if tables:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        forget_shuffles(tables[0].sparkSession)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done: it does so when the driver's
+    garbage is collected, which a large heap puts off until disks are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:

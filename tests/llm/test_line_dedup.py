@@ -1,5 +1,5 @@
 from brute import WORD, lines_gone
-from newsloom.llm import line_dedup, queries
+from newsloom.llm import line_dedup, queries, tables
 
 
 def test_equals_brute_force(documents, texts):
@@ -88,3 +88,24 @@ def test_query_removes_short_lines(spark):
             if len(WORD.findall(lines[n])) < 5:
                 got.add((row["doc_id"], n))
     assert got == equal and equal
+
+
+def test_pairs_without_enough_common_tokens_are_not_compared(spark, monkeypatch):
+    """With one bucket the order is that of the hashes, so that common tokens come first, too."""
+    pairs = []
+
+    def counted(table, name):
+        out = tables.stored(table, name)
+        if name == "line-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "BUCKETS", 1)
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    rest = [" ".join(f"w{k}x{n}" for n in range(30)) for k in range(30)]
+    rows = [(k, f"a b c d e f g h i j k l m n {words}") for k, words in enumerate(rest)]
+    rows.append((99, rows[0][1] + " more"))
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    removed = line_dedup.remove_lines(documents).where("size(removed_lines) > 0").collect()
+    assert [r["document"]["doc_id"] for r in removed] == [99]
+    assert sum(pairs) == 1
