@@ -38,6 +38,7 @@ TOKEN_BITS = 56
 
 KEY = "_line_key"
 SPACE = "[\\x20\\x09-\\x0D]+"
+OTHER_SPACE = "[\\x09-\\x0D]"
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -50,8 +51,11 @@ def _lines(keyed: DataFrame) -> DataFrame:
 
 def _words(lines: DataFrame, least: int = SHINGLE) -> DataFrame:
     """Lines of ``least`` words or more with their words; exploding an array of one keeps the
-    optimizer from splitting every line twice."""
-    words = F.array_remove(F.split(F.lower("line"), SPACE), "")
+    optimizer from splitting every line twice. Most lines have no white space but blanks and are
+    split without a pattern."""
+    line = F.lower("line")
+    plain = F.when(line.rlike(OTHER_SPACE), F.split(line, SPACE)).otherwise(F.split(line, " "))
+    words = F.array_remove(plain, "")
     return lines.select("doc_id", KEY, "line_no", F.explode(F.array(words)).alias("words")).where(
         F.size("words") >= least
     )
@@ -91,7 +95,7 @@ def _bucket(number: Column) -> Column:
 
 def _order(keyed: DataFrame) -> tuple[Column, Column]:
     """Rank of each bucket, and parts its lists are read in, as constant arrays: the more often
-    its tokens occur beyond what an average bucket holds, the later."""
+    its tokens occur beyond what an average bucket holds and usually varies by, the later."""
     counts = (
         _tokens(_words(_lines(keyed)))
         .groupBy(_bucket(_number(F.col("token"))).alias("bucket"))
@@ -101,7 +105,7 @@ def _order(keyed: DataFrame) -> tuple[Column, Column]:
     usual = sum(row["count"] for row in counts) / BUCKETS
     ranks, parts = [0] * BUCKETS, [1] * BUCKETS
     for row in counts:
-        excess = max(0, int(row["count"] - usual - 4 * usual**0.5))
+        excess = max(0, int(row["count"] - usual - usual**0.5))
         ranks[row["bucket"]] = min(4 * (excess + 1).bit_length() - 4, 127)
         parts[row["bucket"]] = 1 + excess // LIST_PART
 

@@ -109,3 +109,23 @@ def test_pairs_without_enough_common_tokens_are_not_compared(spark, monkeypatch)
     removed = line_dedup.remove_lines(documents).where("size(removed_lines) > 0").collect()
     assert [r["document"]["doc_id"] for r in removed] == [99]
     assert sum(pairs) == 1
+
+
+def test_tokens_a_little_more_frequent_come_later(spark, monkeypatch):
+    """Two buckets of about 200 tokens; one token occurs 45 times more, less than four deviations."""
+    monkeypatch.setattr(line_dedup, "BUCKETS", 2)
+    rows = [(k, f"a{k} b{k} c{k} d{k} e{k}") for k in range(400)]
+    rows += [(400 + k, "one two\tthree  FOUR five") for k in range(45)]
+    keyed = line_dedup._keyed(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    ranks, _ = line_dedup._order(keyed)
+    assert len(set(spark.range(1).select(ranks.alias("ranks")).first()["ranks"])) == 2
+
+
+def test_lines_of_blanks_are_split_without_a_pattern(spark):
+    lines = ["a  b c", " A b\tc ", "a\x0bb\x0c c\r", "", "  ", "a\u00a0b c"]
+    frame = spark.createDataFrame([(k, 0, k, x) for k, x in enumerate(lines)], f"doc_id int, {line_dedup.KEY} int, line_no int, line string")
+    words = line_dedup._words(frame, 0)
+    got = {r["doc_id"]: r["words"] for r in words.collect()}
+    assert got == {k: WORD.findall(x.lower()) for k, x in enumerate(lines)}
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(lower(line" in plan and "RLIKE" in plan
