@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.tables import stored
+from newsloom.llm.tables import forget, stored
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates two star operations, each a grouped minimum and a join, so that no neighbourhood
     is ever gathered; the number of rounds grows with the logarithm of the longest path. Every
-    round is written to shared storage."""
+    round is written to shared storage, and the one before goes, so that the driver drops its plans."""
     now = stored(_directed(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges")
     before = None
     while True:
@@ -45,5 +45,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 now.select(F.col("v"), F.col("v")).distinct()
             )
         before = state
-        starred = _directed(_large_star(now))
-        now = stored(_directed(_small_star(starred)), "edges")
+        last = now
+        now = stored(_directed(_small_star(_directed(_large_star(last)))), "edges")
+        forget(last)

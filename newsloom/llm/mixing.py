@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.tables import stored
+from newsloom.llm.tables import forget, stored
 
 DIMENSIONS = ("source", "lang", "topic")
 POWER = 0.5
@@ -148,6 +148,7 @@ def rake_capped(
     kept = F.col("tokens") * F.least(F.lit(1.0), F.col("rate"))
     full = F.col("rate") >= 1
     for _ in range(rounds):
+        last = cells
         # Sums in windows: a round is one short plan, and the driver keeps little of it.
         for dimension in targets:
             same = Window.partitionBy(dimension)
@@ -169,6 +170,7 @@ def rake_capped(
             )
             cells = cells.withColumn("rate", F.col("rate") * factor).drop("full", "open")
         cells = stored(cells, "raked")
+        forget(last)
         off = (
             cells.select(F.explode(at).alias("at"), kept.alias("kept"))
             .groupBy("at")

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newsloom.llm import mixing, queries
+from newsloom.llm import components, mixing, queries, tables
 
 
 def test_equals_twin(spark):
@@ -97,3 +97,31 @@ def test_pipeline_rakes_under_the_bound(spark):
     assert sorted(got) == sorted(want)
     rows = mixing.mix(documents, topics).where("kept").select("doc_id").collect()
     assert sorted(got) != sorted(rows)
+
+
+def test_rounds_leave_one_table(spark, monkeypatch):
+    """Tables of earlier rounds go, here and in the search of components."""
+    there = set()
+
+    def tracked(table, name):
+        out = tables.stored(table, name)
+        if name in ("raked", "edges"):
+            there.add(out.stored_at)
+        return out
+
+    def dropped(*gone):
+        there.difference_update(table.stored_at for table in gone)
+        tables.forget(*gone)
+
+    for module in (mixing, components):
+        monkeypatch.setattr(module, "stored", tracked)
+        monkeypatch.setattr(module, "forget", dropped, raising=False)
+    rows = [("a", "x", "1", 10), ("a", "y", "1", 30), ("b", "x", "1", 20), ("b", "y", "1", 5)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint")
+    targets = {d: mixing.smoothed(cells, d, mixing.POWER) for d in mixing.DIMENSIONS}
+    assert mixing.rake_capped(cells, targets).count() == 4 and len(there) == 1
+    there.clear()
+    edges = spark.createDataFrame([(k, k + 1) for k in range(9)], "a bigint, b bigint")
+    found = components.components(edges).collect()
+    assert {r["component"] for r in found} == {0} and len({r["id"] for r in found}) == 10
+    assert len(there) == 1
