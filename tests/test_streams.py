@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from newsloom import schemas
 from newsloom.catalog import QUERIES, stream_queries
 from newsloom.operators import key_filter
-from newsloom.sources import index_files, payloads, seeds
+from newsloom.sources import index_files, payloads, seeds, text_files
 from newsloom.streaming import imports
 from newsloom.streaming.states import stream_status
 from newsloom.streaming.transitions import follow_transitions, illegal, read_verdicts
@@ -171,6 +171,65 @@ def test_folders_of_files_are_listed_by_few_tasks(spark, tmp_path):
             spark.conf.set(name, before)
 
 
+def below(folder):
+    """Texts of the files below a folder by their places, without the files that readers skip."""
+    found = {}
+    for place, _, names in os.walk(folder):
+        for name in names:
+            if name[0] not in "._":
+                with open(f"{place}/{name}", "rb") as file:
+                    found.setdefault(os.path.relpath(place, folder), []).append(file.read())
+    return found
+
+
+def test_a_file_for_each_key_as_spark_writes_it(spark, tmp_path, monkeypatch):
+    """Tasks write the same files as Spark's writer, repeated keys and keys of all kinds included,
+    and leave nothing beside them."""
+    names = ["d", "a b", "a+b", "a%2Bb", "ü/ö=:x", "100%", "q?#[x]^", "", None, "007", "'\"*\\\\"]
+    rows = [(name, k, f"line {k}\r é") for k, name in enumerate(names)]
+    rows += [("d", 0, "line 0\r é"), ("d", None, "x"), (None, None, ""), ("d", -3, None), ("e", 1, None), ("e", 1, None)]
+    table = spark.createDataFrame(rows, "dataset STRING, doc_id INT, value STRING")
+    text_files.write_text_files(table, f"{tmp_path}/own", ["dataset", "doc_id"], 3)
+    text_files.write_text_files(table.where("false"), f"{tmp_path}/none", ["dataset", "doc_id"], 3)
+    monkeypatch.setattr(text_files, "local_path", lambda spark, path: None)
+    text_files.write_text_files(table, f"{tmp_path}/spark", ["dataset", "doc_id"], 3)
+    own = below(f"{tmp_path}/own")
+    assert own == below(f"{tmp_path}/spark") and len(own) == len(names) + 4
+    assert own["dataset=d/doc_id=0"] == ["line 0\r é\nline 0\r é\n".encode()] and own["dataset=e/doc_id=1"] == [b"\n\n"]
+    assert os.listdir(f"{tmp_path}/none") == []
+    assert {len(files) for _, _, files in os.walk(f"{tmp_path}/own")} == {0, 1}
+
+
+def test_a_file_of_many_batches_of_rows(spark, tmp_path):
+    """Lines of one key that come in several Arrow batches are one file."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10")
+    try:
+        rows = spark.range(95).selectExpr("'d' AS dataset", "id % 2 AS doc_id", "'x' AS value")
+        text_files.write_text_files(rows, f"{tmp_path}/own", ["dataset", "doc_id"], 1)
+    finally:
+        spark.conf.set(name, before)
+    assert below(f"{tmp_path}/own") == {"dataset=d/doc_id=0": [b"x\n" * 48], "dataset=d/doc_id=1": [b"x\n" * 47]}
+
+
+def test_many_small_files_become_few(spark, tmp_path):
+    """Three hundred files of one dataset, drained in a batch, are stored as a file a core at most."""
+    cores = spark.sparkContext.defaultParallelism
+    for k in range(300):
+        place = f"{tmp_path}/in/dataset=d/doc_id={k}"
+        os.makedirs(place)
+        with open(f"{place}/a.raw", "w") as file:
+            file.write(f"k {k} u m 200 d 1")
+    pattern = "dataset=([^/]+)/doc_id=([0-9]+)/a[.](raw)$"
+    views = payloads.stream_payload_files(spark, f"{tmp_path}/in", pattern=pattern)
+    for drain, stream in ((payloads.drain_files, views),):
+        out = f"{tmp_path}/{drain.__name__}"
+        drain(stream, out, f"{out}-checkpoint").awaitTermination()
+        assert 1 <= sum(map(len, below(out).values())) <= cores
+        assert spark.read.parquet(out).select("doc_id").distinct().count() == 300
+
+
 def test_index_files_are_drained(spark, tmp_path):
     folder, out, checkpoint = (str(tmp_path / n) for n in ("index", "out", "checkpoint"))
 
