@@ -223,13 +223,29 @@ def test_many_small_files_become_few(spark, tmp_path):
             file.write(f"k {k} u m 200 d 1")
     pattern = "dataset=([^/]+)/doc_id=([0-9]+)/a[.](raw)$"
     views = payloads.stream_payload_files(spark, f"{tmp_path}/in", pattern=pattern)
-    for drain, stream in ((payloads.drain_files, views),):
+    captures = index_files.stream_index_files(spark, f"{tmp_path}/in")
+    for drain, stream in ((payloads.drain_files, views), (index_files.drain_index, captures)):
         out = f"{tmp_path}/{drain.__name__}"
         drain(stream, out, f"{out}-checkpoint").awaitTermination()
         assert 1 <= sum(map(len, below(out).values())) <= cores
         assert spark.read.parquet(out).select("doc_id").distinct().count() == 300
 
 
+def test_keys_of_index_files_come_from_their_paths(spark, tmp_path):
+    """Answers in folders of different depths, which Spark's own search for keys refuses."""
+    for place in ("dataset=d/doc_id=1", "2024/dataset=d/doc_id=2", "2024/05/dataset=a%2Fb é%25/doc_id=-3",
+                  "dataset=__HIVE_DEFAULT_PARTITION__/doc_id=__HIVE_DEFAULT_PARTITION__", "notes"):
+        os.makedirs(f"{tmp_path}/in+100% %41/{place}")
+        with open(f"{tmp_path}/in+100% %41/{place}/a.txt", "w") as file:
+            file.write("k 2020 u m 200 d 1\n")
+    stream = index_files.stream_index_files(spark, f"{tmp_path}/in+100% %41")
+    index_files.drain_index(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    rows = index_files.read_drained_captures(spark, f"{tmp_path}/out").collect()
+    assert sorted((str(r["dataset"]), r["doc_id"] or 0) for r in rows) == [
+        ("None", 0), ("None", 0), ("a/b é%", -3), ("d", 1), ("d", 2)
+    ]
+
+
 def test_index_files_are_drained(spark, tmp_path):
     folder, out, checkpoint = (str(tmp_path / n) for n in ("index", "out", "checkpoint"))
 
